@@ -45,10 +45,10 @@ def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
 
 
 def with_start(tokens: DataFrame) -> DataFrame:
-    """tokens with `start`, the ids before each document; the window runs over one row per task."""
+    """tokens with `start`, the ids before each document. Window and broadcast hold one row per task of pass one."""
     totals = tokens.groupBy("part").agg(F.sum("n").alias("total"))
     base = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
-    return tokens.join(base, "part").withColumn("start", F.col("base") + F.col("before"))
+    return tokens.join(F.broadcast(base), "part").withColumn("start", F.col("base") + F.col("before"))
 
 
 def crc_of(ids16: bytes) -> int:

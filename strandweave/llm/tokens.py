@@ -1,8 +1,9 @@
-"""Token ids by the tokenizers library, with a memo of pieces between white space.
+"""Token ids by the tokenizers library, with a memo of pieces.
 
-Neither vocabulary merges across the pieces cut here, so ids of a text are the ids of its pieces in a row;
-texts with white space beyond ASCII (or 0x1C-0x1F), where that would need more care, go to the library whole.
-New pieces are encoded together, many to a call.
+Neither vocabulary merges across the pieces cut here, so the ids of a text are the ids of its pieces in a row.
+For the byte-level vocabulary a piece is a space and what follows up to the next space or line feed, or a line
+feed and what follows; for the one with word ends it is a word, A-Z lower-cased. Texts in which white space
+stands in any other way go to the library whole. New pieces are encoded together, many to a call.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ import re
 import numpy as np
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
-#: Pieces that a worker remembers; the memo is emptied when it is full.
-MEMO = 500_000
-_ODD_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-_PIECE = re.compile(r" ?[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+")
+#: Pieces that a worker remembers, and misses after which it forgets them.
+MEMO, MISSES = 800_000, 20_000_000
+# White space of any kind but single spaces and line feeds as described: 0x09, 0x0B-0x0D, 0x1C-0x1F and beyond ASCII.
+_ODD_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
+_WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -26,6 +28,33 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Memo(dict):
+    """piece -> ids. Pieces not found are noted in `fresh`; when full it only holds what it has, and starts
+    anew after MISSES misses, so that it follows the texts."""
+
+    def __init__(self, stops: dict):
+        super().__init__()
+        self.stops, self.fresh, self.missed = stops, [], 0
+
+    def __missing__(self, piece):
+        stop = self.stops.get(piece[-1:])
+        if stop is not None:  # letters and a full stop or comma: known if the letters are
+            letters = piece[:-1]
+            if letters in self and (letters if isinstance(letters, str) else letters.decode()).isalpha():
+                return self[letters] + stop
+        self.fresh.append(piece)
+        return None
+
+    def settle(self, fresh: list) -> None:
+        self.missed += len(fresh)
+        if self.missed > MISSES:
+            self.clear()
+            self.missed = 0
+        elif len(self) > MEMO:
+            for p in fresh:
+                del self[p]
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -33,7 +62,6 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.memo: dict = {}
         vocab = self.tok.get_vocab()
         self.by_word = self.tok.token_to_id("</w>") is not None or any(t.endswith("</w>") for t in list(vocab)[:2000])
         self.bar = vocab.get("|</w>")
@@ -42,19 +70,17 @@ class Encoder:
             self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
         if len(self.opens) > 1 << 16:
             raise ValueError("ids are held in 16 bits")
+        self.memo = Memo(dict(zip((b".", b",") if self.by_word else (".", ","), self._plain([".", ","]))))
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint16).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, fresh: list) -> None:
-        if len(self.memo) + len(fresh) > MEMO:
-            self.memo.clear()
+        texts = [p.decode() for p in fresh] if self.by_word else [p if p[:1] == "\n" else f" {p}" for p in fresh]
         if self.by_word:
-            texts = [p.decode() for p in fresh]
             joint = [(p, t) for p, t in zip(fresh, texts) if "|" not in t]
         else:
-            texts = fresh
-            joint = [(p, p) for p in fresh if p[0] == " " and len(p) > 1]
+            joint = [(p, t) for p, t in zip(fresh, texts) if t[0] == " " and len(t) > 1]
         for i in range(0, len(joint), 512):
             part = joint[i : i + 512]
             line = " | ".join(t for _, t in part) if self.by_word else "".join(t for _, t in part)
@@ -70,19 +96,45 @@ class Encoder:
         for (p, _), raw in zip(rest, self._plain([t for _, t in rest])):
             self.memo[p] = raw
 
+    def _pieces(self, t: str) -> list | None:
+        if self.by_word:
+            return None if _WIDE_SPACE.search(t) else t.encode().lower().split()
+        if "  " in t or "\n " in t or "\n\n" in t or t.endswith(" \n") or _ODD_SPACE.search(t):
+            return None
+        return t.replace("\n", " \n").split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 16-bit numbers."""
-        easy = [not _ODD_SPACE.search(t) for t in texts]
-        pieces = [(t.encode().split() if self.by_word else _PIECE.findall(t)) if ok else () for t, ok in zip(texts, easy)]
-        seen = set().union(*pieces)
-        fresh = list(seen.difference(self.memo))
+        memo = self.memo
+        get = memo.__getitem__
+        memo.fresh = fresh = []
+        out, firsts = [], []
+        for t in texts:
+            pieces = self._pieces(t)
+            if pieces is None:
+                out.append(None)
+                continue
+            if not self.by_word:  # the first piece has no space before it
+                firsts.append(pieces[0])
+                del pieces[0]
+            n = len(fresh)
+            ids = list(map(get, pieces))
+            out.append((ids if len(fresh) == n else None, pieces))
         if fresh:
+            fresh = list(dict.fromkeys(fresh))
             self._learn(fresh)
-            if len(fresh) < len(seen) and any(p not in self.memo for p in seen):  # the memo was emptied meanwhile
-                self._learn([p for p in seen if p not in self.memo])
-        get = self.memo.__getitem__
-        hard = iter(self._plain([t for t, ok in zip(texts, easy) if not ok]))
-        return [b"".join(map(get, p)) if ok else next(hard) for p, ok in zip(pieces, easy)]
+        first = iter(self._plain(firsts))
+        whole = iter(self._plain([t for t, x in zip(texts, out) if x is None]))
+        result = []
+        for x in out:
+            if x is None:
+                result.append(next(whole))
+                continue
+            ids, pieces = x
+            ids = map(get, pieces) if ids is None else ids
+            result.append(b"".join(ids) if self.by_word else next(first) + b"".join(ids))
+        memo.settle(fresh)
+        return result
 
 
 def encoder(path: str) -> Encoder:
