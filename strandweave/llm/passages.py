@@ -8,11 +8,13 @@ same document or another. Words are runs of anything but 0x20 and 0x09-0x0D, com
    One row (anchor, run hash) per run goes into a partial aggregation: anchors with one occurrence are done.
    An anchor whose runs are all equal is settled by its runs; where runs differ, single windows decide.
 2. Confirmation. Two bitmaps of a fixed size (repeated anchors; those with different runs) go to the workers.
-   They only sieve: a second scan writes runs or windows of sieved anchors, and an exact count of
-   (anchor, span hash), 128 bits together, keeps what occurs twice. A full bitmap costs time, never rows.
-3. Location. The confirmed spans of each document merge into passages. Documents come in bounded shards; each
-   shard's passages are compiled into one Aho-Corasick automaton, and its documents are streamed through it to
-   locate every occurrence and drop the covered words.
+   They only sieve: a second scan writes the runs of sieved anchors, with window hashes where runs differ. Runs
+   whose (anchor, run hash) occurs twice are settled. For the others windows are counted by (anchor, window
+   hash), 128 bits together, each distinct run once with its number. A full bitmap costs time, never rows.
+3. Location. The confirmed spans of each document merge into passages. A third bitmap keeps texts without any
+   out of the shuffle. Documents come in bounded shards; each shard's passages are compiled into one
+   Aho-Corasick automaton, and its documents are streamed through it to locate every occurrence and drop the
+   covered words.
 
 Null text counts as empty (no words). Documents of under 35 words lose nothing. Repeated rows are copies of
 each other and are all kept as rows. Null ids stay null. Extra columns are ignored by `strip`.
@@ -33,6 +35,8 @@ from strandweave.llm.common import SpanHash, WordHash, slices, staged, texts_of
 WINDOW, GRAM = 35, 8
 #: log2 of the bits of a bitmap: 16 MB each, whatever the data.
 BITMAP_BITS = 27
+#: log2 of the bits of the bitmap of texts with repeats: 2 MB.
+DOC_BITS = 24
 #: Passage text compiled into one automaton, in bytes; a longer single passage has an automaton of its own.
 SHARD_BYTES = 1 << 20
 
@@ -75,18 +79,13 @@ def _anchor_counts(docs: DataFrame) -> DataFrame:
     return runs.groupBy("h").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("n > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed"))
 
 
-def _bitmaps(anchors: DataFrame, bits: int) -> list[np.ndarray]:
-    """Two bitmaps over the top bits of the anchor hash; at most 2**(bits-6) words reach the driver."""
-    word = F.shiftrightunsigned("h", 64 - bits + 6)
+def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """Bitmap over the top bits of column h; at most 2**(bits-6) words reach the driver."""
     bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))")
-    table = anchors.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("a"), F.bit_or(F.when(F.col("mixed"), bit).otherwise(F.lit(0).cast("long"))).alias("m")).toArrow()
-    at = table.column("w").to_numpy()
-    out = []
-    for name in ("a", "m"):
-        full = np.zeros(1 << (bits - 6), np.int64)
-        full[at] = table.column(name).to_numpy()
-        out.append(full.view(np.uint8))
-    return out
+    table = keys.groupBy(F.shiftrightunsigned("h", 64 - bits + 6).alias("w")).agg(F.bit_or(bit).alias("a")).toArrow()
+    full = np.zeros(1 << (bits - 6), np.int64)
+    full[table.column("w").to_numpy()] = table.column("a").to_numpy()
+    return full.view(np.uint8)
 
 
 def _has(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -94,37 +93,45 @@ def _has(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def repeated_spans(docs: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
-    """(doc_id, th, start, end): word spans of documents whose windows are all repeated."""
-    anchors = _anchor_counts(docs)
-    held = docs.sparkSession.sparkContext.broadcast(_bitmaps(anchors, bits))
+    """(doc_id, th, start, at): spans of documents whose windows are all repeated; at lists window starts, or is
+    null for the whole span up to `end`."""
+    anchors = staged(_anchor_counts(docs), "anchors")
+    held = docs.sparkSession.sparkContext.broadcast((_bitmap(anchors, bits), _bitmap(anchors.where("mixed"), bits)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several, differ = held.value
         for b in slices(batches):
-            rows = [[] for _ in range(6)]
+            ids, ths, cols, wins, sizes, lone = [], [], [[], [], [], []], [], [], []
             for doc_id, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2))):
                 h, v, first, last, spans = runs_of(_hashes.of(text.encode().split()))
                 at = _bit(h, bits)
-                keep = _has(several, at)
-                split = keep & _has(differ, at)
-                whole = keep & ~split
-                times = np.where(split, last - first + 1, 0)
-                ks = np.repeat(np.flatnonzero(split), times[split])
-                s = np.repeat(first[split], times[split]) + np.arange(times.sum()) - np.repeat(np.cumsum(times[split]) - times[split], times[split])
-                n = int(whole.sum()) + len(s)
-                if n:
-                    rows[0] += [doc_id] * n
-                    rows[1] += [th] * n
-                    rows[2].append(np.concatenate((h[whole], h[ks])).view(np.int64))
-                    rows[3].append(np.concatenate((v[whole], spans.of(s, s + WINDOW))).view(np.int64))
-                    rows[4].append(np.concatenate((first[whole], s)))
-                    rows[5].append(np.concatenate((last[whole], s)) + WINDOW)
-            if rows[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), *(pa.array(np.concatenate(x)) for x in rows[2:])], names=["doc_id", "th", "h", "v", "start", "end"])
-
-    seen = staged(_keyed(docs).mapInArrow(run, "doc_id long, th long, h long, v long, start long, end long"), "spans")
-    twice = seen.groupBy("h", "v").agg(F.count("*").alias("n")).where("n > 1").select("h", "v")
-    return seen.join(twice, ["h", "v"]).select("doc_id", "th", "start", "end")
+                keep = np.flatnonzero(_has(several, at))
+                if not len(keep):
+                    continue
+                ids += [doc_id] * len(keep)
+                ths += [th] * len(keep)
+                for col, x in zip(cols, (h.view(np.int64), v.view(np.int64), first, last + WINDOW)):
+                    col.append(x[keep])
+                split = _has(differ, at[keep])
+                n = np.where(split, last[keep] - first[keep] + 1, 0)
+                s = np.arange(n.sum()) + np.repeat(first[keep] - np.cumsum(n) + n, n)
+                wins.append(spans.of(s, s + WINDOW).view(np.int64))
+                sizes.append(n)
+                lone.append(~split)
+            if ids:
+                ends = np.cumsum(np.concatenate(([0], *sizes))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(wins)), mask=pa.array(np.concatenate(lone)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), *(pa.array(np.concatenate(x)) for x in cols), lists], names=["doc_id", "th", "h", "v", "start", "end", "wins"])
+
+    seen = staged(_keyed(docs).mapInArrow(run, "doc_id long, th long, h long, v long, start long, end long, wins array<long>"), "spans")
+    runs = seen.groupBy("h", "v").agg(F.count("*").alias("n"))
+    settled = runs.where("n > 1").select("h", "v", F.lit(None).cast("array<int>").alias("at"))
+    # windows of each distinct run of an anchor whose runs differ, with the number of its occurrences
+    variants = staged(seen.where("wins is not null").groupBy("h", "v").agg(F.count("*").alias("n"), F.first("wins").alias("wins")), "variants")
+    windows = variants.select("h", "v", "n", F.posexplode("wins").alias("k", "w"))
+    twice = windows.groupBy("h", "w").agg(F.sum("n").alias("s")).where("s > 1").select("h", "w")
+    lone = windows.where("n = 1").join(twice, ["h", "w"]).groupBy("h", "v").agg(F.collect_list("k").alias("at"))
+    return seen.drop("wins").join(settled.unionByName(lone), ["h", "v"]).select("doc_id", "th", "start", "end", "at")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -185,42 +192,78 @@ def locate(docs: list[tuple[object, list[bytes], list[str]]]) -> Iterator[tuple[
             yield key, words, gone
 
 
-def _with_passages(docs: DataFrame, columns: list) -> DataFrame:
-    """columns, text and the document's confirmed spans: the one place where texts are shuffled."""
-    spans = repeated_spans(docs).groupBy(F.col("doc_id").alias("x_id"), F.col("th").alias("x_th")).agg(F.collect_set(F.struct("start", "end")).alias("__sw_spans"))
-    wide = docs.withColumns({"__sw_id": F.col("doc_id").cast("long"), "__sw_th": F.xxhash64("text")})
-    return wide.join(spans, F.col("__sw_id").eqNullSafe(F.col("x_id")) & F.col("__sw_th").eqNullSafe(F.col("x_th")), "left").select(*columns, "text", "__sw_spans")
+def _with_passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, spans, n, sha): where the bitmap of text hashes rules repeats out, n words and the digest of
+    all of them instead of text and spans. Only the other texts are shuffled."""
+    flat = staged(repeated_spans(docs), "found")
+    spans = flat.groupBy(F.col("doc_id").alias("x_id"), F.col("th").alias("x_th")).agg(F.collect_list(F.struct("start", "end", "at")).alias("spans"))
+    held = docs.sparkSession.sparkContext.broadcast(_bitmap(flat.select(F.col("th").alias("h")), DOC_BITS))
+
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            maybe = _has(held.value, _bit(b.column(1).fill_null(0).to_numpy().view(np.uint64), DOC_BITS)).tolist()
+            texts = texts_of(b.column(2))
+            done = [None if m else _plain_digest(t) for t, m in zip(texts, maybe)]
+            n, sha = zip(*((d or (None, None)) for d in done))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t if m else None for t, m in zip(texts, maybe)], pa.string()), pa.array(n, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "th", "text", "n", "sha"])
+
+    sieved = _keyed(docs).mapInArrow(sieve, "doc_id long, th long, text string, n long, sha string")
+    return sieved.join(spans, F.col("doc_id").eqNullSafe(F.col("x_id")) & F.col("th").eqNullSafe(F.col("x_th")), "left").select("doc_id", "text", "spans", "n", "sha")
+
+
+def _plain_digest(text: str) -> tuple[int, str]:
+    words = text.encode().split()
+    return len(words), hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def _located(b: pa.RecordBatch, text: int, spans: int) -> Iterator[tuple[object, list[bytes], np.ndarray]]:
+def _intervals(spans: list[dict]) -> list[tuple[int, int]]:
+    out = []
+    for x in spans:
+        if x["at"] is None:
+            out.append((x["start"], x["end"]))
+        else:
+            out += [(x["start"] + k, x["start"] + k + WINDOW) for k in x["at"]]
+    return merged(out)
+
+
+def _located(texts: list[str], spans: list[list[dict] | None]) -> Iterator[tuple[object, list[bytes], np.ndarray]]:
     docs = []
-    flat = b.column(spans)
-    for k, t in enumerate(texts_of(b.column(text))):
+    for k, (t, own) in enumerate(zip(texts, spans)):
         words = t.encode().split()
-        own = flat[k]
-        some = merged(list(zip((x := own.values).field(0).to_pylist(), x.field(1).to_pylist()))) if own.is_valid else []
-        docs.append((k, words, [b" ".join(words[i:j]).decode() for i, j in some]))
+        docs.append((k, words, [b" ".join(words[i:j]).decode() for i, j in _intervals(own)] if own else []))
     return locate(docs)
 
 
+def _kept(words: list[bytes], gone: np.ndarray) -> bytes:
+    return b" ".join([x for x, g in zip(words, gone.tolist()) if not g] if gone.any() else words)
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space): a row per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            rows = [(len(w), int(gone.sum()), hashlib.sha256(b" ".join([x for x, g in zip(w, gone.tolist()) if not g] if gone.any() else w)).hexdigest()) for _, w, gone in _located(b, 1, 2)]
-            n, m, sha = zip(*rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(sha)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+            n, sha = b.column(3).to_pylist(), b.column(4).to_pylist()
+            gone_words = [0] * len(n)
+            open_ = [k for k, x in enumerate(n) if x is None]
+            texts, spans = b.column(1).to_pylist(), b.column(2).to_pylist()
+            for i, words, gone in _located([texts[k] for k in open_], [spans[k] for k in open_]):
+                k = open_[i]
+                n[k], gone_words[k], sha[k] = len(words), int(gone.sum()), hashlib.sha256(_kept(words, gone)).hexdigest()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone_words, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return _with_passages(docs, [F.col("__sw_id").alias("doc_id")]).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _with_passages(docs).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def strip(docs: DataFrame) -> DataFrame:
     """(doc_id, text): every document without its repeated words; the others joined by one space."""
+    flat = repeated_spans(docs)
+    spans = flat.groupBy(F.col("doc_id").alias("x_id"), F.col("th").alias("x_th")).agg(F.collect_list(F.struct("start", "end", "at")).alias("spans"))
+    wide = _keyed(docs).join(spans, F.col("doc_id").eqNullSafe(F.col("x_id")) & F.col("th").eqNullSafe(F.col("x_th")), "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            kept = [b" ".join([x for x, g in zip(w, gone.tolist()) if not g]).decode() for _, w, gone in _located(b, 1, 2)]
+            kept = [_kept(w, gone).decode() for _, w, gone in _located(texts_of(b.column(1)), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string())], names=["doc_id", "text"])
 
-    return _with_passages(docs, [F.col("__sw_id").alias("doc_id")]).mapInArrow(run, "doc_id long, text string")
+    return wide.mapInArrow(run, "doc_id long, text string")
