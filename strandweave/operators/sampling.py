@@ -7,6 +7,7 @@ import random
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from strandweave.functions.staging import staged
 from strandweave.plans.pattern import Pattern
 from strandweave.sources.graphs import Graph
 
@@ -18,14 +19,16 @@ def ego_nets(g: Graph, hops: int, seed: int, nets: int = NETS, fan: int = FAN) -
     """(adjacency, labels, starts) around random start vertices. Each hop follows at most `fan` neighbours of a vertex,
     chosen by hash, so what reaches the driver is bounded by nets * fan ** hops."""
     e = g.edges.select("src", "dst")
+    e = staged(e, "sample-edges")
     both = e.union(e.select("dst", "src")).toDF("x", "y")
-    start = both.select("x").distinct().orderBy(F.xxhash64("x", F.lit(seed))).limit(nets)
+    start = staged(both.select("x").distinct().orderBy(F.xxhash64("x", F.lit(seed)), "x").limit(nets), "front")
     starts = [r.x for r in start.collect()]
     near = front = start
     w = Window.partitionBy("x").orderBy(F.xxhash64("y", F.lit(seed)))
     for _ in range(hops):
         front = both.join(F.broadcast(front), "x", "left_semi").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= fan).select(F.col("y").alias("x")).distinct()
-        near = near.union(front).distinct()
+        front = staged(front, "front")
+        near = staged(near.union(front).distinct(), "near")
     inner = e.join(near.withColumnRenamed("x", "src"), "src", "left_semi").join(near.withColumnRenamed("x", "dst"), "dst", "left_semi").collect()
     adj: dict[int, set[int]] = {}
     for s, d in inner:
