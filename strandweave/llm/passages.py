@@ -131,7 +131,8 @@ def repeated_spans(docs: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
     windows = variants.select("h", "v", "n", F.posexplode("wins").alias("k", "w"))
     twice = windows.groupBy("h", "w").agg(F.sum("n").alias("s")).where("s > 1").select("h", "w")
     lone = windows.where("n = 1").join(twice, ["h", "w"]).groupBy("h", "v").agg(F.collect_list("k").alias("at"))
-    return seen.drop("wins").join(settled.unionByName(lone), ["h", "v"]).select("doc_id", "th", "start", "end", "at")
+    marks = staged(settled.unionByName(lone), "marks")  # the join below then deals both sides itself and can split a hot run
+    return seen.drop("wins").join(marks, ["h", "v"]).select("doc_id", "th", "start", "end", "at")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
