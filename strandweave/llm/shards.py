@@ -3,8 +3,7 @@
 A store is a folder: `data/` holds immutable Parquet shards, `manifest/v<n>` one Parquet table per version with
 a row per live shard (path, bytes, rows, tier). `append` writes arrivals as small shards. `compact` takes a tier
 with at least FANOUT runs of similar size and merges them to runs of the next tier, the last being TARGET_BYTES:
-Spark's own file packing puts whole small files together up to that size, a task writes each pack as one file,
-and nothing is shuffled. A version becomes visible by one rename that fails if the version exists, so two
+whole runs are packed up to that size, one task writes each pack as one file, and nothing is shuffled. A version becomes visible by one rename that fails if the version exists, so two
 writers cannot both commit and readers see a whole version or the one before; whatever a lost job left in
 `data/` is in no manifest. `vacuum` deletes files that no kept version names.
 
@@ -15,6 +14,8 @@ reading a store without shards gives an empty table of the given schema.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandweave.llm.common import drop_path, new_path
@@ -22,6 +23,9 @@ from strandweave.llm.common import drop_path, new_path
 #: Rows of an arriving shard, runs that make a tier ripe, least size of a run of tier 1, size of a full shard.
 ARRIVAL_ROWS, FANOUT, BASE_BYTES, TARGET_BYTES = 4096, 8, 8 << 20, 128 << 20
 
+#: Packs merged by one job, which bounds its plan.
+WAVE = 64
+
 MANIFEST = "path string, bytes long, rows long, tier int"
 
 
@@ -82,19 +86,32 @@ class ShardStore:
         on = self.version()
         now = self.manifest(on)
         small = now.where(F.col("bytes") < self.target // 2)
-        ripe = small.groupBy("tier").agg(F.count("*").alias("n"), F.max("bytes").alias("most")).where(F.col("n") >= self.fanout).orderBy("tier").first()
+        ripe = small.groupBy("tier").agg(F.count("*").alias("n")).where(F.col("n") >= self.fanout).orderBy("tier").first()
         if ripe is None:
             return False
-        runs = small.where(F.col("tier") == ripe.tier)
-        paths = [r.path for r in runs.select("path").orderBy("path").collect()]  # file names of one tier
-        size = min(self.target, self.base * self.fanout ** ripe.tier * 2)
-        merging = self.spark.newSession()  # settings of its own; the session of the caller keeps its own
-        for k, v in (("maxPartitionBytes", max(size, ripe.most + 1)), ("openCostInBytes", 0), ("minPartitionNum", 1)):
-            merging.conf.set(f"spark.sql.files.{k}", str(v))
+        runs = small.where(F.col("tier") == ripe.tier).select("path", "bytes").orderBy("path").collect()  # names and sizes only
+        size = min(self.target, self.base * self.fanout ** (ripe.tier + 1))
+        packs: list[list[str]] = []
+        room = 0
+        for r in runs:
+            if r.bytes > room:
+                packs.append([])
+                room = size
+            packs[-1].append(r.path)
+            room -= r.bytes
+        merged = [p for p in packs if len(p) > 1]
         folder = f"{self.root}/data/v{on + 1:08d}-t{ripe.tier + 1}"
-        merging.read.parquet(*paths).write.option("compression", "zstd").parquet(folder)
-        made = self._shards_in(folder).withColumn("tier", F.greatest("tier", F.lit(ripe.tier + 1)))
-        self.commit(now.join(runs.select("path"), "path", "left_anti").unionByName(made), on)
+        gone = self.spark.createDataFrame([(x,) for p in merged for x in p], "path string")
+        left = now.join(gone, "path", "left_anti")
+        # a run without a partner of its size moves up a tier unchanged
+        kept = left.withColumn("tier", F.when((F.col("tier") == ripe.tier) & (F.col("bytes") < self.target // 2), F.col("tier") + 1).otherwise(F.col("tier")))
+        if merged:
+            schema = self.spark.read.parquet(merged[0][0]).schema
+            for k in range(0, len(merged), WAVE):
+                parts = [self.spark.read.schema(schema).parquet(*p).coalesce(1) for p in merged[k : k + WAVE]]
+                reduce(DataFrame.unionAll, parts).write.mode("append").option("compression", "zstd").parquet(folder)
+            kept = kept.unionByName(self._shards_in(folder).withColumn("tier", F.greatest("tier", F.lit(ripe.tier + 1))))
+        self.commit(kept, on)
         return True
 
     def compact(self, keep: int | None = None) -> int:
@@ -105,14 +122,16 @@ class ShardStore:
         return self.version()
 
     def vacuum(self, keep: int = 1) -> None:
-        """Delete versions but the last `keep`, and the folders of data that none of these names."""
+        """Delete versions but the last `keep`, and the shards that none of these names."""
         last = self.version()
-        named = {r.d for v in range(max(1, last - keep + 1), last + 1) for r in self.manifest(v).select(F.regexp_extract("path", "/data/([^/]+)/", 1).alias("d")).distinct().collect()}
+        named = {r.d for v in range(max(1, last - keep + 1), last + 1) for r in self.manifest(v).select(F.regexp_extract("path", "/data/(.+)$", 1).alias("d")).collect()}
         p, fs = self._fs(f"{self.root}/data")
-        for s in fs.listStatus(p):
-            n = s.getPath().getName()
-            if n not in named and int(n[1:9]) <= last:
-                drop_path(self.spark, f"{self.root}/data/{n}")
+        for folder in fs.listStatus(p):
+            name = folder.getPath().getName()
+            if int(name[1:9]) <= last:  # a later one belongs to a writer that has yet to commit
+                for f in fs.listStatus(folder.getPath()):
+                    if f"{name}/{f.getPath().getName()}" not in named and f.getPath().getName().endswith(".parquet"):
+                        fs.delete(f.getPath(), False)
         for v in range(last - keep, 0, -1):
             q, _ = self._fs(f"{self.root}/manifest/v{v:08d}")
             if not fs.exists(q):
