@@ -9,16 +9,18 @@ stands in any other way go to the library whole. New pieces are encoded together
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Pieces that a worker remembers, and misses after which it forgets them.
-MEMO, MISSES = 800_000, 20_000_000
+MEMO, MISSES = 1_000_000, 20_000_000
 # White space of any kind but single spaces and line feeds as described: 0x09, 0x0B-0x0D, 0x1C-0x1F and beyond ASCII.
-_ODD_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
-_WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_WIDE_SPACE = tuple("\x1c\x1d\x1e\x1f\x85\xa0                　")
+_ODD_SPACE = (*"\t\x0b\x0c\r", *_WIDE_SPACE)
+# ASCII marks that never join letters before them (the apostrophe does).
+_MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+_MARKS_B = _MARKS.encode()
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -32,16 +34,29 @@ class Memo(dict):
     """piece -> ids. Pieces not found are noted in `fresh`; when full it only holds what it has, and starts
     anew after MISSES misses, so that it follows the texts."""
 
-    def __init__(self, stops: dict):
+    def __init__(self, tails: dict, encode):
         super().__init__()
-        self.stops, self.fresh, self.missed = stops, [], 0
+        self.tails, self.encode, self.fresh, self.missed = tails, encode, [], 0
 
     def __missing__(self, piece):
-        stop = self.stops.get(piece[-1:])
-        if stop is not None:  # letters and a full stop or comma: known if the letters are
-            letters = piece[:-1]
-            if letters in self and (letters if isinstance(letters, str) else letters.decode()).isalpha():
-                return self[letters] + stop
+        marks = _MARKS if isinstance(piece, str) else _MARKS_B
+        head = piece.rstrip(marks)
+        if len(head) < len(piece):  # letters and marks behind them are cut apart by both vocabularies
+            letters = head.decode() if isinstance(head, bytes) else head[1:] if head[:1] == "\n" else head
+            if letters.isalpha():
+                ids = dict.get(self, head)
+                if ids is None:
+                    self.fresh.append(head)
+                    return None
+                tail = piece[len(head) :]
+                if tail not in self.tails:
+                    if len(self.tails) > 10_000:
+                        self.tails.clear()
+                    self.tails[tail] = self.encode(tail)
+                ids += self.tails[tail]
+                if len(self) < MEMO:
+                    self[piece] = ids
+                return ids
         self.fresh.append(piece)
         return None
 
@@ -70,7 +85,8 @@ class Encoder:
             self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
         if len(self.opens) > 1 << 16:
             raise ValueError("ids are held in 16 bits")
-        self.memo = Memo(dict(zip((b".", b",") if self.by_word else (".", ","), self._plain([".", ","]))))
+        self.memo = Memo({}, lambda tail: self._plain([tail if isinstance(tail, str) else tail.decode()])[0])
+        self.firsts: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint16).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -98,8 +114,8 @@ class Encoder:
 
     def _pieces(self, t: str) -> list | None:
         if self.by_word:
-            return None if _WIDE_SPACE.search(t) else t.encode().lower().split()
-        if "  " in t or "\n " in t or "\n\n" in t or t.endswith(" \n") or _ODD_SPACE.search(t):
+            return None if any(c in t for c in _WIDE_SPACE) else t.encode().lower().split()
+        if "  " in t or "\n " in t or "\n\n" in t or t.endswith(" \n") or any(c in t for c in _ODD_SPACE):
             return None
         return t.replace("\n", " \n").split(" ")
 
@@ -123,7 +139,11 @@ class Encoder:
         if fresh:
             fresh = list(dict.fromkeys(fresh))
             self._learn(fresh)
-        first = iter(self._plain(firsts))
+        if len(self.firsts) > MEMO // 8:
+            self.firsts.clear()
+        new = [p for p in dict.fromkeys(firsts) if p not in self.firsts]
+        self.firsts.update(zip(new, self._plain(new)))
+        first = map(self.firsts.__getitem__, firsts)
         whole = iter(self._plain([t for t, x in zip(texts, out) if x is None]))
         result = []
         for x in out:
