@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from strandweave.functions.staging import staged
 from strandweave.operators.relations import relation
 from strandweave.plans.pattern import Pattern
 from strandweave.plans.planner import Order, Stats, plan, reach_order
@@ -107,7 +108,7 @@ def delta(edges: DataFrame, p: Pattern, stats: Stats | None = None, strategy: st
     out = None
     for i, e in enumerate(p.edges):
         order = plan(p, stats, seed=e, strategy=strategy)
-        kept = local_candidates(edges, p, i) if reduce_first else {}
+        kept = {u: staged(x, "reduced") for u, x in local_candidates(edges, p, i).items()} if reduce_first else {}
 
         def rel(u, v, kept=kept):
             r = relation(edges, p.labels[u], p.labels[v])
