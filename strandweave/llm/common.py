@@ -8,11 +8,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows of an Arrow batch that are handled together in Python; keeps worker memory flat when texts are long.
 SLICE_ROWS = 128
+#: Bytes of text of a slice where work on its distinct words pays off.
+SLICE_BYTES = 4 << 20
 
 
 # --- staged tables ---------------------------------------------------------------------------------
@@ -64,6 +67,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield b.slice(i, rows)
 
 
+def heavy_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices with at most `most` bytes of text in a column, or one row."""
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        i = 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+            yield b.slice(i, j - i)
+            i = j
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings; null counts as empty."""
     return [t or "" for t in column.to_pylist()]

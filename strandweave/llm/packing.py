@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strandweave.llm.common import slices, staged, texts_of
+from strandweave.llm.common import heavy_slices, slices, staged
 from strandweave.llm.tokens import BYTE_BPE, encoder, tokenizer_path
 
 SIZE, END = 2048, 1
@@ -32,14 +32,14 @@ def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, tail = encoder(path), np.array([end], np.uint16).tobytes()
-        part, before = TaskContext.get().partitionId(), 0
-        for b in slices(batches):
-            ids = [x + tail for x in enc.encode(texts_of(b.column(1)))]
-            n = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        enc, part, before = encoder(path), TaskContext.get().partitionId(), 0
+        for b in heavy_slices(batches, 1):
+            ids, n = enc.encode(b.column(1), end)
             sums = before + np.cumsum(n)
+            at = np.concatenate(([0], 2 * (sums - before))).astype(np.int32)
             before = int(sums[-1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(n), pa.array(np.full(len(n), part)), pa.array(sums - n)], names=["doc_id", "ids", "n", "part", "before"])
+            raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([b.column(0), raw, pa.array(n), pa.array(np.full(len(n), part)), pa.array(sums - n)], names=["doc_id", "ids", "n", "part", "before"])
 
     return staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, n long, part long, before long"), "tokens")
 

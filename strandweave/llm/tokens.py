@@ -11,6 +11,8 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Pieces that a worker remembers, and misses after which it forgets them.
@@ -20,7 +22,6 @@ _WIDE_SPACE = tuple("\x1c\x1d\x1e\x1f\x85\xa0           
 _ODD_SPACE = (*"\t\x0b\x0c\r", *_WIDE_SPACE)
 # ASCII marks that never join letters before them (the apostrophe does).
 _MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
-_MARKS_B = _MARKS.encode()
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -38,11 +39,10 @@ class Memo(dict):
         super().__init__()
         self.tails, self.encode, self.fresh, self.missed = tails, encode, [], 0
 
-    def __missing__(self, piece):
-        marks = _MARKS if isinstance(piece, str) else _MARKS_B
-        head = piece.rstrip(marks)
+    def __missing__(self, piece: str):
+        head = piece.rstrip(_MARKS)
         if len(head) < len(piece):  # letters and marks behind them are cut apart by both vocabularies
-            letters = head.decode() if isinstance(head, bytes) else head[1:] if head[:1] == "\n" else head
+            letters = head[1:] if head[:1] == "\n" else head
             if letters.isalpha():
                 ids = dict.get(self, head)
                 if ids is None:
@@ -71,6 +71,8 @@ class Memo(dict):
 
 
 class Encoder:
+    """Texts are split and their distinct pieces found by Arrow; only those are looked up, once per call."""
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -85,14 +87,15 @@ class Encoder:
             self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
         if len(self.opens) > 1 << 16:
             raise ValueError("ids are held in 16 bits")
-        self.memo = Memo({}, lambda tail: self._plain([tail if isinstance(tail, str) else tail.decode()])[0])
+        self.memo = Memo({}, lambda tail: self._plain([tail])[0])
         self.firsts: dict[str, bytes] = {}
+        self.odd = f"[{''.join(_WIDE_SPACE)}]" if self.by_word else f"  |\n |\n\n| \n\\z|[{''.join(_ODD_SPACE)}]"
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint16).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, fresh: list) -> None:
-        texts = [p.decode() for p in fresh] if self.by_word else [p if p[:1] == "\n" else f" {p}" for p in fresh]
+    def _learn(self, fresh: list[str]) -> None:
+        texts = fresh if self.by_word else [p if p[:1] == "\n" else f" {p}" for p in fresh]
         if self.by_word:
             joint = [(p, t) for p, t in zip(fresh, texts) if "|" not in t]
         else:
@@ -112,49 +115,56 @@ class Encoder:
         for (p, _), raw in zip(rest, self._plain([t for _, t in rest])):
             self.memo[p] = raw
 
-    def _pieces(self, t: str) -> list | None:
-        if self.by_word:
-            return None if any(c in t for c in _WIDE_SPACE) else t.encode().lower().split()
-        if "  " in t or "\n " in t or "\n\n" in t or t.endswith(" \n") or any(c in t for c in _ODD_SPACE):
-            return None
-        return t.replace("\n", " \n").split(" ")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 16-bit numbers."""
+    def _looked_up(self, pieces: list[str]) -> list[bytes]:
         memo = self.memo
-        get = memo.__getitem__
         memo.fresh = fresh = []
-        out, firsts = [], []
-        for t in texts:
-            pieces = self._pieces(t)
-            if pieces is None:
-                out.append(None)
-                continue
-            if not self.by_word:  # the first piece has no space before it
-                firsts.append(pieces[0])
-                del pieces[0]
-            n = len(fresh)
-            ids = list(map(get, pieces))
-            out.append((ids if len(fresh) == n else None, pieces))
+        ids = list(map(memo.__getitem__, pieces))
         if fresh:
             fresh = list(dict.fromkeys(fresh))
             self._learn(fresh)
+            ids = [memo[p] if x is None else x for p, x in zip(pieces, ids)]
+        memo.settle(fresh)
+        return ids
+
+    def _opening(self, pieces: list[str]) -> list[bytes]:
+        """Pieces at the start of a text, which have no space before them."""
         if len(self.firsts) > MEMO // 8:
             self.firsts.clear()
-        new = [p for p in dict.fromkeys(firsts) if p not in self.firsts]
+        new = [p for p in dict.fromkeys(pieces) if p not in self.firsts]
         self.firsts.update(zip(new, self._plain(new)))
-        first = map(self.firsts.__getitem__, firsts)
-        whole = iter(self._plain([t for t, x in zip(texts, out) if x is None]))
-        result = []
-        for x in out:
-            if x is None:
-                result.append(next(whole))
-                continue
-            ids, pieces = x
-            ids = map(get, pieces) if ids is None else ids
-            result.append(b"".join(ids) if self.by_word else next(first) + b"".join(ids))
-        memo.settle(fresh)
-        return result
+        return [self.firsts[p] for p in pieces]
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, `end` after each; how many each has, with it). Null counts as empty."""
+        texts = pc.fill_null(texts, "").cast(pa.string())
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        plain = texts.filter(pa.array(~odd))
+        split = pc.ascii_split_whitespace(pc.ascii_lower(plain)) if self.by_word else pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
+        flat = split.flatten().dictionary_encode()
+        raws = self._looked_up(flat.dictionary.to_numpy(zero_copy_only=False).tolist())
+        # a code per piece of every text: a whole odd text is one piece, and so is the end id
+        n = np.ones(len(texts), np.int64)
+        n[~odd] = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(n + 1)
+        codes = np.full(int(ends[-1]) if len(ends) else 0, -1, np.int64)
+        codes[ends - 1] = -2
+        if odd.any():
+            codes[ends[odd] - 2] = len(raws) + np.arange(odd.sum())
+            raws += self._plain(texts.filter(pa.array(odd)).to_pylist())
+        codes[codes == -1] = flat.indices.to_numpy()
+        if not self.by_word:
+            at = (ends - n - 1)[~odd]
+            first = [flat.dictionary[k].as_py() for k in codes[at].tolist()]
+            codes[at] = len(raws) + np.arange(len(at))
+            raws += self._opening(first)
+        codes[ends - 1] = len(raws)
+        raws.append(np.array([end], np.uint16).tobytes())
+        size = np.fromiter(map(len, raws), np.int64, len(raws)) // 2
+        start = np.cumsum(size) - size
+        own = size[codes]
+        upto = np.cumsum(own)
+        ids = np.frombuffer(b"".join(raws), "<u2")[np.repeat(start[codes] - upto + own, own) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        return ids, np.diff(upto[ends - 1], prepend=0)
 
 
 def encoder(path: str) -> Encoder:
