@@ -91,10 +91,22 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().split()
 
 
+_held: dict | None = None
+
+
+def hold(memo: dict) -> None:
+    """A reused worker keeps one memo, that of the task at hand; the one of the task before is emptied."""
+    global _held
+    if _held is not memo:
+        if _held is not None:
+            _held.clear()
+        _held = memo
+
+
 class WordHash(dict):
     """word -> seeded 64-bit hash; forgets everything when it has grown to `most` words."""
 
-    def __init__(self, seed: int = 0, most: int = 600_000):
+    def __init__(self, seed: int = 0, most: int = 400_000):
         super().__init__()
         self.seed, self.most = seed, most
 
@@ -105,11 +117,15 @@ class WordHash(dict):
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
+        hold(self)
         if len(self) >= self.most:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: The one that all operators share.
+word_hashes = WordHash()
+
 _ODD = 0x9E3779B97F4A7C15 | 1
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from strandweave.llm.common import SpanHash, WordHash, mix, slices, texts_of
+from strandweave.llm.common import SpanHash, mix, slices, texts_of, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, BLOCKS, NEAR, RADIUS = 128, 16, 2, 47
@@ -34,7 +34,6 @@ CHUNK_BYTES = 8 << 20
 
 SCHEMA = "doc_id long, item_id long, start_word long, n_words long, n_windows long, distance long, similarity double"
 _NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
-_hashes = WordHash()
 
 
 def shingles(h: np.ndarray, width: int = SHINGLE) -> np.ndarray:
@@ -54,7 +53,7 @@ class Index:
         self.ids, self.sizes, self.counts, prints = [], [], [], []
         grams, owner = [], []
         for item_id, text in items:
-            h = _hashes.of((text or "").encode().split())
+            h = word_hashes.of((text or "").encode().split())
             if not len(h):
                 continue
             s = shingles(h)
@@ -87,7 +86,7 @@ class Index:
 
     def leaks(self, text: str) -> list[tuple]:
         """(item_id, start_word, n_words, n_windows, distance, similarity): the best window of each leaked item."""
-        h = _hashes.of(text.encode().split())
+        h = word_hashes.of(text.encode().split())
         out = []
         for width in self.short:
             if len(h) < width:

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from strandweave.llm.common import SpanHash, WordHash, slices, staged, texts_of
+from strandweave.llm.common import SpanHash, slices, staged, texts_of, word_hashes
 
 WINDOW, GRAM = 35, 8
 #: log2 of the bits of a bitmap: 16 MB each, whatever the data.
@@ -40,8 +40,6 @@ DOC_BITS = 24
 #: Passage text compiled into one automaton, in bytes; a longer single passage has an automaton of its own.
 SHARD_BYTES = 1 << 20
 
-_hashes = WordHash()
-
 
 def runs_of(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(anchor hash, run hash, first window, last window) per run, and the span hashes of the document."""
@@ -70,7 +68,7 @@ def _anchor_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            some = [runs_of(_hashes.of(t.encode().split()))[:2] for t in texts_of(b.column(0))]
+            some = [runs_of(word_hashes.of(t.encode().split()))[:2] for t in texts_of(b.column(0))]
             h = np.concatenate([x[0] for x in some]).view(np.int64) if some else np.zeros(0, np.int64)
             v = np.concatenate([x[1] for x in some]).view(np.int64) if some else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(v)], names=["h", "v"])
@@ -103,7 +101,7 @@ def repeated_spans(docs: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
         for b in slices(batches):
             ids, ths, cols, wins, sizes, lone = [], [], [[], [], [], []], [], [], []
             for doc_id, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2))):
-                h, v, first, last, spans = runs_of(_hashes.of(text.encode().split()))
+                h, v, first, last, spans = runs_of(word_hashes.of(text.encode().split()))
                 at = _bit(h, bits)
                 keep = np.flatnonzero(_has(several, at))
                 if not len(keep):

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from strandweave.llm.common import SpanHash, WordHash, slices, sliding_cover, texts_of
+from strandweave.llm.common import SpanHash, slices, sliding_cover, texts_of, word_hashes
 
 #: Buckets for hashed n-grams; the model is two vectors of this length, so what is broadcast is bounded.
 BUCKETS = 1 << 15
@@ -31,7 +31,6 @@ SMOOTHING = 2.0
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, llr double, kept boolean"
 
-_hashes = WordHash()
 _SYMBOLS = bytes(b"#*$%&|<>")
 _SPACES = bytes(b" \t\n\x0b\x0c\r")
 
@@ -79,7 +78,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> np.ndarra
             for text, is_target in zip(texts_of(b.column(0)), b.column(1).to_pylist()):
                 words = text.encode().split()
                 if words:
-                    c = np.bincount(ngram_buckets(_hashes.of(words), buckets), minlength=buckets)
+                    c = np.bincount(ngram_buckets(word_hashes.of(words), buckets), minlength=buckets)
                     raw += c
                     if is_target:
                         target += c
@@ -106,7 +105,7 @@ def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 def judge_text(text: str, ratios: np.ndarray, threshold: float) -> tuple:
     words = text.encode().split()
-    h = _hashes.of(words)
+    h = word_hashes.of(words)
     n, chars, symbols, dup, repeat = base_counts(text, h, words)
     failed = n < 50 or 100 * repeat > 50 * n
     llr = float(ratios[ngram_buckets(h, len(ratios))].sum() / (2 * n - 1)) if n else 0.0

@@ -14,9 +14,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from strandweave.llm.common import hold
+
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Pieces that a worker remembers, and misses after which it forgets them.
-MEMO, MISSES = 1_000_000, 20_000_000
+MEMO, MISSES = 600_000, 20_000_000
 # White space of any kind but single spaces and line feeds as described: 0x09, 0x0B-0x0D, 0x1C-0x1F and beyond ASCII.
 _WIDE_SPACE = tuple("\x1c\x1d\x1e\x1f\x85\xa0                　")
 _ODD_SPACE = (*"\t\x0b\x0c\r", *_WIDE_SPACE)
@@ -171,4 +173,5 @@ def encoder(path: str) -> Encoder:
     """One per worker and vocabulary."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    hold(_encoders[path].memo)
     return _encoders[path]
