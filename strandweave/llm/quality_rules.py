@@ -1,12 +1,16 @@
 """Quality rules: hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
-`fit` counts hashed word unigrams and bigrams over every document (raw) and over the trusted ones (target)
-and returns per-bucket log ratios; `judge` scores every document with the mean ratio over its n-grams and
-keeps it when the mean reaches a fixed threshold. Base counts and `base_failed` follow fixed rules.
+`fit` counts hashed word unigrams and bigrams over every document (raw) and over the trusted ones (target). A
+bucket's log ratio compares its target count with what the raw share leads one to expect, both plus PSEUDO; it is
+zero where the difference is under EVIDENCE deviations. Texts are dealt to FOLDS by their hash and each is scored
+without the target counts of its own fold, so trusted documents have no advantage over others. The cut-off is
+where, on labelled rows, the share of trusted ones kept plus the mean share of toxic and of low-quality ones
+rejected is largest (the least such value, in steps of STEP). Base counts and `base_failed` follow fixed rules.
 
 Words are maximal runs of anything but 0x20 and 0x09-0x0D. Null text counts as empty; an empty document has
 all counts zero, fails the base rule and is not kept. A repeated row is judged like any other row, so equal
-texts get equal verdicts. Without any trusted document all ratios are zero and the base rule alone decides.
+texts get equal verdicts. Without any trusted document all ratios are zero and the base rule alone decides;
+without any bad one the cut-off is the least score of a trusted one. Labels that disagree count as bad.
 Other columns, whatever their names, are ignored by `judge` and passed through by `keep_clean`.
 """
 
@@ -16,18 +20,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from strandweave.llm.common import SpanHash, slices, sliding_cover, texts_of, word_hashes
+from strandweave.llm.common import SpanHash, slices, sliding_cover, staged, texts_of, word_hashes
 
-#: Buckets for hashed n-grams; the model is two vectors of this length, so what is broadcast is bounded.
-BUCKETS = 1 << 15
+#: Buckets for hashed n-grams; the model is FOLDS vectors of this length, so what is broadcast is bounded.
+BUCKETS = 1 << 18
 #: Trusted rows that the target is fitted on, at most: those with the least hash of their id.
 TRUSTED_ROWS = 20_000
-#: Mean log ratio (nats per n-gram) below which a document is rejected.
-THRESHOLD = -0.08
-#: Added to each bucket, in units of the bucket's share.
-SMOOTHING = 2.0
+#: Parts of the target; a text is scored by all but its own.
+FOLDS = 4
+#: Added to a bucket's target count and to the count expected of it.
+PSEUDO = 1.0
+#: Deviations from the expected count below which a bucket says nothing.
+EVIDENCE = 2.0
+#: Steps in which the cut-off is chosen (nats per n-gram).
+STEP = 0.0005
+TRUSTED, LOW, TOXIC = 0, 1, 2
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, llr double, kept boolean"
 
@@ -63,44 +73,77 @@ def base_counts(text: str, h: np.ndarray, words: list[bytes]) -> tuple[int, int,
     return n, word_chars, symbols, dup, repeat
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED_ROWS) -> DataFrame:
-    """Ids of trusted documents: labelled good and not toxic. A documented, bounded sample of the labelled rows."""
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def labelled_ids(labels: DataFrame, most: int = TRUSTED_ROWS) -> DataFrame:
+    """(doc_id, kind) of labelled documents. Trusted: good and not toxic, a documented, bounded sample."""
+    bad = F.when(F.max(F.coalesce("toxic", F.lit(0))) == 1, TOXIC).when(F.min("quality") == 0, LOW).when(F.min("quality") == 1, TRUSTED)
+    kinds = labels.where("doc_id is not null").groupBy("doc_id").agg(bad.alias("kind")).where("kind is not null")
+    good = kinds.where(F.col("kind") == TRUSTED).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return kinds.where(F.col("kind") != TRUSTED).union(good)
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """Log ratio per bucket. Raw counts cover all documents; at most `buckets` rows reach the driver."""
+def fold_of(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode()) % FOLDS
+
+
+def counted(texts: DataFrame, folds: int, buckets: int) -> np.ndarray:
+    """(folds, buckets) n-gram counts of texts(text); at most `buckets` rows reach the driver."""
+    names = ["bucket", *(f"n{k}" for k in range(folds))]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        n = np.zeros((folds, buckets), np.int64)
         for b in slices(batches):
-            for text, is_target in zip(texts_of(b.column(0)), b.column(1).to_pylist()):
+            for text in texts_of(b.column(0)):
                 words = text.encode().split()
                 if words:
-                    c = np.bincount(ngram_buckets(word_hashes.of(words), buckets), minlength=buckets)
-                    raw += c
-                    if is_target:
-                        target += c
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
-
-    ids = trusted_ids(labels).select(F.col("doc_id").alias("__sw_id"), F.lit(True).alias("__sw_target"))
-    marked = docs.select(F.col("doc_id").alias("__sw_id"), F.col("text").alias("__sw_text")).join(F.broadcast(ids), "__sw_id", "left").select("__sw_text", "__sw_target")
-    got = marked.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    raw, target = np.zeros(buckets), np.zeros(buckets)
-    for r in got.collect():
-        raw[r.bucket], target[r.bucket] = r.raw, r.target
-    return log_ratio(raw, target)
+                    np.add.at(n[fold_of(text) if folds > 1 else 0], ngram_buckets(word_hashes.of(words), buckets), 1)
+        some = np.flatnonzero(n.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(x[some]) for x in n)], names=names)
+
+    got = texts.mapInArrow(count, ", ".join(f"{c} long" for c in names)).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in names[1:])).toArrow()
+    out = np.zeros((folds, buckets), np.int64)
+    for k in range(folds):
+        out[k, got.column("bucket").to_numpy()] = got.column(f"n{k}").to_numpy()
+    return out
 
 
 def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Smoothed log(target share / raw share); zero where nothing is trusted."""
+    """log(target count / count expected from raw) where the counts are evidence of a difference, else zero."""
     if not target.sum():
-        return np.zeros(len(raw))
-    back = (raw + 1) / (raw + 1).sum()
-    front = (target + SMOOTHING * len(raw) * back) / (target.sum() + SMOOTHING * len(raw))
-    return np.log(front / back)
+        return np.zeros(len(raw), np.float32)
+    expected = raw * (target.sum() / raw.sum())
+    sure = np.abs(target - expected) >= EVIDENCE * np.sqrt(expected + 1)
+    return np.where(sure, np.log((target + PSEUDO) / (expected + PSEUDO)), 0).astype(np.float32)
+
+
+def cut_off(scores: DataFrame) -> float:
+    """The cut-off from scores(kind, llr) of labelled documents; a row per kind and STEP reaches the driver."""
+    got = scores.groupBy("kind", F.floor(F.col("llr") / STEP).alias("step")).agg(F.count("*").alias("n")).toPandas()
+    if not (got.kind == TRUSTED).any():
+        return float("-inf")
+    steps = np.unique(got.step)
+    good = got[got.kind == TRUSTED]
+    if len(good) == len(got):
+        return float(good.step.min() * STEP)
+    below = {k: np.array([x.n[x.step < s].sum() for s in steps]) / x.n.sum() for k, x in got.groupby("kind")}
+    gain = np.mean([x for k, x in below.items() if k != TRUSTED], axis=0) - below[TRUSTED]
+    return float(steps[np.argmax(np.round(gain, 12))] * STEP)
+
+
+def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray, float]:
+    """(log ratio by fold and bucket, cut-off). Raw counts cover all documents."""
+    known = staged(docs.select(F.col("doc_id").cast("long"), "text").join(labelled_ids(labels).select(F.col("doc_id").cast("long"), "kind"), "doc_id").select("kind", "text"), "quality")
+    raw = counted(docs.select("text"), 1, buckets)[0]
+    target = counted(known.where(F.col("kind") == TRUSTED).select("text"), FOLDS, buckets)
+    ratios = np.stack([log_ratio(raw, target.sum(axis=0) - own) for own in target])
+    held = docs.sparkSession.sparkContext.broadcast(ratios)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            rows = [judge_text(t, held.value, 0.0) for t in texts_of(b.column(1))]
+            out = pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array([r[6] for r in rows], pa.float64())], names=["kind", "llr"])
+            yield out.filter(pa.array([not r[5] for r in rows], pa.bool_()))
+
+    return ratios, cut_off(known.mapInArrow(run, "kind int, llr double"))
 
 
 def judge_text(text: str, ratios: np.ndarray, threshold: float) -> tuple:
@@ -108,11 +151,12 @@ def judge_text(text: str, ratios: np.ndarray, threshold: float) -> tuple:
     h = word_hashes.of(words)
     n, chars, symbols, dup, repeat = base_counts(text, h, words)
     failed = n < 50 or 100 * repeat > 50 * n
-    llr = float(ratios[ngram_buckets(h, len(ratios))].sum() / (2 * n - 1)) if n else 0.0
+    own = ratios[fold_of(text)]
+    llr = float(own[ngram_buckets(h, len(own))].sum(dtype=float) / (2 * n - 1)) if n else 0.0
     return n, chars, symbols, dup, repeat, failed, llr, not failed and llr >= threshold
 
 
-def judge(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+def judge(docs: DataFrame, ratios: np.ndarray, threshold: float) -> DataFrame:
     """One row per document with SCHEMA."""
     held = docs.sparkSession.sparkContext.broadcast(ratios)
 
@@ -124,17 +168,19 @@ def judge(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD) ->
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of docs, all columns, that the rules keep; no join and no shuffle of texts."""
-    held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:
+    """Rows of docs, all columns, that the rules keep. `threshold` overrides the cut-off."""
+    ratios, cut = fit(docs, labels)
+    least = cut if threshold is None else threshold
+    held = docs.sparkSession.sparkContext.broadcast(ratios)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield b.filter(pa.array([judge_text(t, held.value, threshold)[-1] for t in texts_of(b.column(at))], pa.bool_()))
+            yield b.filter(pa.array([judge_text(t, held.value, least)[-1] for t in texts_of(b.column(at))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return judge(docs, fit(docs, labels))
+    return judge(docs, *fit(docs, labels))

@@ -121,6 +121,19 @@ def test_quality(spark):
     assert quality_rules.keep_clean(d, labels).count() == kept and quality_rules.keep_clean(d, labels).columns == d.columns
 
 
+@pytest.mark.parametrize("size", [200, 1200])
+def test_quality_cut_off(spark, size):
+    r = random.Random(size)
+    insult = lambda k: prose(100, 5000 + k) + " " + " ".join(r.choice(["scum", "moron", "idiot"]) for _ in range(8))
+    texts = [insult(k) if k % 6 == 0 else prose(110, 5000 + k) for k in range(size)]
+    labels = spark.createDataFrame([(k, 1, int(k % 6 == 0)) for k in range(0, size) if k % 5 < 2], "doc_id long, quality int, toxic int")
+    kept = {x.doc_id: x.kept for x in quality_rules.judged(docs(spark, texts), labels).collect()}
+    share = lambda some: np.mean([kept[k] for k in some])
+    assert share([k for k in kept if k % 6 == 0]) < 0.1  # toxic, labelled or not
+    known, other = (share([k for k in kept if k % 6 and (k % 5 < 2) == x]) for x in (True, False))
+    assert known > 0.9 and other > 0.9
+
+
 def slow_print(t):
     w = t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     w = words(w)
