@@ -112,8 +112,8 @@ class Index:
         size = self.sizes[item]
         m = size - width + 1  # shingles of a window
         last = len(h) - size
-        least = -(-2 * m * SIMILARITY // (1 + SIMILARITY)) if m > 1 else 1
-        if last < 0 or len(hits) < least:
+        least = -(-8 * m // 9) if m > 1 else 1  # 2m * 0.8 / 1.8 in integers
+        if len(hits) < least:
             return None
         # the number of hits in a window changes only where one enters or leaves: count them by sorted search
         first = np.unique(np.clip(np.concatenate([hits - k for k in range(m)]) if len(hits) * m < 4096 else np.arange(max(0, hits[0] - m + 1), hits[-1] + 1), 0, last))

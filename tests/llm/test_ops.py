@@ -199,6 +199,14 @@ def test_decontamination(spark):
     assert decontaminate.leaks(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size, at", [(31, [2]), (31, [28]), (58, [2, 55])])
+def test_leak_of_exactly_the_similarity(size, at):
+    w = prose(size, 80).split()
+    near = ["changed" if k in at else x for k, x in enumerate(w)]
+    got = decontaminate.Index([(1, " ".join(w))]).leaks(prose(20, 81) + " " + " ".join(near) + " " + prose(20, 82))
+    assert [(x[0], x[2], x[-1]) for x in got] == [(1, size, 0.8)]
+
+
 PII = "Write joe.x@mail.example.com, or 10.0.0.256 and 10.1.2.3. Card 4111 1111 1111 1111 no 4111-1111-1111-1112; call +1 (555) 010-2030 now. a@b.c_d@e.f +12 3"
 
 
