@@ -1,8 +1,8 @@
 """Benchmark decontamination: SimHash over item-sized windows, multi-index Hamming blocks, exact verification.
 
-For an item of L words, every window of L words of a document is a candidate. Weighted similarity is the
-multiset Jaccard of 5-word shingles (fewer words: one shingle, the whole sequence); 0.8 or more is a leak. Such a window shares at
-least 2m*0.8/1.8 of its m shingles with the item, so windows with fewer shared shingle positions are left out
+For an item of L words, every window of L words of a document is a candidate; a shorter document is one window. Weighted similarity is the
+multiset Jaccard of 5-word shingles (fewer words: one shingle, the whole sequence); 0.8 or more is a leak. Such a window of
+m shingles shares at least (n+m)*0.8/1.8 of them with an item of n, so windows with fewer shared shingle positions are left out
 without loss. The rest get a 128-bit SimHash; item fingerprints are indexed in 16 blocks of 8 bits, each table
 listing the items within 2 bits of a block value. By the pigeonhole rule that reaches every item within
 RADIUS = 47 bits (16 blocks with 3 or more differing bits make 48). At similarity 0.8 the expected distance is
@@ -109,10 +109,11 @@ class Index:
         return out
 
     def _best(self, h: np.ndarray, s: np.ndarray, hits: np.ndarray, item: int, width: int) -> tuple | None:
-        size = self.sizes[item]
+        full = self.sizes[item] - width + 1  # shingles of the item
+        size = min(self.sizes[item], len(h))
         m = size - width + 1  # shingles of a window
         last = len(h) - size
-        least = -(-8 * m // 9) if m > 1 else 1  # 2m * 0.8 / 1.8 in integers
+        least = -(-4 * (full + m) // 9)  # (full + m) * 0.8 / 1.8 in integers
         if len(hits) < least:
             return None
         # the number of hits in a window changes only where one enters or leaves: count them by sorted search
@@ -130,7 +131,7 @@ class Index:
             for start, d in zip(chunk[distance >= 0].tolist(), distance[distance >= 0].tolist()):
                 own = Counter(s[start : start + m].tolist())
                 both = sum((own & self.counts[item]).values())
-                like = both / (2 * m - both)
+                like = both / (full + m - both)
                 if like >= SIMILARITY:
                     n += 1
                     if best is None or (like, -d, -start) > (best[4], -best[3], -best[0]):

@@ -207,6 +207,13 @@ def test_leak_of_exactly_the_similarity(size, at):
     assert [(x[0], x[2], x[-1]) for x in got] == [(1, size, 0.8)]
 
 
+@pytest.mark.parametrize("cut, like", [(slice(0, 48), 44 / 46), (slice(1, 50), 45 / 46), (slice(0, 41), 37 / 46), (slice(0, 40), None)])
+def test_leak_into_a_shorter_document(cut, like):
+    w = prose(50, 83).split()
+    got = decontaminate.Index([(1, " ".join(w))]).leaks(" ".join(w[cut]))
+    assert [(x[0], x[1], x[2], x[-1]) for x in got] == ([(1, 0, len(w[cut]), like)] if like else [])
+
+
 PII = "Write joe.x@mail.example.com, or 10.0.0.256 and 10.1.2.3. Card 4111 1111 1111 1111 no 4111-1111-1111-1112; call +1 (555) 010-2030 now. a@b.c_d@e.f +12 3"
 
 
