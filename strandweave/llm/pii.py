@@ -1,13 +1,14 @@
 """Personal data: fixed patterns, plus information-theoretic sanitisation of terms that reveal an entity.
 
 Base spans per kind (email, ip, card, phone) are leftmost and non-overlapping; failing matches are dropped
-without a retry. Each base value is a protected entity. Over the whole corpus we count, for every term near a
-mention (`CONTEXT_WORDS` either side), in how many distinct contexts of an entity it stands, and in how many
-documents it stands at all. A term discloses the entity when
+without a retry. Each base value is a protected entity. Over the distinct texts of the corpus we count, for every
+term near a mention (`CONTEXT_WORDS` either side), in how many distinct contexts and in how many texts it stands
+near the entity, and in how many texts it stands at all. A term discloses the entity when
 
-    contexts(t, e) >= MIN_CONTEXTS,  contexts(t, e) / df(t) >= MIN_SHARE  and  log2(N contexts(t, e) / (df(t) contexts(e))) >= MIN_BITS;
+    contexts(t, e) >= MIN_CONTEXTS,  texts(t, e) / texts(t) >= MIN_SHARE  and  log2(N texts(t, e) / (texts(t) texts(e))) >= MIN_BITS.
 
-its occurrences near mentions of that entity become `term` spans. Copies of a text count as one context, so a
+The share says that the term alone, without the entity, points to it; so every occurrence in every document becomes
+a `term` span. Terms go to the workers in chunks of at most CHUNK_TERMS. Copies of a text count once, so a
 document repeated many times reveals nothing by itself. Words with digits are generalised to [NUMBER],
 capitalised ones to [NAME], others are removed.
 
@@ -26,12 +27,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from strandweave.llm.common import slices, staged, texts_of
+from strandweave.llm.common import hold, slices, staged, texts_of
 
 CONTEXT_WORDS, CONTEXT_CHARS = 8, 400
 MIN_CONTEXTS, MIN_SHARE, MIN_BITS = 3, 0.5, 3.0
-#: Distinct words that a worker counts before it hands its partial counts on.
+#: Distinct terms that a worker counts before it hands its partial counts on.
 FLUSH_WORDS = 200_000
+#: Disclosing terms that are broadcast at once.
+CHUNK_TERMS = 200_000
 KINDS = ("email", "ip", "card", "phone")
 
 # Fixed patterns of the four kinds.
@@ -42,12 +45,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 
-_ROW = pa.schema([
-    ("doc_id", pa.int64()), ("th", pa.int64()), ("n_email", pa.int64()), ("n_ip", pa.int64()), ("n_card", pa.int64()), ("n_phone", pa.int64()), ("base", pa.string()),
-    ("mentions", pa.list_(pa.struct([("entity", pa.int64()), ("ctx", pa.int64()), ("terms", pa.list_(pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))]))),
-    ("term", pa.string()), ("df", pa.int64()),
-])
-_DDL = "doc_id long, th long, n_email long, n_ip long, n_card long, n_phone long, base string, mentions array<struct<entity:long,ctx:long,terms:array<struct<term:string,start:long,end:long>>>>, term string, df long"
+_MENTIONS = pa.list_(pa.struct([("entity", pa.int64()), ("ctx", pa.int64()), ("terms", pa.list_(pa.string()))]))
+_ROW = pa.schema([("th", pa.int64()), ("mentions", _MENTIONS), ("term", pa.string()), ("df", pa.int64())])
+_DDL = "th long, mentions array<struct<entity:long,ctx:long,terms:array<string>>>, term string, df long"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -100,6 +101,26 @@ def normal(word: str) -> str:
     return t if len(t) >= 3 else ""
 
 
+class _Terms(dict):
+    """word -> its term, if any; forgets everything when it has grown large."""
+
+    def __missing__(self, word: bytes) -> str:
+        if len(self) >= FLUSH_WORDS:
+            self.clear()
+        t = self[word] = normal(word.decode())
+        return t
+
+    def of(self, text: str) -> set[str]:
+        """Distinct terms of a text."""
+        hold(self)
+        out = set(map(self.__getitem__, set(text.encode().split())))
+        out.discard("")
+        return out
+
+
+_terms = _Terms()
+
+
 def _entity(kind: str, value: str) -> int:
     same = value.lower() if kind in ("email", "ip") else "".join(_DIGITS.findall(value))
     return xxhash.xxh3_64_intdigest(f"{kind}:{same}") - (1 << 63)
@@ -112,77 +133,110 @@ def mentions_of(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
         lo, hi = max(0, a - CONTEXT_CHARS), min(len(text), b + CONTEXT_CHARS)
         left = [m for m in _WORD.finditer(text, lo, a) if m.start() > lo or lo == 0][-CONTEXT_WORDS:]
         right = [m for m in _WORD.finditer(text, b, hi) if m.end() < hi or hi == len(text)][:CONTEXT_WORDS]
-        terms = []
-        for m in left + right:
-            if (t := normal(m[0])) and not any(s < m.end() and m.start() < e for s, e in taken):
-                s = m.start() + m[0].lower().find(t) if len(m[0].lower()) == len(m[0]) else m.start()
-                terms.append({"term": t, "start": s, "end": s + len(t) if len(t) <= m.end() - s else m.end()})
+        terms = sorted({t for m in left + right if (t := normal(m[0])) and not any(s < m.end() and m.start() < e for s, e in taken)})
         ctx = xxhash.xxh3_64_intdigest("\x00".join(m[0] for m in left + right)) - (1 << 63)
         out.append({"entity": _entity(kind, text[a:b]), "ctx": ctx, "terms": terms})
     return out
 
 
+def term_spans(text: str, spans: list[tuple[str, int, int]], terms: frozenset[str]) -> list[dict]:
+    """Every occurrence of one of the terms outside the base spans."""
+    if _terms.of(text).isdisjoint(terms):
+        return []
+    out = []
+    taken = sorted((a, b) for _, a, b in spans)
+    for m in _WORD.finditer(text):
+        if (t := normal(m[0])) in terms and not any(s < m.end() and m.start() < e for s, e in taken):
+            s = m.start() + m[0].lower().find(t) if len(m[0].lower()) == len(m[0]) else m.start()
+            out.append({"start": s, "end": s + len(t) if len(t) <= m.end() - s else m.end()})
+    return out
+
+
 def _joined(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents, and rows of partial word counts (term, df)."""
-    words: Counter = Counter()
+    """Rows of texts with mentions, and rows of partial text counts (term, df); the term "" counts all texts."""
+    df: Counter = Counter()
 
     def counts() -> pa.RecordBatch:
-        by_term: Counter = Counter()
-        for w, n in words.items():
-            if t := normal(w.decode()):
-                by_term[t] += n
-        words.clear()
-        n = len(by_term)
-        return pa.RecordBatch.from_arrays([pa.nulls(n, f.type) for f in list(_ROW)[:8]] + [pa.array(by_term.keys(), pa.string()), pa.array(by_term.values(), pa.int64())], schema=_ROW)
+        n = len(df)
+        out = pa.RecordBatch.from_arrays([pa.nulls(n, f.type) for f in list(_ROW)[:2]] + [pa.array(df.keys(), pa.string()), pa.array(df.values(), pa.int64())], schema=_ROW)
+        df.clear()
+        return out
 
     for b in slices(batches):
-        texts = texts_of(b.column(1))
-        spans = [base_spans(t) for t in texts]
-        for t in texts:
-            words.update(set(t.encode().split()))
-        n = [[sum(k == kind for k, _, _ in s) for s in spans] for kind in KINDS]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(2), *(pa.array(x, pa.int64()) for x in n), pa.array(map(_joined, spans), pa.string()), pa.array([mentions_of(t, s) if s else [] for t, s in zip(texts, spans)], _ROW.field("mentions").type), pa.nulls(b.num_rows, pa.string()), pa.nulls(b.num_rows, pa.int64())],
-            schema=_ROW,
-        )
-        if len(words) > FLUSH_WORDS:
+        th, found = [], []
+        for h, t in zip(b.column(0).to_pylist(), texts_of(b.column(1))):
+            df.update(_terms.of(t))
+            df[""] += 1
+            if spans := base_spans(t):
+                th.append(h)
+                found.append(mentions_of(t, spans))
+        n = len(th)
+        yield pa.RecordBatch.from_arrays([pa.array(th, pa.int64()), pa.array(found, _MENTIONS), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], schema=_ROW)
+        if len(df) > FLUSH_WORDS:
             yield counts()
-    if words:
+    if df:
         yield counts()
 
 
-def _found(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a row per document with its base spans, a row per text with its term spans)."""
-    scan = staged(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("th")).mapInArrow(_scan, _DDL), "pii")
-    rows = scan.where("term is null and base is not null")
-    near = rows.where("size(mentions) > 0").select("doc_id", "th", F.explode("mentions").alias("m")).select("doc_id", "th", "m.entity", "m.ctx", F.explode("m.terms").alias("t")).select("doc_id", "th", "entity", "ctx", "t.*")
-    of_entity = rows.select(F.explode("mentions").alias("m")).select("m.entity", "m.ctx").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    joint = near.select("entity", "term", "ctx").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= MIN_CONTEXTS)
-    df = scan.where("term is not null").groupBy("term").agg(F.sum("df").alias("n_t"))
-    total = rows.agg(F.count("*").alias("n"))
-    reveals = (
-        joint.join(df, "term").join(of_entity, "entity").join(F.broadcast(total))  # one row: the number of documents
+def disclosing(docs: DataFrame) -> DataFrame:
+    """(term), distinct: the terms that disclose some entity."""
+    texts = docs.where("text is not null").select(F.xxhash64("text").alias("th"), "text").dropDuplicates(["th"])
+    scan = staged(texts.mapInArrow(_scan, _DDL), "pii")
+    at = scan.where("term is null").select("th", F.explode("mentions").alias("m")).select("th", "m.*")
+    of_entity = at.select("entity", "th").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    near = at.select("th", "entity", "ctx", F.explode("terms").alias("term"))
+    enough = near.select("entity", "term", "ctx").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_ctx")).where(F.col("n_ctx") >= MIN_CONTEXTS)
+    joint = near.select("entity", "term", "th").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te"))
+    df = scan.where("term <> ''").groupBy("term").agg(F.sum("df").alias("n_t"))
+    total = scan.where("term = ''").agg(F.sum("df").alias("n"))
+    return (
+        joint.join(enough, ["entity", "term"]).join(df, "term").join(of_entity, "entity").join(F.broadcast(total))  # one row: the number of texts
         .where((F.col("n_te") >= MIN_SHARE * F.col("n_t")) & (F.log2(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) >= MIN_BITS))
-        .select("entity", "term")
+        .select("term").distinct()
     )
-    extra = near.join(reveals, ["entity", "term"]).groupBy(F.col("doc_id").alias("x_id"), F.col("th").alias("x_th")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("extra"))
-    return rows, extra
 
 
-def _with_extra(rows: DataFrame, extra: DataFrame) -> DataFrame:
-    return rows.join(extra, F.col("doc_id").eqNullSafe(F.col("x_id")) & F.col("th").eqNullSafe(F.col("x_th")), "left").drop("x_id", "x_th")
+def _marked(docs: DataFrame) -> DataFrame:
+    """docs with a column __sw_extra of all term spans; one pass over the rows for each chunk of terms."""
+    names, at = docs.columns, docs.columns.index("text")
+    out = docs.withColumn("__sw_extra", F.expr("cast(array() as array<struct<start:long,end:long>>)"))
+    schema = out.schema
+
+    def mark(terms: frozenset[str]) -> DataFrame:
+        held = docs.sparkSession.sparkContext.broadcast(terms)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches):
+                more = [had + term_spans(t, base_spans(t), held.value) for t, had in zip(texts_of(b.column(at)), b.column(len(names)).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(more, _SPANS)], names=[*names, "__sw_extra"])
+
+        return out.mapInArrow(run, schema)
+
+    chunk = []
+    for r in staged(disclosing(docs), "pii-terms").toLocalIterator():
+        chunk.append(r.term)
+        if len(chunk) == CHUNK_TERMS:
+            out, chunk = mark(frozenset(chunk)), []
+    return mark(frozenset(chunk)) if chunk else out
 
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, counts by kind, base_sha256 and all spans: a row per document."""
-    rows, extra = _found(docs)
-    more = F.concat_ws(",", F.transform("extra", lambda x: F.concat_ws(":", F.lit("term"), x["start"], x["end"])))
-    spans = F.when(F.col("extra").isNull(), F.col("base")).when(F.col("base") == "", more).otherwise(F.concat_ws(",", "base", more))
-    return _with_extra(rows, extra).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"))
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base", "spans"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            spans = [base_spans(t) for t in texts_of(b.column(1))]
+            extra = [[("term", x["start"], x["end"]) for x in sorted(e, key=lambda x: x["start"])] for e in b.column(2).to_pylist()]
+            n = [pa.array([sum(k == kind for k, _, _ in s) for s in spans], pa.int64()) for kind in KINDS]
+            yield pa.RecordBatch.from_arrays([b.column(0), *n, pa.array(map(_joined, spans), pa.string()), pa.array([_joined(s + e) for s, e in zip(spans, extra)], pa.string())], names=names)
+
+    got = _marked(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
+    return got.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -204,20 +258,17 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs, all columns and rows, with personal data and disclosing terms taken out of `text`."""
-    _, extra = _found(docs)
     names = docs.columns
-    wide = docs.withColumn("__sw_th", F.xxhash64("text"))
-    wide = wide.join(extra, F.col("doc_id").cast("long").eqNullSafe(F.col("x_id")) & F.col("__sw_th").eqNullSafe(F.col("x_th")), "left").select(*names, F.col("extra").alias("__sw_extra"))
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             clean = []
             for t, more in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist()):
-                spans = base_spans(t or "") + [("term", x["start"], x["end"]) for x in more or ()]
+                spans = base_spans(t or "") + [("term", x["start"], x["end"]) for x in more]
                 clean.append(redact(t, spans) if spans else t)
             cols = [b.column(i) for i in range(len(names))]
             cols[at] = pa.array(clean, b.column(at).type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return wide.mapInArrow(run, docs.schema)
+    return _marked(docs).mapInArrow(run, docs.schema)

@@ -236,6 +236,13 @@ def test_pii(spark):
     assert clean[1] is None and clean[9] == TEXTS[1]
 
 
+def test_pii_terms_far_from_the_entity(spark):
+    leak = [f"{prose(6, 100 + k)} contact Zebulon at zeb@corp.example {prose(30, 200 + k)} Zebulon {prose(5, 250 + k)}" for k in range(5)]
+    d = docs(spark, [*leak, f"{prose(20, 260)} Zebulon, {prose(9, 261)}", *(prose(30, 300 + k) for k in range(60))])
+    assert [r.spans.count("term:") for r in pii.find(d).orderBy("doc_id").collect()] == [3] * 5 + [1] + [0] * 60  # contact is one too
+    assert not any("Zebulon" in r.text for r in pii.sanitise(d).collect())
+
+
 def test_urls(spark):
     urls = {0: "http://a.example.com/en/1", 1: "https://EXAMPLE.com/en/x?q", 2: "http://www.example.com/en/", 3: "http://x.net/fr/a#b", 4: "http://x.com", 5: None, 6: "no scheme", 7: "ftp://q.org/z?a=1"}
     pages = spark.createDataFrame([(k, u, "") for k, u in urls.items()] + [(100 + k, f"http://spam{k % 2}-bad.org/de/{k}", "") for k in range(60)] + [(200 + k, f"http://fine.org/de/{k}", "") for k in range(60)], "page_id long, url string, html string")
