@@ -243,6 +243,14 @@ def test_pii_terms_far_from_the_entity(spark):
     assert not any("Zebulon" in r.text for r in pii.sanitise(d).collect())
 
 
+def test_pii_counts_texts_and_terms_once(spark):
+    leak = [f"{prose(6, 100 + k)} Zebulon zeb@corp.example Zebulon, then Zebulon. {prose(6, 200 + k)}" for k in range(4)]
+    copies = [f"{prose(6, 110 + k)} contact Abimelech at abi@corp.example {prose(6, 210 + k)}" for k in range(3)]
+    d = docs(spark, [*leak, *copies, *copies[:1] * 40, *(prose(30, 300 + k) for k in range(60))])
+    clean = [r.text for r in pii.sanitise(d).collect()]
+    assert not any("Zebulon" in t for t in clean) and not any("Abimelech" in t for t in clean)
+
+
 def test_urls(spark):
     urls = {0: "http://a.example.com/en/1", 1: "https://EXAMPLE.com/en/x?q", 2: "http://www.example.com/en/", 3: "http://x.net/fr/a#b", 4: "http://x.com", 5: None, 6: "no scheme", 7: "ftp://q.org/z?a=1"}
     pages = spark.createDataFrame([(k, u, "") for k, u in urls.items()] + [(100 + k, f"http://spam{k % 2}-bad.org/de/{k}", "") for k in range(60)] + [(200 + k, f"http://fine.org/de/{k}", "") for k in range(60)], "page_id long, url string, html string")
