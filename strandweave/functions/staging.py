@@ -2,28 +2,82 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path under spark.checkpoint.dir; where that is unset (tests), under a folder of this session's own."""
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset and the master is local (tests), a folder of this session's own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = getattr(spark, "_strandweave_dir", None)
         if not base:
-            import atexit
-            import shutil
-            import tempfile
-
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="strandweave-")
             atexit.register(shutil.rmtree, folder, True)
             base = spark._strandweave_dir = f"file://{folder}"
-    return f"{base.rstrip('/')}/strandweave-graph/{tag}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/strandweave"
+
 
+def _made(spark: SparkSession) -> list[str]:
+    """Paths that this session has staged and not dropped."""
+    if not hasattr(spark, "_strandweave_made"):
+        spark._strandweave_made = []
+    return spark._strandweave_made
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
+
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path that nothing else uses."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _made(spark).append(path)
+    return path
+
+
+def staged(df: DataFrame, tag: str, codec: str = "zstd", partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back."""
     path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", codec).partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _made(spark):
+        _made(spark).remove(path)
+
+
+class Scope:
+    """Staged tables of one computation: `with Scope(spark) as s` drops all but those that s.keep() names."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> Scope:
+        self.before = len(_made(self.spark))
+        self.kept: set[str] = set()
+        return self
+
+    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+        """Stage df; it outlives the scope."""
+        out = staged(df, tag)
+        self.kept.add(_made(self.spark)[-1])
+        return out
+
+    def __exit__(self, *failure) -> None:
+        for path in _made(self.spark)[self.before :]:
+            if path not in self.kept:
+                drop_path(self.spark, path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all that this session has staged; results that still read it are lost."""
+    for path in list(_made(spark)):
+        drop_path(spark, path)
