@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,68 +10,47 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Rows of an Arrow batch that are handled together in Python; keeps worker memory flat when texts are long.
-SLICE_ROWS = 128
-#: Bytes of text of a slice where work on its distinct words pays off.
-SLICE_BYTES = 4 << 20
+from strandweave.functions.staging import Scope, drop_path, shared_path, staged  # noqa: F401  used by the operators
 
+#: Rows and bytes of text of the pieces of an Arrow batch that are handled together in Python (one row at least).
+SLICE_ROWS, SLICE_BYTES = 128, 4 << 20
+#: Bytes of the batches that Spark hands to a worker, whatever the length of the texts.
+BATCH_BYTES = 8 << 20
 
-# --- staged tables ---------------------------------------------------------------------------------
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else (tests only) one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = getattr(spark, "_sw_shared", None)
-        if not base:
-            base = spark._sw_shared = "file://" + tempfile.mkdtemp(prefix="strandweave-")
-            atexit.register(_drop_local, base[len("file://") :])
-    return base.rstrip("/") + "/strandweave"
-
-
-def _drop_local(path: str) -> None:
-    import shutil
-
-    shutil.rmtree(path, ignore_errors=True)
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
-    """Cut lineage: write df as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+# --- Arrow -------------------------------------------------------------------------------------------
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder of ours on whatever file system it is."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def bounded(spark: SparkSession) -> None:
+    """Have Spark cut Arrow batches by bytes too, so that very long texts don't fill a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
-# --- Arrow -------------------------------------------------------------------------------------------
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow with bounded batches; a worker gives unused Arrow memory back before each task."""
+    bounded(df.sparkSession)
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()
+        return run(batches)
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+    return df.mapInArrow(task, schema)
 
 
-def heavy_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices with at most `most` bytes of text in a column, or one row."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of at most `rows` rows and `most` bytes of strings, or one row."""
     for b in batches:
-        ends = np.cumsum(pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        size = np.zeros(b.num_rows, np.int64)
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+                size += pc.binary_length(c).fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(size)
         i = 0
         while i < b.num_rows:
-            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+            j = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right"))
+            j = max(i + 1, min(j, i + rows))
             yield b.slice(i, j - i)
             i = j
 
@@ -91,16 +68,23 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().split()
 
 
-_held: dict | None = None
+_memos: dict[str, list[dict]] = {}
+_using = ""
+
+
+def memo(d: dict, group: str) -> dict:
+    """Register a worker's memo; those of a group are emptied when the worker turns to another group."""
+    _memos.setdefault(group, []).append(d)
+    return d
 
 
-def hold(memo: dict) -> None:
-    """A reused worker keeps one memo, that of the task at hand; the one of the task before is emptied."""
-    global _held
-    if _held is not memo:
-        if _held is not None:
-            _held.clear()
-        _held = memo
+def use(group: str) -> None:
+    """A reused worker keeps the memos of the work at hand only."""
+    global _using
+    if _using != group:
+        for d in _memos.get(_using, ()):
+            d.clear()
+        _using = group
 
 
 class WordHash(dict):
@@ -117,16 +101,16 @@ class WordHash(dict):
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        hold(self)
+        use("words")
         if len(self) >= self.most:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 #: The one that all operators share.
-word_hashes = WordHash()
+word_hashes = memo(WordHash(), "words")
 
-_ODD = 0x9E3779B97F4A7C15 | 1
+_ODD = 0x9E3779B97F4A7C15
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -179,36 +163,59 @@ def sliding_cover(marked: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
+# --- bitmaps of hashes: sieves of a fixed size -------------------------------------------------------------
+
+
+def bits_at(h: np.ndarray, bits: int) -> np.ndarray:
+    """The bit of each hash: its top `bits` bits."""
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """Bitmap over the top bits of column h; at most 2**(bits-6) words reach the driver."""
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))")
+    table = keys.groupBy(F.shiftrightunsigned("h", 64 - bits + 6).alias("w")).agg(F.bit_or(bit).alias("a")).toArrow()
+    full = np.zeros(1 << (bits - 6), np.int64)
+    full[table.column("w").to_numpy()] = table.column("a").to_numpy()
+    return full.view(np.uint8)
+
+
+def has_bit(bitmap_: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bitmap_[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 # --- connected components -------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, root) for every node of edges(a, b): alternating large-star and small-star rounds.
 
     Each round is two joins and two partial aggregations; min() combines before its shuffle, so a hub is
-    no hot spot, and adaptive execution splits the join on it. Rounds are staged in the shared folder.
-    Null nodes are left out. root is the least node of the component.
+    no hot spot, and adaptive execution splits the join on it. Rounds are staged in the shared folder, and the
+    one before is deleted. The number of rounds grows with the logarithm of the longest chain; `rounds` is far
+    beyond that and only guards against a fault. Null nodes are left out. root is the least node of the component.
     """
     spark = edges.sparkSession
-    now = staged(
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
-    )
-    nodes = now
-    before = None
-    for _ in range(rounds):
-        sign = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if sign == before:
-            break
-        before = sign
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        down = large.distinct()
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        now = staged(small.where("a <> b").distinct(), "edges")
-    else:
-        raise RuntimeError("components did not settle")
-    every = nodes.select("a").union(nodes.select("b")).distinct()
-    return every.join(now.withColumnRenamed("b", "r"), "a", "left").select(F.col("a").alias("node"), F.coalesce("r", "a").alias("root"))
+    with Scope(spark) as scope:
+        now = staged(
+            edges.where("a is not null and b is not null and a <> b")
+            .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
+        )
+        nodes = now
+        before = None
+        for _ in range(rounds):
+            sign = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if sign == before:
+                break
+            before = sign
+            both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+            large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+            down = large.distinct()
+            low = down.groupBy("a").agg(F.min("b").alias("m"))
+            small = down.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+            now = staged(small.where("a <> b").distinct(), "edges")
+        else:
+            raise RuntimeError("components did not settle")
+        every = nodes.select("a").union(nodes.select("b")).distinct()
+        return scope.keep(every.join(now.withColumnRenamed("b", "r"), "a", "left").select(F.col("a").alias("node"), F.coalesce("r", "a").alias("root")), "components")

@@ -2,20 +2,25 @@
 
 Two views of a document: its text (style figures and selected hashed words) and its metadata (language, source,
 length). Each view has a logistic regression, first fitted on labelled rows (a bounded sample, LABELLED_ROWS,
-those with the least hash of their id; a fifth is held out for calibration). In each of ROUNDS rounds each view
-scores all unlabelled documents and hands its GROWTH most confident ones of either class to the other view, if
-its calibrated confidence reaches CONFIDENT. Then both are calibrated on the held-out rows, combined by a
-logistic regression over the two logits, and every document is scored.
+those with the least hash of their id, one row for an id). A tenth is held out to calibrate each view, another to fit
+the combination. In each of ROUNDS rounds each view scores all unlabelled documents (rows of equal features count
+once) and hands those it is surest of to the other view, GROWTH_SHARE of them for either class and GROWTH_ROWS at
+most, from those that it has not handed over yet; ties are broken by a hash of the features. Sure is meant within the view: the highest and the
+lowest of its logits. The pseudo-label is the view's calibrated probability, so a view that knows little
+teaches little. Then both are fitted anew. In the end they are combined by a logistic regression over the two
+calibrated logits, and every document is scored.
 
 Good means quality 1 and not toxic. Documents are kept at a combined score of KEEP or more.
 
 Null text counts as empty, null metadata as a value of its own. Rows without any words score by the same
 formula. Repeated rows get equal scores; labels given twice count as good only if all agree. A null id is never
-labelled. Without labels of both classes every score is the prior (0.5 with no labels). Extra columns are ignored.
+labelled. Without labels of both classes every score is the prior (0.5 with no labels). Extra columns are ignored,
+whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,22 +28,26 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from strandweave.llm.common import slices, staged, texts_of
+from strandweave.llm.common import map_arrow, memo, slices, staged, texts_of, use
 
-LABELLED_ROWS, ROUNDS, GROWTH, CONFIDENT, KEEP = 8_000, 2, 300, 0.97, 0.5
+LABELLED_ROWS, ROUNDS, KEEP = 8_000, 2, 0.5
+#: Of the unlabelled rows, what a view hands over for either class in a round; and at most so many rows.
+GROWTH_SHARE, GROWTH_ROWS = 0.05, 1_000
 #: Hash buckets of words, and how many of them the text view uses.
 WORD_BUCKETS, WORDS_USED = 1 << 16, 1024
 META_BUCKETS = 256
 _STYLE = 10
 
 SCHEMA = "doc_id long, score double, p_text double, p_meta double, kept boolean"
-_buckets: dict[bytes, int] = {}
+#: Words that a worker remembers the buckets of.
+MEMO = 200_000
+_buckets: dict[bytes, int] = memo({}, "cotrain")
 
 
 def _bucket(word: bytes) -> int:
     b = _buckets.get(word)
     if b is None:
-        if len(_buckets) > 500_000:
+        if len(_buckets) > MEMO:
             _buckets.clear()
         b = _buckets[word] = xxhash.xxh32_intdigest(word.decode().lower().strip(".,;:!?\"'()[]")) % WORD_BUCKETS
     return b
@@ -153,6 +162,7 @@ def features(docs: DataFrame, model: Model | None) -> DataFrame:
     held = None if model is None else docs.sparkSession.sparkContext.broadcast(model.slot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use("cotrain")
         for b in slices(batches):
             words, figures = [], []
             for t in texts_of(b.column(1)):
@@ -167,7 +177,7 @@ def features(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.binary()), pa.array(figures, pa.list_(pa.float64())), pa.array(meta, pa.binary())], names=["doc_id", "words", "style", "meta"])
 
     some = [F.col(c) if c in docs.columns else F.lit(None).alias(c) for c in ("lang", "source", "n_chars")]
-    return docs.select(F.col("doc_id").cast("long"), "text", *some).mapInArrow(run, _FEATURES)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text", *some), run, _FEATURES)
 
 
 def scored(rows: DataFrame, model: Model) -> DataFrame:
@@ -179,82 +189,93 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
             s = held.value.combine(t, m)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array(_sigmoid(t)), pa.array(_sigmoid(m)), pa.array(s >= KEEP)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    return rows.select("doc_id", "words", "style", "meta").mapInArrow(run, SCHEMA)
+    return map_arrow(rows.select("doc_id", "words", "style", "meta"), run, SCHEMA)
 
 
-def _confident(rows: DataFrame, model: Model, view: str) -> list:
-    """The GROWTH most confident unlabelled rows of either class by one view: the algorithm's own step size."""
-    held = rows.sparkSession.sparkContext.broadcast(model)
-    at = ("text", "meta").index(view)
+def logit_rows(pool: DataFrame, model: Model) -> DataFrame:
+    """(fh, text, meta): calibrated logits of both views for pool rows."""
+    held = pool.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 4096):
-            z = held.value.logits(b.column(1).to_pylist(), np.array(b.column(2).to_pylist()).reshape(-1, _STYLE), b.column(3).to_pylist())[at]
-            sure = pa.array(_sigmoid(np.abs(z)) >= CONFIDENT)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(z)], names=["doc_id", "words", "style", "meta", "z"]).filter(sure)
-
-    sure = rows.select("doc_id", "words", "style", "meta").mapInArrow(run, _FEATURES + ", z double")
-    out = []
-    for sign in (1, -1):
-        part = sure.where(F.col("z") * sign > 0)
-        out += part.orderBy((F.col("z") * -sign), F.xxhash64("doc_id")).limit(GROWTH).collect()
+            t, m = held.value.logits(b.column(1).to_pylist(), np.array(b.column(2).to_pylist()).reshape(-1, _STYLE), b.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(t), pa.array(m)], names=["fh", "text", "meta"])
+
+    return map_arrow(pool.select("fh", "words", "style", "meta"), run, "fh long, text double, meta double")
+
+
+def surest(logits: DataFrame, view: str, k: int, taken: set[int]) -> dict[int, float]:
+    """fh -> probability: the k highest and the k lowest logits of a view among the rows not taken, ties by fh."""
+    spark = logits.sparkSession
+    left = logits.join(F.broadcast(spark.createDataFrame([(x,) for x in sorted(taken)], "fh long")), "fh", "left_anti") if taken else logits  # ROUNDS * 2 * GROWTH_ROWS at most
+    out: dict[int, float] = {}
+    for order in (F.desc(view), F.asc(view)):
+        for r in left.orderBy(order, "fh").limit(k).collect():
+            out.setdefault(r.fh, float(_sigmoid(np.array(r[view]))))
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
-    """(model, staged features of all documents)."""
-    known = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.min(F.when((F.coalesce("quality", F.lit(1)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)).alias("y"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS)
-    have = F.broadcast(sample)  # LABELLED_ROWS rows at most
-    got = features(docs.join(have.select("doc_id"), "doc_id", "left_semi"), None).join(have, "doc_id").collect()
+def train(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame, list[tuple[int, str, int]]]:
+    """(model, staged features of all documents, rows handed over as (round, view, how many))."""
+    known = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.min(F.when((F.coalesce("quality", F.lit(1)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)).alias("y")).select(F.col("doc_id").cast("long"), "y")
+    have = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS))
+    some = features(docs.join(have.select("doc_id"), "doc_id", "left_semi"), None)
+    got = some.groupBy("doc_id").agg(F.min(F.struct("words", "style", "meta")).alias("f")).join(have, "doc_id").select("doc_id", "f.*", "y").collect()
     got.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r.doc_id)), r.doc_id))
     y = np.array([r.y for r in got], float)
-    held_out = np.array([xxhash.xxh32_intdigest(str(r.doc_id)) % 5 == 0 for r in got], bool)
+    part = np.array([xxhash.xxh32_intdigest(str(r.doc_id)) % 10 for r in got], int)
+    rows_of = {"fit": np.flatnonzero(part > 1), "scale": np.flatnonzero(part == 0), "both": np.flatnonzero(part == 1)}
     buckets = [np.frombuffer(r.words, np.uint16) for r in got]
-    train_rows = np.flatnonzero(~held_out)
-    model = Model(select_words([buckets[k] for k in train_rows], y[train_rows]) if len(train_rows) else np.zeros(0, np.int64))
+    fit = rows_of["fit"]
+    model = Model(select_words([buckets[k] for k in fit], y[fit]) if len(fit) else np.zeros(0, np.int64))
     rows = staged(features(docs, model), "cotrain")
-    if len(set(y[train_rows])) < 2 or len(set(y[held_out])) < 2:
+    if any(len(set(y[x])) < 2 for x in rows_of.values()):
         share = min(max(y.mean(), 0.01), 0.99) if len(y) else 0.5
         model.text[0] = model.meta[0] = np.log(share / (1 - share))
         model.text[1:] = 0
-        return model, rows
+        return model, rows, []
     slots = []
     for b in buckets:
         s = model.slot[b]
         slots.append(s[s >= 0].astype(np.uint16).tobytes())
     figures = np.array([r.style for r in got])
-    xt, xm = _text_rows(slots, figures), _meta_rows([r.meta for r in got])
-    free = rows.join(known.select("doc_id"), "doc_id", "left_anti")
-    extra = {"text": ([], []), "meta": ([], [])}
+    x = {"text": _text_rows(slots, figures), "meta": _meta_rows([r.meta for r in got])}
+    more: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {"text": [], "meta": []}
 
     def refit() -> None:
-        for view, x in (("text", xt), ("meta", xm)):
-            more, labels_ = extra[view]
-            full = np.concatenate([x[train_rows], *more]) if more else x[train_rows]
-            w = fit_logistic(full, np.concatenate([y[train_rows], *labels_]) if more else y[train_rows])
+        held = rows_of["scale"]
+        for view in x:
+            w = fit_logistic(np.concatenate([x[view][fit], *(r for r, _ in more[view])]), np.concatenate([y[fit], *(p for _, p in more[view])]))
             setattr(model, view, w)
-            z = (x[held_out] @ w).astype(float)
-            model.scale[view] = fit_logistic(np.stack([np.ones(len(z)), z], axis=1), y[held_out], 0.1)
+            z = (x[view][held] @ w).astype(float)
+            model.scale[view] = fit_logistic(np.stack([np.ones(len(z)), z], axis=1), y[held], 0.1)
 
     refit()
-    free = staged(free, "cotrain-free")
-    taken = set()
-    for _ in range(ROUNDS):
+    pool = rows.join(known.select("doc_id"), "doc_id", "left_anti").select(F.xxhash64("words", "style", "meta").alias("fh"), "words", "style", "meta")
+    pool = staged(pool.dropDuplicates(["fh"]), "cotrain-pool")
+    k = min(GROWTH_ROWS, math.ceil(GROWTH_SHARE * pool.count()))
+    taken: dict[str, set[int]] = {"text": set(), "meta": set()}
+    handed = []
+    for n in range(ROUNDS):
+        logits = staged(logit_rows(pool, model), "cotrain-logits")
+        sure = {view: surest(logits, view, k, taken[view]) for view in x}
+        want = F.broadcast(logits.sparkSession.createDataFrame([(h,) for h in sorted(sure["text"].keys() | sure["meta"].keys())], "fh long"))  # 4 * GROWTH_ROWS at most
+        row = {r.fh: r for r in pool.join(want, "fh").collect()}
         for view, other in (("text", "meta"), ("meta", "text")):
-            new = [r for r in _confident(free, model, view) if (r.doc_id, r.words, view) not in taken]
-            taken |= {(r.doc_id, r.words, view) for r in new}
+            new = [row[h] for h in sorted(sure[view])]
+            taken[view] |= sure[view].keys()
+            handed.append((n, view, len(new)))
             if new:
-                x = _text_rows([r.words for r in new], np.array([r.style for r in new])) if other == "text" else _meta_rows([r.meta for r in new])
-                extra[other][0].append(x)
-                extra[other][1].append(np.array([float(r.z > 0) for r in new]))
+                own = _text_rows([r.words for r in new], np.array([r.style for r in new])) if other == "text" else _meta_rows([r.meta for r in new])
+                more[other].append((own, np.array([sure[view][r.fh] for r in new])))
         refit()
-    t, m = model.logits([slots[k] for k in np.flatnonzero(held_out)], figures[held_out], [got[k].meta for k in np.flatnonzero(held_out)])
-    model.both = fit_logistic(np.stack([np.ones(len(t)), t, m], axis=1), y[held_out], 0.1)
-    return model, rows
+    both = rows_of["both"]
+    t, m = model.logits([slots[k] for k in both], figures[both], [got[k].meta for k in both])
+    model.both = fit_logistic(np.stack([np.ones(len(t)), t, m], axis=1), y[both], 0.1)
+    return model, rows, handed
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """SCHEMA: a row per document."""
-    model, rows = train(docs, labels)
+    model, rows, _ = train(docs, labels)
     return scored(rows, model)

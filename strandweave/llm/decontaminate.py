@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from strandweave.llm.common import SpanHash, mix, slices, texts_of, word_hashes
+from strandweave.llm.common import SpanHash, map_arrow, mix, slices, texts_of, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, BLOCKS, NEAR, RADIUS = 128, 16, 2, 47
@@ -166,7 +166,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 rows = [(d, *x) for d, t in zip(b.column(0).to_pylist(), texts_of(b.column(1))) for x in held.value.leaks(t)]
                 yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, r)) for r in rows], pa.schema([(n, pa.float64() if n == "similarity" else pa.int64()) for n in _NAMES]))
 
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+        part = map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, SCHEMA)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], SCHEMA) if out is None else out
 
@@ -181,5 +181,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for b in slices(batches):
                 yield b.filter(pa.array([not held.value.leaks(t) for t in texts_of(b.column(at))], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_arrow(docs, run, docs.schema)
     return docs

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strandweave.llm.common import heavy_slices, slices, staged
+from strandweave.llm.common import map_arrow, slices, staged
 from strandweave.llm.tokens import BYTE_BPE, encoder, tokenizer_path
 
 SIZE, END = 2048, 1
@@ -33,7 +33,7 @@ def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
         from pyspark import TaskContext
 
         enc, part, before = encoder(path), TaskContext.get().partitionId(), 0
-        for b in heavy_slices(batches, 1):
+        for b in slices(batches, 1 << 20):
             ids, n = enc.encode(b.column(1), end)
             sums = before + np.cumsum(n)
             at = np.concatenate(([0], 2 * (sums - before))).astype(np.int32)
@@ -41,7 +41,7 @@ def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
             raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays([b.column(0), raw, pa.array(n), pa.array(np.full(len(n), part)), pa.array(sums - n)], names=["doc_id", "ids", "n", "part", "before"])
 
-    return staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, n long, part long, before long"), "tokens")
+    return staged(map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, ids binary, n long, part long, before long"), "tokens")
 
 
 def with_start(tokens: DataFrame) -> DataFrame:
@@ -74,4 +74,4 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int =
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
     tokens = tokenised(docs, path or tokenizer_path(BYTE_BPE), end)
-    return with_start(tokens).select("doc_id", "ids", "n", "start").mapInArrow(cut, SCHEMA)
+    return map_arrow(with_start(tokens).select("doc_id", "ids", "n", "start"), cut, SCHEMA)

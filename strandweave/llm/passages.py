@@ -8,37 +8,40 @@ same document or another. Words are runs of anything but 0x20 and 0x09-0x0D, com
    One row (anchor, run hash) per run goes into a partial aggregation: anchors with one occurrence are done.
    An anchor whose runs are all equal is settled by its runs; where runs differ, single windows decide.
 2. Confirmation. Two bitmaps of a fixed size (repeated anchors; those with different runs) go to the workers.
-   They only sieve: a second scan writes the runs of sieved anchors, with window hashes where runs differ. Runs
-   whose (anchor, run hash) occurs twice are settled. For the others windows are counted by (anchor, window
-   hash), 128 bits together, each distinct run once with its number. A full bitmap costs time, never rows.
-3. Location. The confirmed spans of each document merge into passages. A third bitmap keeps texts without any
-   out of the shuffle. Documents come in bounded shards; each shard's passages are compiled into one
-   Aho-Corasick automaton, and its documents are streamed through it to locate every occurrence and drop the
-   covered words.
+   They only sieve: a second scan writes the distinct runs of sieved anchors in each text and how often they occur there, with
+   window hashes where runs differ. Runs whose (anchor, run hash) occurs twice are settled. For the others windows
+   are counted by (anchor, window hash), each distinct run once with its number. A full bitmap costs time, never rows.
+   What is confirmed are passages, each the words of a run or window taken from one text that holds it.
+3. Location. A third bitmap keeps texts without any confirmed run out of the shuffle. The others, each distinct text
+   once, come in bounded shards with the passages whose hashes they hold; the passages of a shard are compiled into one
+   Aho-Corasick automaton over word numbers and its texts are streamed through it. Its hits alone say where words
+   go: they compare the words themselves, so that two passages with equal hashes are not mistaken for each other.
+   Rows take the result of their text.
 
 Null text counts as empty (no words). Documents of under 35 words lose nothing. Repeated rows are copies of
-each other and are all kept as rows. Null ids stay null. Extra columns are ignored by `strip`.
+each other and are all kept as rows. Null ids stay null. Extra columns are ignored, whatever their names. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from strandweave.llm.common import SpanHash, slices, staged, texts_of, word_hashes
+from strandweave.llm.common import SpanHash, bitmap, bits_at, has_bit, map_arrow, slices, staged, texts_of, word_hashes
 
 WINDOW, GRAM = 35, 8
 #: log2 of the bits of a bitmap: 16 MB each, whatever the data.
 BITMAP_BITS = 27
 #: log2 of the bits of the bitmap of texts with repeats: 2 MB.
 DOC_BITS = 24
-#: Passage text compiled into one automaton, in bytes; a longer single passage has an automaton of its own.
-SHARD_BYTES = 1 << 20
+#: Words of the passages compiled into one automaton; those of one text are never split.
+SHARD_WORDS = 200_000
 
 
 def runs_of(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -59,210 +62,170 @@ def runs_of(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.n
     return g[pick[first]], spans.of(first, last + window), first, last, spans
 
 
-def _bit(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def _anchor_counts(docs: DataFrame) -> DataFrame:
     """(h, mixed): anchors that occur twice or more, and whether their runs differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             some = [runs_of(word_hashes.of(t.encode().split()))[:2] for t in texts_of(b.column(0))]
-            h = np.concatenate([x[0] for x in some]).view(np.int64) if some else np.zeros(0, np.int64)
-            v = np.concatenate([x[1] for x in some]).view(np.int64) if some else np.zeros(0, np.int64)
+            h, v = (np.concatenate([x[k] for x in some]).view(np.int64) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(v)], names=["h", "v"])
 
-    runs = docs.select("text").mapInArrow(run, "h long, v long")
+    runs = map_arrow(docs.select("text"), run, "h long, v long")
     return runs.groupBy("h").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("n > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed"))
 
 
-def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
-    """Bitmap over the top bits of column h; at most 2**(bits-6) words reach the driver."""
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))")
-    table = keys.groupBy(F.shiftrightunsigned("h", 64 - bits + 6).alias("w")).agg(F.bit_or(bit).alias("a")).toArrow()
-    full = np.zeros(1 << (bits - 6), np.int64)
-    full[table.column("w").to_numpy()] = table.column("a").to_numpy()
-    return full.view(np.uint8)
-
-
-def _has(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-
-
-def repeated_spans(docs: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
-    """(doc_id, th, start, at): spans of documents whose windows are all repeated; at lists window starts, or is
-    null for the whole span up to `end`."""
+def repeated_runs(docs: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
+    """Staged (th, h, v, start, end, at): the distinct confirmed runs of each text, and where it has them first. `at`
+    lists the windows of the run that are confirmed, by number, or is null for all of it."""
     anchors = staged(_anchor_counts(docs), "anchors")
-    held = docs.sparkSession.sparkContext.broadcast((_bitmap(anchors, bits), _bitmap(anchors.where("mixed"), bits)))
+    held = docs.sparkSession.sparkContext.broadcast((bitmap(anchors, bits), bitmap(anchors.where("mixed"), bits)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several, differ = held.value
         for b in slices(batches):
-            ids, ths, cols, wins, sizes, lone = [], [], [[], [], [], []], [], [], []
-            for doc_id, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2))):
+            ths, cols, wins, sizes, lone = [], [[], [], [], [], []], [], [], []
+            for th, text in zip(b.column(0).to_pylist(), texts_of(b.column(1))):
                 h, v, first, last, spans = runs_of(word_hashes.of(text.encode().split()))
-                at = _bit(h, bits)
-                keep = np.flatnonzero(_has(several, at))
+                keep = np.flatnonzero(has_bit(several, bits_at(h, bits)))
                 if not len(keep):
                     continue
-                ids += [doc_id] * len(keep)
+                _, once, times = np.unique(v[keep], return_index=True, return_counts=True)
+                keep = keep[once]
                 ths += [th] * len(keep)
                 for col, x in zip(cols, (h.view(np.int64), v.view(np.int64), first, last + WINDOW)):
                     col.append(x[keep])
-                split = _has(differ, at[keep])
+                cols[4].append(times)
+                split = has_bit(differ, bits_at(h[keep], bits))
                 n = np.where(split, last[keep] - first[keep] + 1, 0)
                 s = np.arange(n.sum()) + np.repeat(first[keep] - np.cumsum(n) + n, n)
                 wins.append(spans.of(s, s + WINDOW).view(np.int64))
                 sizes.append(n)
                 lone.append(~split)
-            if ids:
+            if ths:
                 ends = np.cumsum(np.concatenate(([0], *sizes))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(wins)), mask=pa.array(np.concatenate(lone)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), *(pa.array(np.concatenate(x)) for x in cols), lists], names=["doc_id", "th", "h", "v", "start", "end", "wins"])
+                yield pa.RecordBatch.from_arrays([pa.array(ths, pa.int64()), *(pa.array(np.concatenate(x)) for x in cols), lists], names=["th", "h", "v", "start", "end", "m", "wins"])
 
-    seen = staged(_keyed(docs).mapInArrow(run, "doc_id long, th long, h long, v long, start long, end long, wins array<long>"), "spans")
-    runs = seen.groupBy("h", "v").agg(F.count("*").alias("n"))
-    settled = runs.where("n > 1").select("h", "v", F.lit(None).cast("array<int>").alias("at"))
+    seen = staged(map_arrow(_keyed(docs).select("th", "text"), run, "th long, h long, v long, start long, end long, m long, wins array<long>"), "runs")
+    settled = seen.groupBy("h", "v").agg(F.sum("m").alias("n")).where("n > 1").select("h", "v", F.lit(None).cast("array<int>").alias("at"))
     # windows of each distinct run of an anchor whose runs differ, with the number of its occurrences
-    variants = staged(seen.where("wins is not null").groupBy("h", "v").agg(F.count("*").alias("n"), F.first("wins").alias("wins")), "variants")
+    variants = staged(seen.where("wins is not null").groupBy("h", "v").agg(F.sum("m").alias("n"), F.first("wins").alias("wins")), "variants")
     windows = variants.select("h", "v", "n", F.posexplode("wins").alias("k", "w"))
     twice = windows.groupBy("h", "w").agg(F.sum("n").alias("s")).where("s > 1").select("h", "w")
     lone = windows.where("n = 1").join(twice, ["h", "w"]).groupBy("h", "v").agg(F.collect_list("k").alias("at"))
     marks = staged(settled.unionByName(lone), "marks")  # the join below then deals both sides itself and can split a hot run
-    return seen.drop("wins").join(marks, ["h", "v"]).select("doc_id", "th", "start", "end", "at")
+    own = staged(seen.groupBy("th", "h", "v").agg(F.min("start").alias("start"), F.min("end").alias("end")), "own-runs")
+    return staged(own.join(marks, ["h", "v"]).select("th", "h", "v", "start", "end", "at"), "confirmed")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+
 
+def passages_of(texts: DataFrame, runs: DataFrame) -> DataFrame:
+    """Staged (h, v, passages): the words of each confirmed run, or of its confirmed stretches, joined by spaces; taken
+    from the text of the least hash that holds it. texts(th, text) are distinct."""
+    holder = staged(runs.groupBy("h", "v").agg(F.min("th").alias("th")), "holders")
+    taken = runs.join(holder, ["h", "v", "th"]).groupBy("th").agg(F.collect_list(F.struct("h", "v", "start", "end", "at")).alias("runs"))
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Overlapping spans joined; spans that only touch stay apart, as no window need lie across."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            out: tuple[list, list, list] = ([], [], [])
+            for text, own in zip(texts_of(b.column(0)), b.column(1).to_pylist()):
+                words = text.encode().split()
+                for r in own:
+                    out[0].append(r["h"])
+                    out[1].append(r["v"])
+                    out[2].append([b" ".join(words[i:j]).decode() for i, j in stretches(r["start"], r["end"], r["at"])])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.string()))], names=["h", "v", "passages"])
+
+    return staged(map_arrow(texts.join(taken, "th").select("text", "runs"), run, "h long, v long, passages array<string>"), "passages")
+
+
+def stretches(start: int, end: int, at: list[int] | None) -> list[tuple[int, int]]:
+    """The confirmed parts of a run: all of it, or its confirmed windows, those that follow each other joined."""
+    if at is None:
+        return [(start, end)]
     out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a < out[-1][1] and a <= out[-1][1] - WINDOW + 1:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
+    for k in sorted(at):
+        if out and start + k + WINDOW - 1 == out[-1][1]:
+            out[-1] = (out[-1][0], out[-1][1] + 1)
         else:
-            out.append((a, b))
+            out.append((start + k, start + k + WINDOW))
     return out
 
 
-def _shards(docs: list[tuple]) -> Iterator[list[tuple]]:
-    """Documents in shards whose distinct passages take SHARD_BYTES or a single document."""
-    held, size, known = [], 0, set()
-    for d in docs:
-        fresh = {p for p in d[2] if p not in known}
-        n = sum(map(len, fresh))
-        if held and size + n > SHARD_BYTES:
+def _shards(texts: Iterable[tuple]) -> Iterator[list[tuple]]:
+    """Texts in shards whose passages take SHARD_WORDS words, or a single text."""
+    held, size = [], 0
+    for x in texts:
+        n = sum(p.count(" ") + 1 for p in x[2])
+        if held and size + n > SHARD_WORDS:
             yield held
-            held, size, known, fresh = [], 0, set(), set(d[2])
-            n = sum(map(len, fresh))
-        held.append(d)
-        known |= fresh
+            held, size = [], 0
+        held.append(x)
         size += n
     if held:
         yield held
 
 
-def locate(docs: list[tuple[object, list[bytes], list[str]]]) -> Iterator[tuple[object, list[bytes], np.ndarray]]:
-    """(key, words, removed mask) for documents given with their confirmed passages (words joined by spaces)."""
-    for shard in _shards(docs):
-        machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for _, _, passages in shard:
-            for p in passages:
-                machine.add_word(f" {p} ")
+def locate(texts: Iterable[tuple[object, list[str], list[str]]]) -> Iterator[tuple[object, list[str], np.ndarray]]:
+    """(key, words, removed mask) for texts given with the passages that they may hold: each shard's passages become one
+    automaton, through which all its texts are streamed."""
+    for shard in _shards(texts):
+        machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        number: dict[str, int] = {}
+        for p in dict.fromkeys(p for _, _, passages in shard for p in passages):
+            machine.add_word(tuple(number.setdefault(w, len(number) + 1) for w in p.split(" ")))
         if len(machine):
             machine.make_automaton()
-        for key, words, passages in shard:
-            gone = np.zeros(len(words), bool)
-            if passages:
-                line = f" {b' '.join(words).decode()} "
-                hits = [(end - n + 1, end + 1) for end, n in machine.iter(line)]
-                if hits:
-                    # positions of the words that begin at a space; a hit begins and ends with one
-                    spaces = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), np.uint32) == 32)
-                    a = np.searchsorted(spaces, [x for x, _ in hits])
-                    b = np.searchsorted(spaces, [y - 1 for _, y in hits])
-                    step = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(step, a, 1)
-                    np.add.at(step, b, -1)
-                    gone = np.cumsum(step[:-1]) > 0
-            yield key, words, gone
-
-
-def _with_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, spans, n, sha): where the bitmap of text hashes rules repeats out, n words and the digest of
-    all of them instead of text and spans. Only the other texts are shuffled."""
-    flat = staged(repeated_spans(docs), "found")
-    spans = flat.groupBy(F.col("doc_id").alias("x_id"), F.col("th").alias("x_th")).agg(F.collect_list(F.struct("start", "end", "at")).alias("spans"))
-    held = docs.sparkSession.sparkContext.broadcast(_bitmap(flat.select(F.col("th").alias("h")), DOC_BITS))
-
-    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            maybe = _has(held.value, _bit(b.column(1).fill_null(0).to_numpy().view(np.uint64), DOC_BITS)).tolist()
-            texts = texts_of(b.column(2))
-            done = [None if m else _plain_digest(t) for t, m in zip(texts, maybe)]
-            n, sha = zip(*((d or (None, None)) for d in done))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t if m else None for t, m in zip(texts, maybe)], pa.string()), pa.array(n, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "th", "text", "n", "sha"])
-
-    sieved = _keyed(docs).mapInArrow(sieve, "doc_id long, th long, text string, n long, sha string")
-    return sieved.join(spans, F.col("doc_id").eqNullSafe(F.col("x_id")) & F.col("th").eqNullSafe(F.col("x_th")), "left").select("doc_id", "text", "spans", "n", "sha")
+        for key, words, _ in shard:
+            step = np.zeros(len(words) + 1, np.int64)
+            if len(machine) and words:
+                for end, n in machine.iter(tuple(number.get(w, 0) for w in words)):
+                    step[end - n + 1] += 1
+                    step[end + 1] -= 1
+            yield key, words, np.cumsum(step[:-1]) > 0
 
 
-def _plain_digest(text: str) -> tuple[int, str]:
-    words = text.encode().split()
-    return len(words), hashlib.sha256(b" ".join(words)).hexdigest()
+def words_of(text: str) -> list[str]:
+    return [w.decode() for w in text.encode().split()]
 
 
-def _intervals(spans: list[dict]) -> list[tuple[int, int]]:
-    out = []
-    for x in spans:
-        if x["at"] is None:
-            out.append((x["start"], x["end"]))
-        else:
-            out += [(x["start"] + k, x["start"] + k + WINDOW) for k in x["at"]]
-    return merged(out)
+def _judged(docs: DataFrame, result) -> DataFrame:
+    """(doc_id, n_words, n_removed, result): result(words kept) of every row."""
+    runs = repeated_runs(docs)
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(runs.select(F.col("th").alias("h")), DOC_BITS))
 
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            maybe = has_bit(held.value, bits_at(b.column(1).to_numpy().view(np.uint64), DOC_BITS)).tolist()
+            texts = texts_of(b.column(2))
+            done = [(None, None) if m else (len(w := words_of(t)), result(w)) for t, m in zip(texts, maybe)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t if m else None for t, m in zip(texts, maybe)], pa.string()), pa.array([n for n, _ in done], pa.int64()), pa.array([x for _, x in done], pa.string())], names=["doc_id", "th", "text", "n_words", "result"])
 
-def _located(texts: list[str], spans: list[list[dict] | None]) -> Iterator[tuple[object, list[bytes], np.ndarray]]:
-    docs = []
-    for k, (t, own) in enumerate(zip(texts, spans)):
-        words = t.encode().split()
-        docs.append((k, words, [b" ".join(words[i:j]).decode() for i, j in _intervals(own)] if own else []))
-    return locate(docs)
+    rows = staged(map_arrow(_keyed(docs), sieve, "doc_id long, th long, text string, n_words long, result string"), "sieved")
+    texts = staged(rows.where("text is not null").select("th", "text").dropDuplicates(["th"]), "texts")
+    passages = passages_of(texts, runs)
+    own = runs.select("th", "h", "v").join(passages, ["h", "v"]).groupBy("th").agg(F.flatten(F.collect_list("passages")).alias("passages"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            given = zip(b.column(0).to_pylist(), map(words_of, texts_of(b.column(1))), (p or [] for p in b.column(2).to_pylist()))
+            out = [(th, len(words), int(gone.sum()), result([w for w, g in zip(words, gone.tolist()) if not g])) for th, words, gone in locate(given)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 3 else pa.int64()) for k, c in enumerate(zip(*out))], names=["th", "n_words", "n_removed", "result"])
 
-def _kept(words: list[bytes], gone: np.ndarray) -> bytes:
-    return b" ".join([x for x, g in zip(words, gone.tolist()) if not g] if gone.any() else words)
+    of_text = staged(map_arrow(texts.join(own, "th", "left").select("th", "text", "passages"), run, "th long, n_words long, n_removed long, result string"), "of-text")
+    plain = rows.where("text is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "result")
+    return plain.unionByName(rows.where("text is not null").select("doc_id", "th").join(of_text, "th").drop("th"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space): a row per document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            n, sha = b.column(3).to_pylist(), b.column(4).to_pylist()
-            gone_words = [0] * len(n)
-            open_ = [k for k, x in enumerate(n) if x is None]
-            texts, spans = b.column(1).to_pylist(), b.column(2).to_pylist()
-            for i, words, gone in _located([texts[k] for k in open_], [spans[k] for k in open_]):
-                k = open_[i]
-                n[k], gone_words[k], sha[k] = len(words), int(gone.sum()), hashlib.sha256(_kept(words, gone)).hexdigest()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone_words, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    return _with_passages(docs).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _judged(docs, lambda words: hashlib.sha256(" ".join(words).encode()).hexdigest()).withColumnRenamed("result", "kept_sha256")
 
 
 def strip(docs: DataFrame) -> DataFrame:
     """(doc_id, text): every document without its repeated words; the others joined by one space."""
-    flat = repeated_spans(docs)
-    spans = flat.groupBy(F.col("doc_id").alias("x_id"), F.col("th").alias("x_th")).agg(F.collect_list(F.struct("start", "end", "at")).alias("spans"))
-    wide = _keyed(docs).join(spans, F.col("doc_id").eqNullSafe(F.col("x_id")) & F.col("th").eqNullSafe(F.col("x_th")), "left").select("doc_id", "text", "spans")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            kept = [_kept(w, gone).decode() for _, w, gone in _located(texts_of(b.column(1)), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string())], names=["doc_id", "text"])
-
-    return wide.mapInArrow(run, "doc_id long, text string")
+    return _judged(docs, " ".join).select("doc_id", F.col("result").alias("text"))

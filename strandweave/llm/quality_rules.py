@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from strandweave.llm.common import SpanHash, slices, sliding_cover, staged, texts_of, word_hashes
+from strandweave.llm.common import SpanHash, map_arrow, slices, sliding_cover, staged, texts_of, word_hashes
 
 #: Buckets for hashed n-grams; the model is FOLDS vectors of this length, so what is broadcast is bounded.
 BUCKETS = 1 << 18
@@ -99,7 +99,7 @@ def counted(texts: DataFrame, folds: int, buckets: int) -> np.ndarray:
         some = np.flatnonzero(n.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(x[some]) for x in n)], names=names)
 
-    got = texts.mapInArrow(count, ", ".join(f"{c} long" for c in names)).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in names[1:])).toArrow()
+    got = map_arrow(texts, count, ", ".join(f"{c} long" for c in names)).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in names[1:])).toArrow()
     out = np.zeros((folds, buckets), np.int64)
     for k in range(folds):
         out[k, got.column("bucket").to_numpy()] = got.column(f"n{k}").to_numpy()
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> tuple[np.
             out = pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array([r[6] for r in rows], pa.float64())], names=["kind", "llr"])
             yield out.filter(pa.array([not r[5] for r in rows], pa.bool_()))
 
-    return ratios, cut_off(known.mapInArrow(run, "kind int, llr double"))
+    return ratios, cut_off(map_arrow(known, run, "kind int, llr double"))
 
 
 def judge_text(text: str, ratios: np.ndarray, threshold: float) -> tuple:
@@ -165,7 +165,7 @@ def judge(docs: DataFrame, ratios: np.ndarray, threshold: float) -> DataFrame:
             rows = [judge_text(t, held.value, threshold) for t in texts_of(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *map(pa.array, zip(*rows))], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, SCHEMA)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:
@@ -179,7 +179,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float | None = Non
         for b in slices(batches):
             yield b.filter(pa.array([judge_text(t, held.value, least)[-1] for t in texts_of(b.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:

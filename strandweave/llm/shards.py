@@ -1,24 +1,32 @@
 """Sharding by size-tiered compaction.
 
-A store is a folder: `data/` holds immutable Parquet shards, `manifest/v<n>` one Parquet table per version with
-a row per live shard (path, bytes, rows, tier). `append` writes arrivals as small shards. `compact` takes a tier
-with at least FANOUT runs of similar size and merges them to runs of the next tier, the last being TARGET_BYTES:
-whole runs are packed up to that size, one task writes each pack as one file, and nothing is shuffled. A version becomes visible by one rename that fails if the version exists, so two
-writers cannot both commit and readers see a whole version or the one before; whatever a lost job left in
-`data/` is in no manifest. `vacuum` deletes files that no kept version names.
+A store is a folder: `data/<attempt>/` holds immutable Parquet shards, `manifest/v<n>` one Parquet table per
+version with a row per live shard (path under `data/`, bytes, rows, tier, and how many files its attempt wrote).
+`append` writes arrivals as small shards. `compact` takes a tier with at least FANOUT runs of similar size and
+merges them to runs of the next tier, the last being TARGET_BYTES: whole runs are packed up to that size, one task
+writes each pack as one file, and nothing is shuffled.
+
+Every attempt at a version writes to a folder of its own, and a commit names only files of that folder; what a job
+that died has left there is in no manifest. A version becomes visible by one rename that fails if the version
+exists, so of two writers one commits and readers see a whole version or the one before. A writer that comes too
+late tries again on the new version: an append keeps its files, a compaction chooses its runs anew. `vacuum`
+deletes shards that no kept version names, except those of attempts at a version that is still open. A store needs
+a file system with atomic rename.
 
 DataFrame code only; file names and renames go through Hadoop's file system API. Null values, long texts,
-repeated rows and any columns are stored as they are. An empty append commits a version without new shards;
-reading a store without shards gives an empty table of the given schema.
+repeated rows and any columns, `_metadata` included, are stored as they are. An empty append commits a version
+without new rows; reading a store without shards gives an empty table of the given schema.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandweave.llm.common import drop_path, new_path
+from strandweave.llm.common import drop_path, shared_path
 
 #: Rows of an arriving shard, runs that make a tier ripe, least size of a run of tier 1, size of a full shard.
 ARRIVAL_ROWS, FANOUT, BASE_BYTES, TARGET_BYTES = 4096, 8, 8 << 20, 128 << 20
@@ -26,7 +34,11 @@ ARRIVAL_ROWS, FANOUT, BASE_BYTES, TARGET_BYTES = 4096, 8, 8 << 20, 128 << 20
 #: Packs merged by one job, which bounds its plan.
 WAVE = 64
 
-MANIFEST = "path string, bytes long, rows long, tier int"
+MANIFEST = "path string, bytes long, rows long, tier int, files int"
+
+
+class Conflict(Exception):
+    """Another writer has committed the version."""
 
 
 class ShardStore:
@@ -51,23 +63,34 @@ class ShardStore:
         return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/v{v:08d}")
 
     def commit(self, shards: DataFrame, on: int) -> int:
-        """Make shards version on+1; fails if another writer has made it meanwhile."""
+        """Make shards version on+1; raises Conflict if another writer has made it meanwhile."""
         jvm = self.spark._jvm
-        tmp = new_path(self.spark, "manifest")
+        tmp = shared_path(self.spark, "manifest")
         shards.select(*(c.split()[0] for c in MANIFEST.split(", "))).coalesce(1).write.parquet(tmp)
         src, fs = self._fs(tmp)
         dst, _ = self._fs(f"{self.root}/manifest/v{on + 1:08d}")
         fs.mkdirs(dst.getParent())
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(dst.toUri(), self.spark._jsc.hadoopConfiguration())
-        context.rename(src, dst, self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        try:
+            context.rename(src, dst, self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as e:
+            if self.version() > on:
+                raise Conflict(f"version {on + 1} exists") from e
+            raise
         return on + 1
 
-    def _shards_in(self, folder: str) -> DataFrame:
-        """Rows for the manifest of the files in a folder just written."""
-        sizes = self.spark.read.format("binaryFile").load(folder).select("path", F.col("length").alias("bytes"))
-        rows = self.spark.read.parquet(folder).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("rows"))
-        tidy = lambda c: F.regexp_replace(c, "^file:/+", "file:/")  # noqa: E731  the two readers spell local paths differently
-        return sizes.withColumn("path", tidy("path")).join(rows.withColumn("path", tidy("path")), "path").select("path", "bytes", "rows", self._tier(F.col("bytes")).alias("tier"))
+    def _attempt(self, on: int) -> str:
+        """A folder name that no other attempt has; it begins with the version that it is meant for."""
+        return f"{on + 1:08d}-{uuid.uuid4().hex}"
+
+    def _written(self, attempt: str) -> DataFrame:
+        """Rows for the manifest of the files that an attempt has written."""
+        folder = f"{self.root}/data/{attempt}"
+        name = lambda c: F.regexp_extract(c, "[^/]+$", 0).alias("name")  # noqa: E731  the two readers spell folders differently
+        sizes = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder).select(name(F.col("path")), F.col("length").alias("bytes"))
+        rows = self.spark.read.schema("__sw_none int").parquet(folder).groupBy(name(F.input_file_name())).agg(F.count("*").alias("rows"))
+        got = sizes.join(rows, "name", "left").select(F.concat(F.lit(f"{attempt}/"), "name").alias("path"), "bytes", F.coalesce("rows", F.lit(0)).alias("rows"), self._tier(F.col("bytes")).alias("tier"))
+        return got.withColumn("files", F.lit(got.count()))
 
     def _tier(self, size):
         """0 below BASE_BYTES, then one more for each factor FANOUT."""
@@ -76,10 +99,19 @@ class ShardStore:
     # --- writing -----------------------------------------------------------------------------------
 
     def append(self, df: DataFrame, rows: int = ARRIVAL_ROWS) -> int:
+        """Write df once; commit it on whatever version is the last."""
         on = self.version()
-        folder = f"{self.root}/data/v{on + 1:08d}-t0"
-        df.write.option("maxRecordsPerFile", rows).option("compression", "zstd").parquet(folder)
-        return self.commit(self.manifest(on).unionByName(self._shards_in(folder)), on)
+        attempt = self._attempt(on)
+        df.write.option("maxRecordsPerFile", rows).option("compression", "zstd").parquet(f"{self.root}/data/{attempt}")
+        while True:
+            try:
+                return self.commit(self.manifest(on).unionByName(self._written(attempt)), on)
+            except Conflict:
+                on = self.version()
+                old, attempt = attempt, self._attempt(on)  # under the old name vacuum could take it for a dead one
+                src, fs = self._fs(f"{self.root}/data/{old}")
+                if not fs.rename(src, self._fs(f"{self.root}/data/{attempt}")[0]):
+                    raise
 
     def compact_once(self) -> bool:
         """Merge the lowest ripe tier; False if none is ripe."""
@@ -100,18 +132,21 @@ class ShardStore:
             packs[-1].append(r.path)
             room -= r.bytes
         merged = [p for p in packs if len(p) > 1]
-        folder = f"{self.root}/data/v{on + 1:08d}-t{ripe.tier + 1}"
+        attempt = self._attempt(on)
         gone = self.spark.createDataFrame([(x,) for p in merged for x in p], "path string")
         left = now.join(gone, "path", "left_anti")
         # a run without a partner of its size moves up a tier unchanged
         kept = left.withColumn("tier", F.when((F.col("tier") == ripe.tier) & (F.col("bytes") < self.target // 2), F.col("tier") + 1).otherwise(F.col("tier")))
         if merged:
-            schema = self.spark.read.parquet(merged[0][0]).schema
+            schema = self.spark.read.parquet(f"{self.root}/data/{merged[0][0]}").schema
             for k in range(0, len(merged), WAVE):
-                parts = [self.spark.read.schema(schema).parquet(*p).coalesce(1) for p in merged[k : k + WAVE]]
-                reduce(DataFrame.unionAll, parts).write.mode("append").option("compression", "zstd").parquet(folder)
-            kept = kept.unionByName(self._shards_in(folder).withColumn("tier", F.greatest("tier", F.lit(ripe.tier + 1))))
-        self.commit(kept, on)
+                parts = [self.spark.read.schema(schema).parquet(*(f"{self.root}/data/{x}" for x in p)).coalesce(1) for p in merged[k : k + WAVE]]
+                reduce(DataFrame.unionAll, parts).write.mode("append").option("compression", "zstd").parquet(f"{self.root}/data/{attempt}")
+            kept = kept.unionByName(self._written(attempt).withColumn("tier", F.greatest("tier", F.lit(ripe.tier + 1))))
+        try:
+            self.commit(kept, on)
+        except Conflict:
+            drop_path(self.spark, f"{self.root}/data/{attempt}")  # its runs may be gone: choose anew
         return True
 
     def compact(self, keep: int | None = None) -> int:
@@ -124,14 +159,16 @@ class ShardStore:
     def vacuum(self, keep: int = 1) -> None:
         """Delete versions but the last `keep`, and the shards that none of these names."""
         last = self.version()
-        named = {r.d for v in range(max(1, last - keep + 1), last + 1) for r in self.manifest(v).select(F.regexp_extract("path", "/data/(.+)$", 1).alias("d")).collect()}
+        named = {r.path for v in range(max(1, last - keep + 1), last + 1) for r in self.manifest(v).select("path").collect()}
         p, fs = self._fs(f"{self.root}/data")
-        for folder in fs.listStatus(p):
-            name = folder.getPath().getName()
-            if int(name[1:9]) <= last:  # a later one belongs to a writer that has yet to commit
-                for f in fs.listStatus(folder.getPath()):
-                    if f"{name}/{f.getPath().getName()}" not in named and f.getPath().getName().endswith(".parquet"):
-                        fs.delete(f.getPath(), False)
+        for folder in fs.listStatus(p) if fs.exists(p) else ():
+            attempt = folder.getPath().getName()
+            if int(attempt[:8]) > last:
+                continue  # of a writer that has yet to commit
+            files = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().endswith(".parquet")]
+            dead = [f for f in files if f"{attempt}/{f.getName()}" not in named]
+            for f in [folder.getPath()] if len(dead) == len(files) else dead:
+                fs.delete(f, True)
         for v in range(last - keep, 0, -1):
             q, _ = self._fs(f"{self.root}/manifest/v{v:08d}")
             if not fs.exists(q):
@@ -141,20 +178,19 @@ class ShardStore:
     # --- reading -----------------------------------------------------------------------------------
 
     def read(self, schema, version: int | None = None) -> DataFrame:
-        """Rows of a version, with `_metadata` of their shard."""
-        paths = [r.path for r in self.manifest(version).where("rows > 0").select("path").orderBy("path").collect()]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        """Rows of a version. Spark gets the folders of attempts whose files are all live, and single files of others."""
+        of = self.manifest(version).groupBy(F.substring_index("path", "/", 1).alias("attempt")).agg(F.count("*").alias("n"), F.max("files").alias("files"), F.collect_list("path").alias("paths"))
+        whole = F.when(F.col("n") == F.col("files"), F.array("attempt")).otherwise(F.col("paths"))
+        paths = [r.p for r in of.select(F.explode(whole).alias("p")).orderBy("p").collect()]
+        return self.spark.read.schema(schema).parquet(*(f"{self.root}/data/{p}" for p in paths)) if paths else self.spark.createDataFrame([], schema)
 
 
 def shard(docs: DataFrame, root: str | None = None, **sizes) -> DataFrame:
     """doc_id, shard_id, tier, shard_rows, shard_bytes, version: where each document is after compaction."""
     spark = docs.sparkSession
-    store = ShardStore(spark, root or new_path(spark, "shards"), **sizes)
+    store = ShardStore(spark, root or shared_path(spark, "shards"), **sizes)
     store.append(docs)
     version = store.compact(keep=1)
     at = store.manifest(version).where("rows > 0").selectExpr("path", "row_number() over (order by path) - 1 as shard_id", "tier", "rows as shard_rows", "bytes as shard_bytes")
-    rows = store.read(docs.schema, version)
-    if "_metadata" not in docs.columns and not at.isEmpty():
-        placed = rows.select("doc_id", F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("path"))
-        return placed.join(at, "path").select("doc_id", F.col("shard_id").cast("long").alias("shard_id"), "tier", "shard_rows", "shard_bytes", F.lit(version).cast("long").alias("version"))
-    return spark.createDataFrame([], "doc_id long, shard_id long, tier int, shard_rows long, shard_bytes long, version long")
+    placed = store.read(docs.schema, version).select("doc_id", F.regexp_extract(F.input_file_name(), "[^/]+/[^/]+$", 0).alias("path"))
+    return placed.join(at, "path").select("doc_id", F.col("shard_id").cast("long").alias("shard_id"), "tier", "shard_rows", "shard_bytes", F.lit(version).cast("long").alias("version"))

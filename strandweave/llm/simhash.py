@@ -12,7 +12,8 @@ counters; a block of pairs is abandoned once all of it exceeds the radius. Only
 a bucket; components are then found by distributed star contraction.
 
 Null text counts as empty. Null ids are never a component's id unless all its ids are null (then null).
-Repeated rows are exact copies. Extra columns are ignored by `near_classes`, kept by `keep_one`.
+Repeated rows are exact copies. Extra columns are ignored by `near_classes`, kept by `keep_one`. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from strandweave.llm.common import components, slices, staged, texts_of
+from strandweave.llm.common import components, map_arrow, slices, staged, texts_of
 
 RADIUS = 2
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -58,11 +59,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.fromiter(map(fingerprint, texts_of(b.column(1))), np.uint64, b.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp)], names=["doc_id", "th", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, fp long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("th")), run, "doc_id long, th long, fp long")
 
 
-def bit_sliced_links(values: np.ndarray, radius: int = RADIUS, chunk: int = 2048) -> list[tuple[int, int]]:
-    """A spanning set (i, j) of the links within one bucket of distinct fingerprints."""
+def bit_sliced_links(values: np.ndarray, radius: int = RADIUS, most: int = 1 << 18) -> list[tuple[int, int]]:
+    """A spanning set (i, j) of the links within one bucket of distinct fingerprints. `most` words of 64 pairs are
+    compared at a time; linked pairs are never listed, each row of them is folded into its component at once."""
     n = len(values)
     bits = np.unpackbits(values.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
     free = np.flatnonzero(bits.any(axis=0) & ~bits.all(axis=0))
@@ -70,16 +72,10 @@ def bit_sliced_links(values: np.ndarray, radius: int = RADIUS, chunk: int = 2048
     padded = np.zeros((len(free), words * 64), np.uint8)
     padded[:, :n] = bits[:, free].T
     planes = np.packbits(padded, axis=1, bitorder="little").view(np.uint64)  # bit plane by fingerprint, vertical
-    parent = np.arange(n)
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    comp = np.arange(n)
     out = []
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
+    chunk = max(1, most // words)
     for at in range(0, n, chunk):
         rows = np.arange(at, min(n, at + chunk))
         first = at // 64  # pairs with an earlier block were compared when that block was the row
@@ -95,14 +91,14 @@ def bit_sliced_links(values: np.ndarray, radius: int = RADIUS, chunk: int = 2048
                 if np.all((over | _above(count, radius)) == full):
                     break
         near = ~(over | _above(count, radius))
-        hit = np.unpackbits(near.view(np.uint8), axis=1, bitorder="little")[:, : n - first * 64]
-        for r, j in zip(*np.nonzero(hit)):
-            i, j = int(rows[r]), int(j) + first * 64
-            if i < j:
-                a, b = find(i), find(j)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    out.append((i, j))
+        for i, row in zip(rows.tolist(), near):
+            hit = np.unpackbits(row.view(np.uint8), bitorder="little")[: n - first * 64]
+            j = np.flatnonzero(hit[i - first * 64 + 1 :]) + i + 1
+            j = j[comp[j] != comp[i]]
+            while len(j):  # one link to each other component, which is then the same one
+                out.append((i, int(j[0])))
+                comp[comp == comp[j[0]]] = comp[i]
+                j = j[comp[j] != comp[i]]
     return out
 
 
@@ -124,7 +120,8 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         raise ValueError("8 blocks of which 6 agree hold for a radius of 2 at most")
     masks = [sum(0xFF << 8 * k for k in chosen) for chosen in combinations(range(8), 6)]
     keys = F.array(*[F.struct(F.lit(i).cast("byte").alias("c"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("v")) for i, m in enumerate(masks)])
-    filed = distinct.select("fp", F.explode(keys).alias("k")).groupBy("k").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1").select("fps")
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    filed = distinct.select("fp").repartition(n, "fp").select("fp", F.explode(keys).alias("k")).groupBy("k").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1").select("fps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,7 +133,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
                     z.append(v[j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
 
-    return filed.mapInArrow(run, "a long, b long").distinct()
+    return map_arrow(filed, run, "a long, b long").distinct()
 
 
 def _classes(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
@@ -155,10 +152,22 @@ def near_classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each class: the one with the least id (nulls last), then the least text hash; repeated rows go."""
+    """One document of each class: the one with the least id (nulls last), then the least text hash; repeated rows go.
+
+    Winners are chosen on ids and hashes. Texts are shuffled once, to meet them; only rows that are repeated, if
+    there are any, pass a second step, which drops the repeats of each task before its shuffle."""
     fps, of_fp = _classes(docs, radius)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("w")
-    winners = fps.join(of_fp.select("fp", "root"), "fp").groupBy("root").agg(first).select(F.col("w.doc_id").alias("__sw_id"), F.col("w.th").alias("__sw_th"))
-    key = F.xxhash64("text")
-    kept = docs.withColumn("__sw_key", key).join(winners, F.col("doc_id").eqNullSafe(F.col("__sw_id")) & (F.col("__sw_key") == F.col("__sw_th")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__sw_key"]).select(*docs.columns)
+    winners = fps.join(of_fp.select("fp", "root"), "fp").groupBy("root").agg(first).select("w.*")
+    same = fps.groupBy("doc_id", "th").agg(F.count("*").alias("rows"))
+    key = ["__sw_n", "__sw_id", "__sw_th"]
+
+    def keyed(df: DataFrame, th: str) -> DataFrame:
+        return df.withColumns({"__sw_n": F.col("doc_id").isNull(), "__sw_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__sw_th": F.expr(th)})
+
+    kept = keyed(docs, "xxhash64(text)").join(keyed(winners, "th").select(key), key, "left_semi")
+    twice = staged(keyed(same.where("rows > 1"), "th").select(key), "repeated")
+    if not twice.isEmpty():
+        again = staged(kept.join(twice, key, "left_semi"), "repeated-rows").dropDuplicates(key)
+        kept = kept.join(twice, key, "left_anti").unionByName(again)
+    return kept.select(*docs.columns)

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from strandweave.llm.common import new_path, slices
+from strandweave.llm.common import map_arrow, shared_path, slices
 from strandweave.llm.packing import crc_of, tokenised, with_start
 from strandweave.llm.tokens import WORD_BPE, tokenizer_path
 
@@ -108,7 +108,7 @@ def count_ids(tokens: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(c[some])], names=["id", "n"])
 
     counts = np.zeros(VOCABULARY, np.int64)
-    for r in tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in map_arrow(tokens.select("ids"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n
     return counts
 
@@ -118,7 +118,8 @@ def write(docs: DataFrame, out: str, path: str | None = None, end: int = END) ->
     spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.repartitionByRange(ranges, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
+    order = [F.asc_nulls_first("doc_id"), F.xxhash64("text"), F.rand(7)]  # rows of one id, even equal ones, can be split
+    dealt = keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order[:2])
     tokens = tokenised(dealt, path or tokenizer_path(WORD_BPE), end)
     table = Table(count_ids(tokens))
     held = spark.sparkContext.broadcast(table)
@@ -147,7 +148,7 @@ def write(docs: DataFrame, out: str, path: str | None = None, end: int = END) ->
         if ids:
             yield block()
 
-    with_start(tokens).select("doc_id", "ids", "start").mapInArrow(blocks, BLOCK_DDL).write.option("compression", "none").parquet(out)
+    map_arrow(with_start(tokens).select("doc_id", "ids", "start"), blocks, BLOCK_DDL).write.option("compression", "none").parquet(out)
     frequencies = [(int(i), int(table.freq[i])) for i in np.flatnonzero(table.freq)]
     spark.createDataFrame(frequencies, "id long, freq long").coalesce(1).write.parquet(f"{out}-table")
     return table
@@ -180,10 +181,10 @@ def read(spark: SparkSession, out: str, ids: bool = False) -> DataFrame:
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return spark.read.schema(BLOCK_DDL).parquet(out).mapInArrow(run, SCHEMA + (", ids array<int>" if ids else ""))
+    return map_arrow(spark.read.schema(BLOCK_DDL).parquet(out), run, SCHEMA + (", ids array<int>" if ids else ""))
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    out = new_path(docs.sparkSession, "ids")
+    out = shared_path(docs.sparkSession, "ids")
     write(docs, out)
     return read(docs.sparkSession, out)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from strandweave.llm.common import hold
+from strandweave.llm.common import memo, use
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Pieces that a worker remembers, and misses after which it forgets them.
@@ -89,8 +89,8 @@ class Encoder:
             self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
         if len(self.opens) > 1 << 16:
             raise ValueError("ids are held in 16 bits")
-        self.memo = Memo({}, lambda tail: self._plain([tail])[0])
-        self.firsts: dict[str, bytes] = {}
+        self.memo = memo(Memo(memo({}, "tokens"), lambda tail: self._plain([tail])[0]), "tokens")
+        self.firsts: dict[str, bytes] = memo({}, "tokens")
         self.odd = f"[{''.join(_WIDE_SPACE)}]" if self.by_word else f"  |\n |\n\n| \n\\z|[{''.join(_ODD_SPACE)}]"
 
     def _plain(self, texts: list[str]) -> list[bytes]:
@@ -171,7 +171,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """One per worker and vocabulary."""
+    use("tokens")
     if path not in _encoders:
         _encoders[path] = Encoder(path)
-    hold(_encoders[path].memo)
     return _encoders[path]

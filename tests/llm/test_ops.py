@@ -164,7 +164,7 @@ def test_simhash(spark):
 def test_bit_sliced_links():
     r = np.random.default_rng(2)
     v = np.unique(r.integers(0, 1 << 12, 500).astype(np.uint64))
-    links = simhash.bit_sliced_links(v, chunk=64)
+    links = simhash.bit_sliced_links(v, most=512)
     parent = list(range(len(v)))
 
     def find(x):

@@ -1,7 +1,7 @@
 import pyarrow as pa
 import pytest
 
-from strandweave.llm.common import heavy_slices
+from strandweave.llm.common import slices
 from strandweave.llm.tokens import BYTE_BPE, WORD_BPE, Encoder, tokenizer_path
 
 TEXTS = [None, "", " ", "\n", " \n", "\x0b", "a\tb", "Hello,  world! \n", "\n\nx", " lead", "trail ", "étÉ 　 x", "A|B | c", "don't!!",
@@ -22,7 +22,7 @@ def test_encoder_matches_library(name, memo, monkeypatch):
             assert ids.tolist() == [i for w in want for i in w]
 
 
-def test_heavy_slices():
+def test_slices():
     b = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4, 5]), pa.array(["aaaa", None, "bb", "c" * 50, "d"])], names=["k", "t"])
-    got = [x.column(0).to_pylist() for x in heavy_slices(iter([b, b.slice(0, 0), b.slice(3)]), 1, 6)]
-    assert got == [[1, 2, 3], [4], [5], [4], [5]]
+    got = [x.column(0).to_pylist() for x in slices(iter([b, b.slice(0, 0), b.slice(3)]), 2, 6)]
+    assert got == [[1, 2], [3], [4], [5], [4], [5]]
