@@ -10,6 +10,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a file of a staged table of numbers, and of one of texts.
+ROWS_PER_FILE, TEXTS_PER_FILE = 1 << 18, 1 << 13
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where that is unset and the master is local (tests), a folder of this session's own."""
@@ -39,10 +42,16 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def staged(df: DataFrame, tag: str, codec: str = "zstd", partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back."""
+def packed(df: DataFrame, rows: int, per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """df, of about so many rows, in no more partitions than it fills with `per_file` rows each: a small table is not
+    written as a file for each shuffle partition."""
+    return df.coalesce(max(1, -(-rows // per_file)))
+
+
+def staged(df: DataFrame, tag: str, rows: int | None = None, codec: str = "zstd") -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back; packed, if about how many rows it has is known."""
     path = shared_path(df.sparkSession, tag)
-    df.write.option("compression", codec).partitionBy(*partition_by).parquet(path)
+    (df if rows is None else packed(df, rows)).write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -65,9 +74,9 @@ class Scope:
         self.kept: set[str] = set()
         return self
 
-    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+    def keep(self, df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
         """Stage df; it outlives the scope."""
-        out = staged(df, tag)
+        out = staged(df, tag, rows)
         self.kept.add(_made(self.spark)[-1])
         return out
 
