@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandweave.functions.staging import Scope, drop_path, shared_path, staged  # noqa: F401  used by the operators
+from strandweave.functions.staging import TEXTS_PER_FILE, Scope, drop_path, packed, shared_path, staged  # noqa: F401  used by the operators
 
 #: Rows and bytes of text of the pieces of an Arrow batch that are handled together in Python (one row at least).
 SLICE_ROWS, SLICE_BYTES = 128, 4 << 20
@@ -187,19 +187,20 @@ def has_bit(bitmap_: np.ndarray, at: np.ndarray) -> np.ndarray:
 # --- connected components -------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None, rounds: int = 100) -> DataFrame:
     """(node, root) for every node of edges(a, b): alternating large-star and small-star rounds.
 
     Each round is two joins and two partial aggregations; min() combines before its shuffle, so a hub is
     no hot spot, and adaptive execution splits the join on it. Rounds are staged in the shared folder, and the
     one before is deleted. The number of rounds grows with the logarithm of the longest chain; `rounds` is far
-    beyond that and only guards against a fault. Null nodes are left out. root is the least node of the component.
+    beyond that and only guards against a fault. rows: about how many edges there are, at most. Null nodes are left out.
+    root is the least node of the component.
     """
     spark = edges.sparkSession
     with Scope(spark) as scope:
         now = staged(
             edges.where("a is not null and b is not null and a <> b")
-            .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
+            .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", rows
         )
         nodes = now
         before = None
@@ -214,8 +215,8 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
             down = large.distinct()
             low = down.groupBy("a").agg(F.min("b").alias("m"))
             small = down.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-            now = staged(small.where("a <> b").distinct(), "edges")
+            now = staged(small.where("a <> b").distinct(), "edges", sign[0])
         else:
             raise RuntimeError("components did not settle")
         every = nodes.select("a").union(nodes.select("b")).distinct()
-        return scope.keep(every.join(now.withColumnRenamed("b", "r"), "a", "left").select(F.col("a").alias("node"), F.coalesce("r", "a").alias("root")), "components")
+        return scope.keep(every.join(now.withColumnRenamed("b", "r"), "a", "left").select(F.col("a").alias("node"), F.coalesce("r", "a").alias("root")), "components", 2 * sign[0])

@@ -1,26 +1,29 @@
 """Benchmark decontamination: SimHash over item-sized windows, multi-index Hamming blocks, exact verification.
 
-For an item of L words, every window of L words of a document is a candidate; a shorter document is one window. Weighted similarity is the
-multiset Jaccard of 5-word shingles (fewer words: one shingle, the whole sequence); 0.8 or more is a leak. Such a window of
-m shingles shares at least (n+m)*0.8/1.8 of them with an item of n, so windows with fewer shared shingle positions are left out
-without loss. The rest get a 128-bit SimHash; item fingerprints are indexed in 16 blocks of 8 bits, each table
-listing the items within 2 bits of a block value. By the pigeonhole rule that reaches every item within
-RADIUS = 47 bits (16 blocks with 3 or more differing bits make 48). At similarity 0.8 the expected distance is
-about 19 of 128 bits with a deviation of 4, so the radius is seven deviations away; windows within it are then
-verified exactly.
-
-The benchmark goes to the workers in chunks of at most CHUNK_BYTES of text, one pass over the documents for
-each, so what is broadcast is bounded and any benchmark size is handled whole.
+For an item of L words, every window of L words of a document is compared; a shorter document is one window. Weighted
+similarity is the multiset Jaccard of 5-word shingles (fewer words: one shingle, the whole sequence); 0.8 or more is a leak.
+
+1. Bound. Such a window of m shingles shares at least (n+m)*0.8/1.8 of them with an item of n, so a window where
+   fewer positions hold a shingle of any item of that length is left out without loss.
+2. Candidates. The others get a 128-bit SimHash. Item fingerprints are filed by the values of their BLOCKS blocks of
+   16 bits; a window looks up all values within NEAR bits of its own, block by block. By the pigeonhole rule that
+   reaches every item within RADIUS = BLOCKS * (NEAR + 1) - 1 bits. At similarity 0.8 the expected distance is about 19 of
+   128 bits with a deviation of 4, so the radius is nearly five deviations away.
+3. Verification. Items of the window's length within the radius are compared by their shingles, exactly.
+
+The benchmark goes to the workers in chunks whose index takes CHUNK_BYTES at most (or one item), one pass over the
+documents for each, so what is broadcast is bounded and any benchmark size is handled whole.
 
 Null texts count as empty; items or documents without words never match. Letters are compared as they are,
 words are runs of anything but 0x20 and 0x09-0x0D. Repeated documents are each reported, repeated items too.
-Extra columns are ignored by `leaks` and kept by `drop_leaks`. Null ids are kept as null.
+Extra columns are ignored by `leaks` and kept by `drop_leaks`, whatever their names. Null ids are kept as null. Empty
+tables give an empty result, an empty benchmark drops nothing.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,14 @@ from pyspark.sql import DataFrame, functions as F
 from strandweave.llm.common import SpanHash, map_arrow, mix, slices, texts_of, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-BITS, BLOCKS, NEAR, RADIUS = 128, 16, 2, 47
-CHUNK_BYTES = 8 << 20
+BITS, BLOCKS, NEAR = 128, 8, 4
+RADIUS = BLOCKS * (NEAR + 1) - 1
+#: Bytes of an index that goes to the workers, about: an item takes 64, and 24 for each word.
+CHUNK_BYTES = 32 << 20
+#: The differences of a 16-bit block by at most NEAR bits.
+_FLIPS = np.array([sum(1 << b for b in some) for k in range(NEAR + 1) for some in combinations(range(16), k)], np.int64)
+#: Windows whose candidates are looked up at a time.
+_LOOK = 64
 
 SCHEMA = "doc_id long, item_id long, start_word long, n_words long, n_windows long, distance long, similarity double"
 _NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
@@ -47,105 +56,119 @@ def bits_of(s: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Items of one chunk: shingles, fingerprints and the multi-index block tables."""
+    """Items of one chunk: their shingles, fingerprints and the multi-index block tables."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
-        self.ids, self.sizes, self.counts, prints = [], [], [], []
-        grams, owner = [], []
+        self.ids, sizes, own, counts, prints, pairs = [], [], [], [], [], []
         for item_id, text in items:
             h = word_hashes.of((text or "").encode().split())
             if not len(h):
                 continue
             s = shingles(h)
-            k = len(self.ids)
             self.ids.append(item_id)
-            self.sizes.append(len(h))
-            self.counts.append(Counter(s.tolist()))
+            sizes.append(len(h))
+            u, n = np.unique(s, return_counts=True)
+            own.append(u)
+            counts.append(n)
             prints.append(2 * bits_of(s).sum(axis=0, dtype=np.int64) > len(s))
-            own = np.unique(s)
-            grams.append(own)
-            owner.append(np.full(len(own), k))
-        self.grams = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        self.owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
-        order = np.argsort(self.grams, kind="stable")
-        self.grams, self.owner = self.grams[order], self.owner[order]
-        self.short = sorted({min(SHINGLE, n) for n in self.sizes})
+            pairs.append(np.full(len(u), len(h)))
+        none = [np.zeros(0, np.int64)]
+        self.sizes = np.array(sizes, np.int64)
+        self.at = np.cumsum([0, *map(len, own)])  # an item's distinct shingles are own[at[k]:at[k + 1]], with their counts
+        self.own, self.counts = np.concatenate(own or [np.zeros(0, np.uint64)]), np.concatenate(counts or none)
+        # which lengths have a shingle: grams sorted, each with a length
+        gram_size = np.unique(np.stack((self.own, np.concatenate(pairs or none).astype(np.uint64)), axis=1), axis=0)
+        self.grams, self.gram_size = gram_size[:, 0].copy(), gram_size[:, 1].astype(np.int64)
+        self.widths = sorted({min(SHINGLE, n) for n in sizes})
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(self.grams >> np.uint64(44)).astype(np.int64)] = True
         self.prints = np.packbits(np.array(prints, np.uint8).reshape(-1, BITS), axis=1, bitorder="little")
-        apart = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None, None] ^ self.prints[None])  # value, item, block
-        self.tables = apart <= NEAR
-
-    def near(self, prints: np.ndarray, item: int) -> np.ndarray:
-        """Distance of each window fingerprint to the item, -1 where the blocks rule it out or it is beyond the radius."""
-        found = np.zeros(len(prints), bool)
-        for block in range(BLOCKS):
-            found |= self.tables[prints[:, block], item, block]
-        distance = np.bitwise_count(prints ^ self.prints[item]).sum(axis=1, dtype=np.int64)
-        return np.where(found & (distance <= RADIUS), distance, -1)
+        values = self.prints.view("<u2").astype(np.int64)
+        self.filed = [np.argsort(values[:, k], kind="stable") for k in range(BLOCKS)]
+        self.first = [np.searchsorted(values[self.filed[k], k], np.arange((1 << 16) + 1)).astype(np.int32) for k in range(BLOCKS)]
+
+    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs that agree in some block up to NEAR bits, each once."""
+        values = prints.view("<u2").astype(np.int64)
+        found = []
+        for k in range(BLOCKS):
+            near = values[:, k, None] ^ _FLIPS
+            lo, hi = self.first[k][near], self.first[k][near + 1]
+            w, f = np.nonzero(hi > lo)
+            lo, n = lo[w, f].astype(np.int64), (hi - lo)[w, f].astype(np.int64)
+            at = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+            found.append(np.repeat(w, n) * len(self.ids) + self.filed[k][at])
+        both = np.unique(np.concatenate(found))
+        return both // max(1, len(self.ids)), both % max(1, len(self.ids))
 
     def leaks(self, text: str) -> list[tuple]:
         """(item_id, start_word, n_words, n_windows, distance, similarity): the best window of each leaked item."""
         h = word_hashes.of(text.encode().split())
-        out = []
-        for width in self.short:
+        best: dict[int, list] = {}
+        for width in self.widths:
             if len(h) < width:
                 continue
             s = SpanHash(h).grams(width)
             at = np.flatnonzero(self.sieve[(s >> np.uint64(44)).astype(np.int64)])
             lo, hi = np.searchsorted(self.grams, s[at], "left"), np.searchsorted(self.grams, s[at], "right")
-            at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
-            if not len(at):
+            n = hi - lo
+            if not n.any():
                 continue
-            times = hi - lo
-            where = np.repeat(at, times)
-            which = self.owner[np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo, times)]
-            order = np.lexsort((where, which))
-            where, which = where[order], which[order]
-            for part in np.split(np.arange(len(which)), np.flatnonzero(np.diff(which)) + 1):
-                item = int(which[part[0]])
-                if min(SHINGLE, self.sizes[item]) == width and (best := self._best(h, s, where[part], item, width)):
-                    out.append((self.ids[item], *best))
-        return out
-
-    def _best(self, h: np.ndarray, s: np.ndarray, hits: np.ndarray, item: int, width: int) -> tuple | None:
-        full = self.sizes[item] - width + 1  # shingles of the item
-        size = min(self.sizes[item], len(h))
-        m = size - width + 1  # shingles of a window
-        last = len(h) - size
+            where = np.repeat(at, n)
+            size = self.gram_size[np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)]
+            order = np.lexsort((where, size))
+            where, size = where[order], size[order]
+            for part in np.split(np.arange(len(size)), np.flatnonzero(np.diff(size)) + 1):
+                items = int(size[part[0]])
+                if min(SHINGLE, items) == width:
+                    for k, x in self._windows(len(h), s, where[part], items, width):
+                        if k not in best:
+                            best[k] = [x, 0]
+                        best[k] = [max(best[k][0], x, key=lambda y: (y[3], -y[2], -y[0])), best[k][1] + 1]
+        return [(self.ids[k], x[0], x[1], n, x[2], x[3]) for k, (x, n) in sorted(best.items())]
+
+    def _windows(self, words: int, s: np.ndarray, hits: np.ndarray, items: int, width: int) -> Iterator[tuple[int, tuple]]:
+        """(item, (start, words, distance, similarity)) of every window that leaks an item of `items` words. hits: the
+        positions with a shingle of any of these items."""
+        size = min(items, words)
+        full, m, last = items - width + 1, size - width + 1, words - size  # shingles of an item and of a window, last start
         least = -(-4 * (full + m) // 9)  # (full + m) * 0.8 / 1.8 in integers
         if len(hits) < least:
-            return None
-        # the number of hits in a window changes only where one enters or leaves: count them by sorted search
-        first = np.unique(np.clip(np.concatenate([hits - k for k in range(m)]) if len(hits) * m < 4096 else np.arange(max(0, hits[0] - m + 1), hits[-1] + 1), 0, last))
-        shared = np.searchsorted(hits, first + m) - np.searchsorted(hits, first)
-        first = first[shared >= least]
-        best, n = None, 0
-        for chunk in np.array_split(first, -(-len(first) // 4096) or 1):
-            if not len(chunk):
-                continue
+            return
+        step = np.zeros(len(s) + 1, np.int64)
+        step[hits + 1] = 1
+        upto = np.cumsum(step)
+        lo = max(0, int(hits[0]) - m + 1)
+        first = np.arange(lo, min(last, int(hits[-1])) + 1)
+        first = first[upto[first + m] - upto[first] >= least]
+        for i in range(0, len(first), _LOOK):
+            chunk = first[i : i + _LOOK]
             lo = chunk[0]
-            sums = np.concatenate((np.zeros((1, BITS), np.int64), np.cumsum(bits_of(s[lo : chunk[-1] + m]), axis=0, dtype=np.int64)))
+            sums = np.concatenate((np.zeros((1, BITS), np.int32), np.cumsum(bits_of(s[lo : chunk[-1] + m]), axis=0, dtype=np.int32)))
             prints = np.packbits(2 * (sums[chunk - lo + m] - sums[chunk - lo]) > m, axis=1, bitorder="little")
-            distance = self.near(prints, item)
-            for start, d in zip(chunk[distance >= 0].tolist(), distance[distance >= 0].tolist()):
-                own = Counter(s[start : start + m].tolist())
-                both = sum((own & self.counts[item]).values())
-                like = both / (full + m - both)
+            w, k = self.candidates(prints)
+            same = self.sizes[k] == items
+            w, k = w[same], k[same]
+            distance = np.bitwise_count(prints[w] ^ self.prints[k]).sum(axis=1, dtype=np.int64)
+            for j in np.flatnonzero(distance <= RADIUS).tolist():
+                start = int(chunk[w[j]])
+                like = self._similarity(s[start : start + m], int(k[j]), full)
                 if like >= SIMILARITY:
-                    n += 1
-                    if best is None or (like, -d, -start) > (best[4], -best[3], -best[0]):
-                        best = [start, size, 0, d, like]
-        if best:
-            best[2] = n
-        return tuple(best) if best else None
+                    yield int(k[j]), (start, size, int(distance[j]), like)
+
+    def _similarity(self, window: np.ndarray, item: int, full: int) -> float:
+        own = slice(self.at[item], self.at[item + 1])
+        u, n = np.unique(window, return_counts=True)
+        at = np.minimum(np.searchsorted(self.own[own], u), own.stop - own.start - 1)
+        both = int(np.minimum(n, self.counts[own][at])[self.own[own][at] == u].sum())
+        return both / (full + len(window) - both)
 
 
 def chunks(benchmark: DataFrame, most: int = CHUNK_BYTES) -> Iterator[list[tuple[int | None, str]]]:
-    """Items in chunks of at most `most` bytes of text (one item at least), fetched a partition at a time."""
+    """Items in chunks whose index takes at most `most` bytes (one item at least), fetched a partition at a time."""
     held, size = [], 0
     for r in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():
-        n = len((r.text or "").encode())
+        n = 64 + 24 * len((r.text or "").encode().split())
         if held and size + n > most:
             yield held
             held, size = [], 0

@@ -248,16 +248,17 @@ def disclosing(docs: DataFrame) -> DataFrame:
     first = staged(_scan(texts, bitmap(several, TEXT_BITS)), "pii")
     rest = _scan(first.where("text is not null").select("th", "text").dropDuplicates(["th"]), None)
     scan = first.where("text is null").unionByName(staged(rest, "pii-repeated"))
+    mentions = scan.where("mentions is not null").count()
     at = scan.where("mentions is not null").select("th", F.explode("mentions").alias("m")).select("th", F.explode("m.entities").alias("entity"), F.col("m.terms").alias("terms"))
     of_entity = at.select("entity", "th").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     joint = at.select("entity", "th", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= MIN_TEXTS)
-    joint = staged(joint, "pii-joint")
+    joint = staged(joint, "pii-joint", 6 * CONTEXT_WORDS * mentions)
     df = scan.where("term <> ''").groupBy("term").agg(F.sum("df").alias("n_t"))
     total = scan.where("term = ''").agg(F.sum("df").alias("n"))
     return (
         joint.join(df, "term").join(of_entity, "entity").join(F.broadcast(total))  # one row: the number of texts
         .where((F.col("n_te") >= MIN_SHARE * F.col("n_t")) & (F.log2(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) >= MIN_BITS))
-        .select("term").distinct()
+        .select("term").distinct().coalesce(1 + 6 * CONTEXT_WORDS * mentions // CHUNK_TERMS)
     )
 
 

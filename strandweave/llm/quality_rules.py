@@ -23,18 +23,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from strandweave.llm.common import SpanHash, map_arrow, slices, sliding_cover, staged, texts_of, word_hashes
+from strandweave.llm.common import TEXTS_PER_FILE, SpanHash, map_arrow, packed, slices, sliding_cover, staged, texts_of, word_hashes
 
 #: Buckets for hashed n-grams; the model is FOLDS vectors of this length, so what is broadcast is bounded.
 BUCKETS = 1 << 18
-#: Trusted rows that the target is fitted on, at most: those with the least hash of their id.
-TRUSTED_ROWS = 20_000
 #: Parts of the target; a text is scored by all but its own.
 FOLDS = 4
 #: Added to a bucket's target count and to the count expected of it.
 PSEUDO = 1.0
 #: Deviations from the expected count below which a bucket says nothing.
-EVIDENCE = 2.0
+EVIDENCE = 3.0
 #: Steps in which the cut-off is chosen (nats per n-gram).
 STEP = 0.0005
 TRUSTED, LOW, TOXIC = 0, 1, 2
@@ -73,12 +71,10 @@ def base_counts(text: str, h: np.ndarray, words: list[bytes]) -> tuple[int, int,
     return n, word_chars, symbols, dup, repeat
 
 
-def labelled_ids(labels: DataFrame, most: int = TRUSTED_ROWS) -> DataFrame:
-    """(doc_id, kind) of labelled documents. Trusted: good and not toxic, a documented, bounded sample."""
+def labelled_ids(labels: DataFrame) -> DataFrame:
+    """(doc_id, kind) of labelled documents. Trusted: good and not toxic."""
     bad = F.when(F.max(F.coalesce("toxic", F.lit(0))) == 1, TOXIC).when(F.min("quality") == 0, LOW).when(F.min("quality") == 1, TRUSTED)
-    kinds = labels.where("doc_id is not null").groupBy("doc_id").agg(bad.alias("kind")).where("kind is not null")
-    good = kinds.where(F.col("kind") == TRUSTED).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return kinds.where(F.col("kind") != TRUSTED).union(good)
+    return labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(bad.alias("kind")).where("kind is not null")
 
 
 def fold_of(text: str) -> int:
@@ -131,7 +127,8 @@ def cut_off(scores: DataFrame) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray, float]:
     """(log ratio by fold and bucket, cut-off). Raw counts cover all documents."""
-    known = staged(docs.select(F.col("doc_id").cast("long"), "text").join(labelled_ids(labels).select(F.col("doc_id").cast("long"), "kind"), "doc_id").select("kind", "text"), "quality")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(labelled_ids(labels), "doc_id").select("kind", "text")
+    known = staged(packed(rows, labels.count(), TEXTS_PER_FILE), "quality")
     raw = counted(docs.select("text"), 1, buckets)[0]
     target = counted(known.where(F.col("kind") == TRUSTED).select("text"), FOLDS, buckets)
     ratios = np.stack([log_ratio(raw, target.sum(axis=0) - own) for own in target])

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from strandweave.llm.common import components, map_arrow, slices, staged, texts_of
+from strandweave.llm.common import TEXTS_PER_FILE, components, map_arrow, packed, slices, staged, texts_of
 
 RADIUS = 2
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -121,7 +121,8 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     masks = [sum(0xFF << 8 * k for k in chosen) for chosen in combinations(range(8), 6)]
     keys = F.array(*[F.struct(F.lit(i).cast("byte").alias("c"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("v")) for i, m in enumerate(masks)])
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    filed = distinct.select("fp").repartition(n, "fp").select("fp", F.explode(keys).alias("k")).groupBy("k").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1").select("fps")
+    # dealt anew, by another key than that of the aggregation before, which would count as the same and stay in few tasks
+    filed = distinct.select("fp").repartition(n, F.xxhash64("fp")).select("fp", F.explode(keys).alias("k")).groupBy("k").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1").select("fps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,18 +137,20 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return map_arrow(filed, run, "a long, b long").distinct()
 
 
-def _classes(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame, int]:
+    """(fingerprints of all rows, their classes, how many different ones there are)."""
     fps = staged(fingerprints(docs), "fingerprints")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
-    placed = staged(distinct.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "roots")
+    n = distinct.count()
+    roots = components(links(distinct.select("fp"), radius), n).withColumnRenamed("node", "fp")
+    placed = staged(distinct.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "roots", n)
     ids = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return fps, placed.join(ids, "root").select("fp", "root", "component_id")
+    return fps, placed.join(ids, "root").select("fp", "root", "component_id"), n
 
 
 def near_classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits), component_id (least doc_id of the class): a row per document."""
-    fps, of_fp = _classes(docs, radius)
+    fps, of_fp, _ = _classes(docs, radius)
     return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -156,7 +159,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Winners are chosen on ids and hashes. Texts are shuffled once, to meet them; only rows that are repeated, if
     there are any, pass a second step, which drops the repeats of each task before its shuffle."""
-    fps, of_fp = _classes(docs, radius)
+    fps, of_fp, n = _classes(docs, radius)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("w")
     winners = fps.join(of_fp.select("fp", "root"), "fp").groupBy("root").agg(first).select("w.*")
     same = fps.groupBy("doc_id", "th").agg(F.count("*").alias("rows"))
@@ -166,8 +169,8 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         return df.withColumns({"__sw_n": F.col("doc_id").isNull(), "__sw_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__sw_th": F.expr(th)})
 
     kept = keyed(docs, "xxhash64(text)").join(keyed(winners, "th").select(key), key, "left_semi")
-    twice = staged(keyed(same.where("rows > 1"), "th").select(key), "repeated")
+    twice = staged(keyed(same.where("rows > 1"), "th").select(key), "repeated", n)
     if not twice.isEmpty():
         again = staged(kept.join(twice, key, "left_semi"), "repeated-rows").dropDuplicates(key)
         kept = kept.join(twice, key, "left_anti").unionByName(again)
-    return kept.select(*docs.columns)
+    return packed(kept.select(*docs.columns), n, TEXTS_PER_FILE)  # a document of each class, n at most
