@@ -14,6 +14,8 @@ from strandweave.functions.staging import TEXTS_PER_FILE, Scope, drop_path, pack
 
 #: Rows and bytes of text of the pieces of an Arrow batch that are handled together in Python (one row at least).
 SLICE_ROWS, SLICE_BYTES = 128, 4 << 20
+#: Rows of two or three numbers that may go to all workers: some 100 MB. Beyond that the other way is taken.
+BROADCAST_ROWS = 2_000_000
 #: Bytes of the batches that Spark hands to a worker, whatever the length of the texts.
 BATCH_BYTES = 8 << 20
 

@@ -308,6 +308,17 @@ def find(docs: DataFrame) -> DataFrame:
     return got.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_spans")
 
 
+def count_base(docs: DataFrame) -> DataFrame:
+    """doc_id and counts of base spans by kind: a row per document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            spans = [Counter(k for k, _, _ in base_spans(t)) for t in texts_of(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([s[k] for s in spans], pa.int64()) for k in KINDS)], names=["doc_id", *(f"n_{k}" for k in KINDS)])
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long")
+
+
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     """Replace each span by its kind; overlapping spans merge under the first one's kind."""
     out, at = [], 0

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from strandweave.llm.common import TEXTS_PER_FILE, SpanHash, map_arrow, packed, slices, sliding_cover, staged, texts_of, word_hashes
+from strandweave.llm.common import BROADCAST_ROWS, SpanHash, map_arrow, slices, sliding_cover, staged, texts_of, word_hashes
 
 #: Buckets for hashed n-grams; the model is FOLDS vectors of this length, so what is broadcast is bounded.
 BUCKETS = 1 << 18
@@ -81,24 +81,40 @@ def fold_of(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode()) % FOLDS
 
 
-def counted(texts: DataFrame, folds: int, buckets: int) -> np.ndarray:
-    """(folds, buckets) n-gram counts of texts(text); at most `buckets` rows reach the driver."""
-    names = ["bucket", *(f"n{k}" for k in range(folds))]
+def with_kind(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, bool]:
+    """((doc_id, text, kind) of all documents, whether the labels went to the workers): they do if they are
+    BROADCAST_ROWS at most, so that texts stay where they are; else both sides are shuffled."""
+    ids = staged(labelled_ids(labels), "labelled", labels.count())
+    few = ids.count() <= BROADCAST_ROWS
+    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left"), few
+
+
+def counted(rows: DataFrame, buckets: int) -> np.ndarray:
+    """(1 + FOLDS, buckets) n-gram counts of rows(kind, text): of all texts, and of the trusted ones of each fold. At
+    most `buckets` rows reach the driver."""
+    names = ["bucket", "raw", *(f"n{k}" for k in range(FOLDS))]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((folds, buckets), np.int64)
+        n = np.zeros((1 + FOLDS, buckets), np.int64)
         for b in slices(batches):
-            for text in texts_of(b.column(0)):
+            found: list[list[np.ndarray]] = [[] for _ in range(1 + FOLDS)]
+            for kind, text in zip(b.column(0).to_pylist(), texts_of(b.column(1))):
                 words = text.encode().split()
                 if words:
-                    np.add.at(n[fold_of(text) if folds > 1 else 0], ngram_buckets(word_hashes.of(words), buckets), 1)
-        some = np.flatnonzero(n.any(axis=0))
+                    own = ngram_buckets(word_hashes.of(words), buckets)
+                    found[0].append(own)
+                    if kind == TRUSTED:
+                        found[1 + fold_of(text)].append(own)
+            for total, some in zip(n, found):
+                if some:
+                    total += np.bincount(np.concatenate(some), minlength=buckets)
+        some = np.flatnonzero(n[0])
         yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(x[some]) for x in n)], names=names)
 
-    got = map_arrow(texts, count, ", ".join(f"{c} long" for c in names)).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in names[1:])).toArrow()
-    out = np.zeros((folds, buckets), np.int64)
-    for k in range(folds):
-        out[k, got.column("bucket").to_numpy()] = got.column(f"n{k}").to_numpy()
+    got = map_arrow(rows.select("kind", "text"), count, ", ".join(f"{c} long" for c in names)).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in names[1:])).toArrow()
+    out = np.zeros((1 + FOLDS, buckets), np.int64)
+    for k, c in enumerate(names[1:]):
+        out[k, got.column("bucket").to_numpy()] = got.column(c).to_numpy()
     return out
 
 
@@ -125,22 +141,30 @@ def cut_off(scores: DataFrame) -> float:
     return float(steps[np.argmax(np.round(gain, 12))] * STEP)
 
 
+def fit_ratios(rows: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """Log ratio by fold and bucket, from rows(kind, text). Raw counts cover all documents."""
+    n = counted(rows, buckets)
+    target = n[1:]
+    return np.stack([log_ratio(n[0], target.sum(axis=0) - own) for own in target])
+
+
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray, float]:
-    """(log ratio by fold and bucket, cut-off). Raw counts cover all documents."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(labelled_ids(labels), "doc_id").select("kind", "text")
-    known = staged(packed(rows, labels.count(), TEXTS_PER_FILE), "quality")
-    raw = counted(docs.select("text"), 1, buckets)[0]
-    target = counted(known.where(F.col("kind") == TRUSTED).select("text"), FOLDS, buckets)
-    ratios = np.stack([log_ratio(raw, target.sum(axis=0) - own) for own in target])
+    """(log ratio by fold and bucket, cut-off)."""
+    rows, few = with_kind(docs, labels)
+    known = rows.where("kind is not null")
+    if not few:
+        rows = staged(rows, "quality-rows")
+        known = rows.where("kind is not null")
+    ratios = fit_ratios(rows, buckets)
     held = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            rows = [judge_text(t, held.value, 0.0) for t in texts_of(b.column(1))]
-            out = pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array([r[6] for r in rows], pa.float64())], names=["kind", "llr"])
-            yield out.filter(pa.array([not r[5] for r in rows], pa.bool_()))
+            scores = [judge_text(t, held.value, 0.0) for t in texts_of(b.column(1))]
+            out = pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array([r[6] for r in scores], pa.float64())], names=["kind", "llr"])
+            yield out.filter(pa.array([not r[5] for r in scores], pa.bool_()))
 
-    return ratios, cut_off(map_arrow(known, run, "kind int, llr double"))
+    return ratios, cut_off(map_arrow(known.select("kind", "text"), run, "kind int, llr double"))
 
 
 def judge_text(text: str, ratios: np.ndarray, threshold: float) -> tuple:
@@ -153,16 +177,22 @@ def judge_text(text: str, ratios: np.ndarray, threshold: float) -> tuple:
     return n, chars, symbols, dup, repeat, failed, llr, not failed and llr >= threshold
 
 
-def judge(docs: DataFrame, ratios: np.ndarray, threshold: float) -> DataFrame:
-    """One row per document with SCHEMA."""
+def judge(docs: DataFrame, ratios: np.ndarray, threshold: float, *more: str) -> DataFrame:
+    """One row per document with SCHEMA, and integer columns of docs named in `more`."""
     held = docs.sparkSession.sparkContext.broadcast(ratios)
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             rows = [judge_text(t, held.value, threshold) for t in texts_of(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *map(pa.array, zip(*rows))], names=[f.split()[0] for f in SCHEMA.split(", ")])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *map(pa.array, zip(*rows)), *(c.cast(pa.int32()) for c in b.columns[2:])], names=[*names, *more])
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text", *more), run, ", ".join([SCHEMA, *(f"{c} int" for c in more)]))
+
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, SCHEMA)
+def judge_base(docs: DataFrame) -> DataFrame:
+    """The columns of SCHEMA that follow fixed rules: a row per document."""
+    return judge(docs, np.zeros((FOLDS, 1), np.float32), 0.0).drop("llr", "kept")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:
@@ -180,4 +210,9 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float | None = Non
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return judge(docs, *fit(docs, labels))
+    """judge() with a model and cut-off fitted on the same documents. Scores are staged, so that each text is scored once."""
+    rows, few = with_kind(docs, labels)
+    rows = rows if few else staged(rows, "quality-rows")
+    scored = staged(judge(rows, fit_ratios(rows), 0.0, "kind"), "judged")
+    cut = cut_off(scored.where("kind is not null and not base_failed").select("kind", "llr"))
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= cut)).drop("kind")

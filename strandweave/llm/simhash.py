@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from strandweave.llm.common import TEXTS_PER_FILE, components, map_arrow, packed, slices, staged, texts_of
+from strandweave.llm.common import BROADCAST_ROWS, TEXTS_PER_FILE, components, map_arrow, packed, slices, staged, texts_of
 
 RADIUS = 2
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -157,20 +157,27 @@ def near_classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One document of each class: the one with the least id (nulls last), then the least text hash; repeated rows go.
 
-    Winners are chosen on ids and hashes. Texts are shuffled once, to meet them; only rows that are repeated, if
-    there are any, pass a second step, which drops the repeats of each task before its shuffle."""
+    Winners are chosen on ids and hashes. If the others are BROADCAST_ROWS at most, they go to the texts, which
+    stay where they are; else texts are shuffled once, to meet the winners. Only rows that are repeated, if there are any, pass a
+    second step, which drops the repeats of each task before its shuffle."""
     fps, of_fp, n = _classes(docs, radius)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("w")
-    winners = fps.join(of_fp.select("fp", "root"), "fp").groupBy("root").agg(first).select("w.*")
-    same = fps.groupBy("doc_id", "th").agg(F.count("*").alias("rows"))
     key = ["__sw_n", "__sw_id", "__sw_th"]
 
     def keyed(df: DataFrame, th: str) -> DataFrame:
         return df.withColumns({"__sw_n": F.col("doc_id").isNull(), "__sw_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__sw_th": F.expr(th)})
 
-    kept = keyed(docs, "xxhash64(text)").join(keyed(winners, "th").select(key), key, "left_semi")
-    twice = staged(keyed(same.where("rows > 1"), "th").select(key), "repeated", n)
+    rows = keyed(fps.join(of_fp.select("fp", "root"), "fp").groupBy("doc_id", "th").agg(F.count("*").alias("rows"), F.min("root").alias("root")), "th")
+    rows = staged(rows, "copies", n)
+    winners = rows.groupBy("root").agg(F.min(F.struct(*key)).alias("w")).select("w.*")
+    others = staged(rows.select(key).join(winners, key, "left_anti"), "others", n)
+    texts = keyed(docs, "xxhash64(text)")
+    if others.count() <= BROADCAST_ROWS:
+        kept = texts.join(F.broadcast(others), key, "left_anti")
+    else:
+        kept = packed(texts.join(winners, key, "left_semi"), n, TEXTS_PER_FILE)  # a document of each class, n at most
+    twice = rows.where("rows > 1").join(winners, key, "left_semi").select(key)
+    twice = staged(twice, "repeated", n)
     if not twice.isEmpty():
         again = staged(kept.join(twice, key, "left_semi"), "repeated-rows").dropDuplicates(key)
         kept = kept.join(twice, key, "left_anti").unionByName(again)
-    return packed(kept.select(*docs.columns), n, TEXTS_PER_FILE)  # a document of each class, n at most
+    return kept.select(*docs.columns)
