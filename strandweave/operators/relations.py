@@ -2,48 +2,87 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from strandweave.functions.columns import canonical, is_update_edge
 from strandweave.functions.staging import staged
 from strandweave.plans.pattern import Pattern
 from strandweave.plans.planner import Stats
-from strandweave.sources.graphs import Graph
+from strandweave.sources.graphs import Graph, both_ways
 
 
 def label_filter(g: Graph, p: Pattern) -> DataFrame:
     return g.vertices.where(F.col("label").isin(*sorted(set(p.labels))))
 
 
-def relation(edges: DataFrame, label_a: int, label_b: int) -> DataFrame:
-    """(a, b, batch_id): both orientations of the edges that join the two labels."""
-    forward = edges.where((F.col("src_label") == label_a) & (F.col("dst_label") == label_b)).select(F.col("src").alias("a"), F.col("dst").alias("b"), "batch_id")
-    back = edges.where((F.col("src_label") == label_b) & (F.col("dst_label") == label_a)).select(F.col("dst").alias("a"), F.col("src").alias("b"), "batch_id")
+def relation(edges: DataFrame | Graph, label_a: int, label_b: int, edge_label: int | None = None) -> DataFrame:
+    """(a, b, batch_id): both orientations of the edges that join the two labels; a folder of an indexed graph."""
+    if isinstance(edges, Graph) and edges.directed is not None:
+        r = edges.directed.where((F.col("la") == label_a) & (F.col("lb") == label_b))
+        return (r if edge_label is None else r.where(F.col("edge_label") == edge_label)).select("a", "b", "batch_id")
+    e = edges.edges if isinstance(edges, Graph) else edges
+    if edge_label is not None:
+        e = e.where(F.col("edge_label") == edge_label)
+    forward = e.where((F.col("src_label") == label_a) & (F.col("dst_label") == label_b)).select(F.col("src").alias("a"), F.col("dst").alias("b"), "batch_id")
+    back = e.where((F.col("src_label") == label_b) & (F.col("dst_label") == label_a)).select(F.col("dst").alias("a"), F.col("src").alias("b"), "batch_id")
     return forward.union(back)
 
 
-def relations(edges: DataFrame, p: Pattern) -> dict[tuple[int, int], DataFrame]:
+def later(edges: DataFrame | Graph, label_a: int, label_b: int, edge_label: int | None = None) -> DataFrame:
+    """The part of a relation that came after the initial graph."""
+    if isinstance(edges, Graph) and edges.directed is not None:
+        return relation(Graph(edges.vertices, edges.edges, edges.directed.where("fresh = 1")), label_a, label_b, edge_label)
+    return relation(edges, label_a, label_b, edge_label).where("batch_id > 0")
+
+
+def directed(edges: DataFrame | Graph) -> DataFrame:
+    """(a, b, batch_id, edge_label, fresh, la, lb): every edge both ways."""
+    if isinstance(edges, Graph):
+        return edges.directed if edges.directed is not None else both_ways(edges.edges)
+    return both_ways(edges)
+
+
+def label_pairs(p: Pattern) -> list[tuple[int, int]]:
+    """The directed label pairs of a pattern, each once."""
+    return sorted({(p.labels[x], p.labels[y]) for u, v in p.edges for x, y in ((u, v), (v, u))})
+
+
+def of_pairs(d: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    """The rows of directed edges of some label pairs; prunes folders."""
+    return d.where(reduce(lambda x, y: x | y, [(F.col("la") == a) & (F.col("lb") == b) for a, b in sorted(set(pairs))]))
+
+
+def relations(edges: DataFrame | Graph, p: Pattern) -> dict[tuple[int, int], DataFrame]:
     """Per directed query edge."""
-    return {(u, v): relation(edges, p.labels[u], p.labels[v]) for a, b in p.edges for u, v in ((a, b), (b, a))}
+    return {(u, v): relation(edges, p.labels[u], p.labels[v], p.edge_label(u, v)) for a, b in p.edges for u, v in ((a, b), (b, a))}
+
 
+def _query_edges(spark: SparkSession, p: Pattern) -> DataFrame:
+    """(u, v, la, lb, want): the directed query edges, a few rows; want is the edge label asked for, or null."""
+    return spark.createDataFrame([(u, v, p.labels[u], p.labels[v], p.edge_label(u, v)) for a, b in p.edges for u, v in ((a, b), (b, a))], "u int, v int, la int, lb int, want int")
 
-def tagged_relations(edges: DataFrame, p: Pattern) -> DataFrame:
-    """(u, v, a, b, batch_id): all directed query edges in one table."""
-    out = None
-    for (u, v), r in relations(edges, p).items():
-        part = r.select(F.lit(u).alias("u"), F.lit(v).alias("v"), "a", "b", "batch_id")
-        out = part if out is None else out.union(part)
-    return out
 
+def tagged_relations(edges: DataFrame | Graph, p: Pattern) -> DataFrame:
+    """(u, v, a, b, batch_id): all directed query edges in one table, from one scan of the label pairs."""
+    d = of_pairs(directed(edges), label_pairs(p))
+    return d.join(F.broadcast(_query_edges(d.sparkSession, p)), ["la", "lb"]).where("want is null or want = edge_label").select("u", "v", "a", "b", "batch_id")
 
-def cardinalities(edges: DataFrame, p: Pattern) -> DataFrame:
-    """(u, v, pairs, sources, avg_degree) per directed query edge."""
-    t = tagged_relations(edges, p)
-    return t.groupBy("u", "v").agg(F.count("*").alias("pairs"), F.countDistinct("a").alias("sources")).withColumn("avg_degree", F.col("pairs") / F.col("sources"))
 
+def cardinalities(edges: DataFrame | Graph, p: Pattern) -> DataFrame:
+    """(u, v, pairs, sources, avg_degree) per directed query edge, counted once for each label pair."""
+    d = of_pairs(directed(edges), label_pairs(p))
+    key = ["la", "lb", *(["edge_label"] if p.edge_labels else [])]
+    per = d.groupBy("a", *key).agg(F.count("*").alias("n")).groupBy(*key).agg(F.sum("n").alias("pairs"), F.count("*").alias("sources"))
+    q = F.broadcast(_query_edges(d.sparkSession, p).withColumn("edge_label", F.col("want")))
+    return per.join(q, key).select("u", "v", "pairs", "sources", (F.col("pairs") / F.col("sources")).alias("avg_degree"))
 
-def gather_stats(edges: DataFrame, p: Pattern) -> Stats:
-    """Statistics for the planner: a row per directed query edge comes to the driver."""
+
+def gather_stats(edges: DataFrame | Graph, p: Pattern) -> Stats:
+    """Statistics for the planner: those of an indexed graph, else a row per directed query edge comes to the driver."""
+    if isinstance(edges, Graph) and edges.stats is not None:
+        return edges.stats
     s = Stats()
     for r in cardinalities(edges, p).collect():
         key = (p.labels[r.u], p.labels[r.v])
@@ -51,7 +90,15 @@ def gather_stats(edges: DataFrame, p: Pattern) -> Stats:
     return s
 
 
-def adjacency(edges: DataFrame, label_a: int, label_b: int) -> DataFrame:
+def update_sizes(edges: DataFrame | Graph, p: Pattern) -> DataFrame:
+    """(batch_id, ei, pairs): edges of each later batch that query edge ei can use, both ways where labels allow."""
+    t = of_pairs(directed(edges), label_pairs(p)).where("fresh = 1").groupBy("batch_id", "la", "lb", "edge_label").agg(F.count("*").alias("n"))
+    rows = [(p.edge_no(u, v), p.labels[u], p.labels[v], p.edge_label(u, v)) for u, v in p.edges]
+    q = F.broadcast(t.sparkSession.createDataFrame(rows, "ei int, la int, lb int, want int"))
+    return t.join(q, ["la", "lb"]).where("want is null or want = edge_label").groupBy("batch_id", "ei").agg(F.sum("n").alias("pairs"))
+
+
+def adjacency(edges: DataFrame | Graph, label_a: int, label_b: int) -> DataFrame:
     """(a, neighbours): adjacency lists, sorted."""
     return relation(edges, label_a, label_b).groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("neighbours"))
 
@@ -89,6 +136,13 @@ def hash_split(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges.where(~update), edges.where(update)
 
 
+def apply_updates(state: DataFrame, updates: DataFrame) -> DataFrame:
+    """(src, dst) after updates(seq, src, dst, op): the last operation on an edge decides."""
+    u = updates.select("seq", "op", *canonical(F.col("src"), F.col("dst"))).where("src < dst")
+    last = u.groupBy("src", "dst").agg(F.max_by("op", "seq").alias("op"))
+    return without(state, last.where("op = 'delete'")).union(new_edges(state, last.where("op = 'insert'")))
+
+
 # --- batches -------------------------------------------------------------------------------------------
 
 
@@ -105,8 +159,8 @@ def number_rows(df: DataFrame, *order: str) -> DataFrame:
 
 def with_batches(edges: DataFrame, per_batch: int) -> DataFrame:
     """Edges of batch 1 dealt into batches of `per_batch` in (src, dst) order; batch 0 stays."""
-    later = number_rows(edges.where("batch_id > 0"), "src", "dst").withColumn("batch_id", (F.floor((F.col("rn") - 1) / per_batch) + 1).cast("int")).drop("rn")
-    return edges.where("batch_id = 0").unionByName(later)
+    dealt = number_rows(edges.where("batch_id > 0"), "src", "dst").withColumn("batch_id", (F.floor((F.col("rn") - 1) / per_batch) + 1).cast("int")).drop("rn")
+    return edges.where("batch_id = 0").unionByName(dealt)
 
 
 def by_arrival(updates: DataFrame, per_batch: int) -> DataFrame:

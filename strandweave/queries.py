@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandweave.functions.staging import shared_path
+from strandweave.functions.staging import shared_path, staged
 from strandweave.operators import filtering, matching, nucleus, relations, sampling
-from strandweave.plans.pattern import DIAMOND, FOUR_CYCLE, SHAPES, TRIANGLE, Pattern
-from strandweave.sources.graphs import ENTITIES, LINKS, Graph, star_graph
+from strandweave.plans.pattern import DIAMOND, FOUR_CYCLE, LABELLED, SHAPES, TRIANGLE, Pattern
+from strandweave.sources.graphs import ENTITIES, LINKS, Graph, indexed_star, read_labelled, read_updates, star_graph
 from strandweave.streaming.continuous import ContinuousMatcher
 
 #: Update edges of a batch in the batched queries.
@@ -18,22 +18,22 @@ PER_BATCH = 2000
 # --- SQL --------------------------------------------------------------------------------------------------
 
 _V = " UNION ALL ".join(f"SELECT CAST({key} AS BIGINT) + {off} AS id, {label} AS label FROM {table}" for label, (table, key, off) in ENTITIES.items())
-_E0 = " UNION ALL ".join(f"SELECT DISTINCT CAST({a} AS BIGINT) + {ENTITIES[la][2]} AS src, CAST({b} AS BIGINT) + {ENTITIES[lb][2]} AS dst, {la} AS src_label, {lb} AS dst_label FROM {t}" for t, a, la, b, lb in LINKS)
+_E0 = " UNION ALL ".join(f"SELECT src, dst, {la} AS src_label, {lb} AS dst_label, min(el) AS el FROM (SELECT CAST({a} AS BIGINT) + {ENTITIES[la][2]} AS src, CAST({b} AS BIGINT) + {ENTITIES[lb][2]} AS dst, {'CAST(l_linenumber % 2 AS INTEGER)' if t == 'lineitem' else '0'} AS el FROM {t}) GROUP BY src, dst" for t, a, la, b, lb in LINKS)
 _SPLIT = "((CAST(src AS HUGEINT) * 4294967296 + dst) * 11400714819323198485 % 18446744073709551616) % 10 = 0"
-_BASE = f"v AS ({_V}), e0 AS ({_E0}), e AS (SELECT *, CAST(CASE WHEN {_SPLIT} THEN 1 ELSE 0 END AS INTEGER) AS batch_id FROM e0)"
-_BATCHED = f"{_BASE}, eb AS (SELECT src, dst, src_label, dst_label, 0 AS batch_id FROM e WHERE batch_id = 0 UNION ALL SELECT src, dst, src_label, dst_label, CAST((row_number() OVER (ORDER BY src, dst) - 1) // {PER_BATCH} + 1 AS INTEGER) FROM e WHERE batch_id = 1)"
+_BASE = f"v AS MATERIALIZED ({_V}), e0 AS ({_E0}), e AS MATERIALIZED (SELECT *, CAST(CASE WHEN {_SPLIT} THEN 1 ELSE 0 END AS INTEGER) AS batch_id FROM e0)"
+_BATCHED = f"{_BASE}, eb AS MATERIALIZED (SELECT src, dst, src_label, dst_label, el, 0 AS batch_id FROM e WHERE batch_id = 0 UNION ALL SELECT src, dst, src_label, dst_label, el, CAST((row_number() OVER (ORDER BY src, dst) - 1) // {PER_BATCH} + 1 AS INTEGER) FROM e WHERE batch_id = 1)"
 
 
 def _sym(e: str) -> str:
-    return f"s AS (SELECT src AS a, dst AS b, src_label AS la, dst_label AS lb, batch_id AS t FROM {e} UNION ALL SELECT dst, src, dst_label, src_label, batch_id FROM {e})"
+    return f"s AS MATERIALIZED (SELECT src AS a, dst AS b, src_label AS la, dst_label AS lb, batch_id AS t, el FROM {e} UNION ALL SELECT dst, src, dst_label, src_label, batch_id, el FROM {e})"
 
 
 def _match(p: Pattern) -> tuple[str, str, dict[int, str]]:
     """(FROM and WHERE clauses of all matches, latest batch, column of each vertex)."""
     cond, names, known = [], [], {}
     for k, (u, v) in enumerate(p.edges):
-        names.append(f"s AS r{k}")
-        cond += [f"r{k}.la = {p.labels[u]}", f"r{k}.lb = {p.labels[v]}"]
+        want = f" AND el = {p.edge_label(u, v)}" if p.edge_labels else ""
+        names.append(f"(SELECT a, b, t FROM s WHERE la = {p.labels[u]} AND lb = {p.labels[v]}{want}) AS r{k}")
         for x, c in ((u, "a"), (v, "b")):
             if x in known:
                 cond.append(f"r{k}.{c} = {known[x]}")
@@ -41,7 +41,7 @@ def _match(p: Pattern) -> tuple[str, str, dict[int, str]]:
                 known[x] = f"r{k}.{c}"
     n = len(p.labels)
     cond += [f"{known[x]} <> {known[y]}" for x in range(n) for y in range(x) if p.labels[x] == p.labels[y]]
-    return f"FROM {', '.join(names)} WHERE {' AND '.join(cond)}", "greatest(" + ", ".join(f"r{k}.t" for k in range(len(p.edges))) + ")", known
+    return f"FROM {', '.join(names)} WHERE {' AND '.join(cond or ['true'])}", "greatest(" + ", ".join(f"r{k}.t" for k in range(len(p.edges))) + ")", known
 
 
 def _sql(body: str, batched: bool = False) -> str:
@@ -55,71 +55,158 @@ SQL: dict[str, str] = {}
 
 
 def _add(name: str, run: Callable[[Graph], DataFrame], sql: str | None = None, batched: bool = False) -> None:
-    QUERIES[name] = lambda spark, d: run(star_graph(spark, d))
+    """A query over the indexed star graph, with update edges in batches of PER_BATCH if `batched`."""
+    QUERIES[name] = lambda spark, d: run(indexed_star(spark, d, PER_BATCH if batched else None))
     if sql:
         SQL[name] = _sql(sql, batched)
 
 
-def _dealt(g: Graph) -> DataFrame:
-    return relations.with_batches(g.edges, PER_BATCH)
-
-
 _add("label_filter", lambda g: relations.label_filter(g, TRIANGLE), "SELECT id, label FROM v WHERE label IN (3, 4, 5)")
-_add("candidate_edges", lambda g: relations.tagged_relations(g.edges, TRIANGLE), " UNION ALL ".join(f"SELECT {u} AS u, {v} AS v, a, b, t AS batch_id FROM s WHERE la = {TRIANGLE.labels[u]} AND lb = {TRIANGLE.labels[v]}" for x, y in TRIANGLE.edges for u, v in ((x, y), (y, x))))
-_add("rel_cardinality", lambda g: relations.cardinalities(g.edges, DIAMOND).select("u", "v", "pairs", "sources"), " UNION ALL ".join(f"SELECT {u} AS u, {v} AS v, count(*) AS pairs, count(DISTINCT a) AS sources FROM s WHERE la = {DIAMOND.labels[u]} AND lb = {DIAMOND.labels[v]}" for x, y in DIAMOND.edges for u, v in ((x, y), (y, x))))
-_add("avg_degree", lambda g: relations.cardinalities(g.edges, FOUR_CYCLE).select("u", "v", F.round("avg_degree", 6).alias("avg_degree")), " UNION ALL ".join(f"SELECT {u} AS u, {v} AS v, round(count(*) / count(DISTINCT a), 6) AS avg_degree FROM s WHERE la = {FOUR_CYCLE.labels[u]} AND lb = {FOUR_CYCLE.labels[v]}" for x, y in FOUR_CYCLE.edges for u, v in ((x, y), (y, x))))
-_add("adjacency_lists", lambda g: relations.adjacency(g.edges, 3, 4).select("a", F.size("neighbours").cast("long").alias("n"), F.array_join("neighbours", ",").alias("list")), "SELECT a, count(DISTINCT b) AS n, string_agg(DISTINCT CAST(b AS VARCHAR), ',' ORDER BY CAST(b AS VARCHAR)) AS list FROM s WHERE la = 3 AND lb = 4 GROUP BY a")
+_add("candidate_edges", lambda g: relations.tagged_relations(g, TRIANGLE), " UNION ALL ".join(f"SELECT {u} AS u, {v} AS v, a, b, t AS batch_id FROM s WHERE la = {TRIANGLE.labels[u]} AND lb = {TRIANGLE.labels[v]}" for x, y in TRIANGLE.edges for u, v in ((x, y), (y, x))))
+_add("rel_cardinality", lambda g: relations.cardinalities(g, DIAMOND).select("u", "v", "pairs", "sources"), " UNION ALL ".join(f"SELECT {u} AS u, {v} AS v, count(*) AS pairs, count(DISTINCT a) AS sources FROM s WHERE la = {DIAMOND.labels[u]} AND lb = {DIAMOND.labels[v]}" for x, y in DIAMOND.edges for u, v in ((x, y), (y, x))))
+_add("avg_degree", lambda g: relations.cardinalities(g, FOUR_CYCLE).select("u", "v", F.round("avg_degree", 6).alias("avg_degree")), " UNION ALL ".join(f"SELECT {u} AS u, {v} AS v, round(count(*) / count(DISTINCT a), 6) AS avg_degree FROM s WHERE la = {FOUR_CYCLE.labels[u]} AND lb = {FOUR_CYCLE.labels[v]}" for x, y in FOUR_CYCLE.edges for u, v in ((x, y), (y, x))))
+_add("adjacency_lists", lambda g: relations.adjacency(g, 3, 4).select("a", F.size("neighbours").cast("long").alias("n"), F.array_join("neighbours", ",").alias("list")), "SELECT a, count(DISTINCT b) AS n, string_agg(DISTINCT CAST(b AS VARCHAR), ',' ORDER BY CAST(b AS VARCHAR)) AS list FROM s WHERE la = 3 AND lb = 4 GROUP BY a")
 _add("degree_distribution", lambda g: relations.degrees(g.edges).groupBy("label", "degree").agg(F.count("*").alias("n")), "SELECT label, degree, count(*) AS n FROM (SELECT a, la AS label, count(*) AS degree FROM s GROUP BY a, la) GROUP BY label, degree")
 _add("hash_split", lambda g: g.edges.select("src", "dst", "batch_id"), "SELECT src, dst, batch_id FROM e")
-_add("batches", lambda g: _dealt(g).select("src", "dst", "batch_id"), "SELECT src, dst, batch_id FROM eb", batched=True)
+_add("batches", lambda g: g.edges.select("src", "dst", "batch_id"), "SELECT src, dst, batch_id FROM eb", batched=True)
 _add("update_dedup", lambda g: relations.new_edges(g.edges.where("batch_id = 0"), g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).union(g.edges.select("src", "dst"))), "SELECT src, dst FROM e WHERE batch_id = 1")
 _add("union_state", lambda g: relations.union_state(g.edges.where("src_label <> 3"), g.edges.where("dst_label = 5")), "SELECT src, dst FROM e WHERE src_label <> 3 UNION SELECT src, dst FROM e WHERE dst_label = 5")
 _add("diff_state", lambda g: relations.without(g.edges, g.edges.where("batch_id = 1")), "SELECT src, dst FROM e EXCEPT SELECT src, dst FROM e WHERE batch_id = 1")
-_add("intersect_neighbours", lambda g: relations.relation(g.edges, 5, 4).select("a", "b").join(relations.relation(g.edges, 5, 4).select(F.col("a").alias("c"), "b"), "b").where("a < c").groupBy("a", "c").agg(F.count("*").alias("shared")).where("shared > 1"), "SELECT x.a, y.a AS c, count(*) AS shared FROM s x, s y WHERE x.b = y.b AND x.a < y.a AND x.la = 5 AND x.lb = 4 AND y.la = 5 AND y.lb = 4 GROUP BY 1, 2 HAVING count(*) > 1")
+_add("intersect_neighbours", lambda g: relations.relation(g, 5, 4).select("a", "b").join(relations.relation(g, 5, 4).select(F.col("a").alias("c"), "b"), "b").where("a < c").groupBy("a", "c").agg(F.count("*").alias("shared")).where("shared > 1"), "SELECT x.a, y.a AS c, count(*) AS shared FROM s x, s y WHERE x.b = y.b AND x.a < y.a AND x.la = 5 AND x.lb = 4 AND y.la = 5 AND y.lb = 4 GROUP BY 1, 2 HAVING count(*) > 1")
 _add("nlf_filter", lambda g: filtering.nlf_candidates(g, DIAMOND), "SELECT 0 AS u, a AS x FROM s WHERE la = 5 GROUP BY a HAVING count(*) FILTER (lb = 4) >= 2 AND count(*) FILTER (lb = 3) >= 1 UNION ALL SELECT 1, a FROM s WHERE la = 4 GROUP BY a HAVING count(*) FILTER (lb = 5) >= 1 AND count(*) FILTER (lb = 3) >= 1 UNION ALL SELECT 2, a FROM s WHERE la = 3 GROUP BY a HAVING count(*) FILTER (lb = 5) >= 1 AND count(*) FILTER (lb = 4) >= 2 UNION ALL SELECT 3, a FROM s WHERE la = 4 GROUP BY a HAVING count(*) FILTER (lb = 5) >= 1 AND count(*) FILTER (lb = 3) >= 1")
 
 
-def _fixpoint_sql(p: Pattern, rounds: int) -> str:
-    """Rounds of the candidate filter written out; patterns whose vertices have all-different neighbour labels."""
-    ctes = ["c0 AS (" + " UNION ALL ".join(f"SELECT {u} AS u, id AS x FROM v WHERE label = {x}" for u, x in enumerate(p.labels)) + ")"]
+def _fixpoint_sql(p: Pattern, rounds: int, name: str = "c", edges: str = "s") -> str:
+    """Rounds of the candidate filter written out, as common tables; patterns whose vertices have all-different neighbour labels."""
+    ctes = [f"{name}0 AS (" + " UNION ALL ".join(f"SELECT {u} AS u, id AS x FROM v WHERE label = {x}" for u, x in enumerate(p.labels)) + ")"]
     for k in range(1, rounds + 1):
         parts = []
         for u in range(len(p.labels)):
-            has = " AND ".join(f"EXISTS (SELECT 1 FROM s JOIN c{k - 1} d ON d.u = {w} AND d.x = s.b WHERE s.a = c.x)" for w in sorted(p.neighbours(u)))
-            parts.append(f"SELECT c.u, c.x FROM c{k - 1} c WHERE c.u = {u} AND {has}")
-        ctes.append(f"c{k} AS MATERIALIZED (" + " UNION ALL ".join(parts) + ")")
-    return ", " + ", ".join(ctes) + f" SELECT u, x FROM c{rounds}"
+            near = "".join(f" INTERSECT SELECT r.a FROM {edges} r, {name}{k - 1} d WHERE r.la = {p.labels[u]} AND r.lb = {p.labels[w]} AND d.u = {w} AND d.x = r.b" for w in sorted(p.neighbours(u)))
+            parts.append(f"SELECT {u} AS u, x FROM (SELECT x FROM {name}{k - 1} WHERE u = {u}{near})")
+        ctes.append(f"{name}{k} AS MATERIALIZED (" + " UNION ALL ".join(parts) + ")")
+    return ", ".join(ctes)
+
+
+#: Rounds that the SQL of fixpoints is written out for; the tables need fewer, and further rounds change nothing.
+_ROUNDS = 6
+
+
+def _rel(edges: DataFrame, p: Pattern) -> DataFrame:
+    return relations.tagged_relations(edges, p).select("u", "v", "a", "b")
+
 
+def cand_after_insert(g: Graph) -> DataFrame:
+    """From the candidates of the initial graph to those of the whole, by what the later edges touch."""
+    first = filtering.consistent_candidates(Graph(g.vertices, g.edges.where("batch_id = 0")), FOUR_CYCLE)
+    return filtering.after_insert(first, staged(_rel(g, FOUR_CYCLE), "pairs"), staged(_rel(Graph(g.vertices, g.edges.where("batch_id = 1")), FOUR_CYCLE), "fresh"), FOUR_CYCLE)
 
-_add("cand_fixpoint", lambda g: filtering.consistent_candidates(g, FOUR_CYCLE, rounds=3), _fixpoint_sql(FOUR_CYCLE, 3))
+
+def cand_after_delete(g: Graph) -> DataFrame:
+    """From the candidates of the whole graph to those of the initial one, by what the later edges leave behind."""
+    every = filtering.consistent_candidates(g, FOUR_CYCLE)
+    return filtering.after_delete(every, staged(_rel(Graph(g.vertices, g.edges.where("batch_id = 0")), FOUR_CYCLE), "pairs"), staged(_rel(Graph(g.vertices, g.edges.where("batch_id = 1")), FOUR_CYCLE), "gone"), FOUR_CYCLE)
+
+
+_OLD = ", so AS MATERIALIZED (SELECT * FROM s WHERE t = 0)"
+_add("cand_fixpoint", lambda g: filtering.consistent_candidates(g, FOUR_CYCLE), f", {_fixpoint_sql(FOUR_CYCLE, _ROUNDS)} SELECT u, x FROM c{_ROUNDS}")
+_add("cand_after_insert", cand_after_insert, f", {_fixpoint_sql(FOUR_CYCLE, _ROUNDS)} SELECT u, x FROM c{_ROUNDS}")
+_add("cand_after_delete", cand_after_delete, f"{_OLD}, {_fixpoint_sql(FOUR_CYCLE, _ROUNDS, 'c', 'so')} SELECT u, x FROM c{_ROUNDS}")
+_add("representatives", lambda g: filtering.representative_counts(g, DIAMOND), "SELECT 0 AS u, count(*) AS checked, count(*) FILTER (n4 >= 2 AND n3 >= 1) AS passed FROM (SELECT a, count(*) FILTER (lb = 4) AS n4, count(*) FILTER (lb = 3) AS n3 FROM s WHERE la = 5 AND lb IN (3, 4) GROUP BY a) UNION ALL SELECT 1, count(*), count(*) FILTER (n5 >= 1 AND n3 >= 1) FROM (SELECT a, count(*) FILTER (lb = 5) AS n5, count(*) FILTER (lb = 3) AS n3 FROM s WHERE la = 4 AND lb IN (3, 5) GROUP BY a) UNION ALL SELECT 2, count(*), count(*) FILTER (n5 >= 1 AND n4 >= 2) FROM (SELECT a, count(*) FILTER (lb = 5) AS n5, count(*) FILTER (lb = 4) AS n4 FROM s WHERE la = 3 AND lb IN (4, 5) GROUP BY a) UNION ALL SELECT 3, count(*), count(*) FILTER (n5 >= 1 AND n3 >= 1) FROM (SELECT a, count(*) FILTER (lb = 5) AS n5, count(*) FILTER (lb = 3) AS n3 FROM s WHERE la = 4 AND lb IN (3, 5) GROUP BY a)")
+_add("count_candidates", lambda g: filtering.candidate_counts(filtering.consistent_candidates(g, FOUR_CYCLE), _rel(g, FOUR_CYCLE)).select(F.col("u"), F.coalesce("v", F.lit(-1)).alias("v"), "n"), f", {_fixpoint_sql(FOUR_CYCLE, _ROUNDS)} SELECT u, -1 AS v, count(*) AS n FROM c{_ROUNDS} GROUP BY u UNION ALL " + " UNION ALL ".join(f"SELECT {u}, {v}, count(*) FROM s WHERE a IN (SELECT x FROM c{_ROUNDS} WHERE u = {u}) AND b IN (SELECT x FROM c{_ROUNDS} WHERE u = {v})" for e in FOUR_CYCLE.edges for u, v in (e, e[::-1])))
+_add("update_sizes", lambda g: relations.update_sizes(g, TRIANGLE), " UNION ALL ".join(f"SELECT t AS batch_id, {k} AS ei, count(*) AS pairs FROM s WHERE t > 0 AND la = {TRIANGLE.labels[u]} AND lb = {TRIANGLE.labels[v]} GROUP BY t" for k, (u, v) in enumerate(TRIANGLE.edges)), batched=True)
+_add("forward_lookahead", lambda g: filtering.lookahead(filtering.nlf_candidates(g, TRIANGLE), _rel(g, TRIANGLE), TRIANGLE), f", {_fixpoint_sql(TRIANGLE, 2)} SELECT u, x FROM c2")
+_add("relevant_edges", lambda g: filtering.prune(g, filtering.nlf_candidates(g, FOUR_CYCLE)).edges.select("src", "dst"), f", {_fixpoint_sql(FOUR_CYCLE, 1)} SELECT src, dst FROM e WHERE src IN (SELECT x FROM c1) AND dst IN (SELECT x FROM c1)")
 
 for _name, _p in SHAPES.items():
     _from, _born, _at = _match(_p)
-    _add(f"static_count_{_name}", lambda g, p=_p: matching.count(g.edges, p), f"SELECT count(*) AS num_matches {_from}")
-    _add(f"delta_count_{_name}", lambda g, p=_p: matching.delta_counts(g.edges, p), f"SELECT {_born} AS batch_id, count(*) AS num_matches {_from} AND {_born} > 0 GROUP BY 1")
+    _add(f"static_count_{_name}", lambda g, p=_p: matching.count(g, p), f"SELECT count(*) AS num_matches {_from}")
+    _add(f"delta_count_{_name}", lambda g, p=_p: matching.delta_counts(g, p), f"SELECT {_born} AS batch_id, count(*) AS num_matches {_from} AND {_born} > 0 GROUP BY 1")
     if _name in ("edge", "triangle", "4cycle", "path"):
-        _add(f"delta_by_batch_{_name}", lambda g, p=_p: matching.delta_counts(_dealt(g), p), f"SELECT {_born} AS batch_id, count(*) AS num_matches {_from} AND {_born} > 0 GROUP BY 1", batched=True)
+        _add(f"delta_by_batch_{_name}", lambda g, p=_p: matching.delta_counts(g, p), f"SELECT {_born} AS batch_id, count(*) AS num_matches {_from} AND {_born} > 0 GROUP BY 1", batched=True)
+_from, _born, _at = _match(LABELLED)
+_add("static_count_edge_label", lambda g: matching.count(g, LABELLED), f"SELECT count(*) AS num_matches {_from}")
+_add("delta_count_edge_label", lambda g: matching.delta_counts(g, LABELLED), f"SELECT {_born} AS batch_id, count(*) AS num_matches {_from} AND {_born} > 0 GROUP BY 1")
+_GONE = "(src + dst) % 7 = 0"
+_add("delta_with_deletes", lambda g: matching.lost(g.edges, g.edges.where(_GONE), TRIANGLE).agg(F.count("*").alias("num_matches")), f"SELECT (SELECT count(*) {_match(TRIANGLE)[0]}) - (SELECT count(*) {_match(TRIANGLE)[0].replace('FROM s WHERE', 'FROM s WHERE (a + b) % 7 <> 0 AND')}) AS num_matches")
+_add("apply_updates", lambda g: relations.apply_updates(g.edges.where("batch_id = 0"), g.edges.where("src % 3 = 0 or batch_id = 1").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("dst").alias("seq"), F.when(F.col("src") % 3 == 0, "delete").otherwise("insert").alias("op"))), "SELECT src, dst FROM e WHERE src % 3 <> 0")
 for _name, _p in (("triangle", TRIANGLE), ("4cycle", FOUR_CYCLE)):
     _from, _born, _at = _match(_p)
     _cols = ", ".join(f"{_at[k]} AS u{k}" for k in range(len(_p.labels)))
-    _add(f"embeddings_{_name}", lambda g, p=_p: matching.embeddings(g.edges, p), f"SELECT {_cols}, {_born} AS born {_from}")
-    _add(f"delta_embeddings_{_name}", lambda g, p=_p: matching.delta(g.edges, p).drop("ei"), f"SELECT {_cols}, {_born} AS born {_from} AND {_born} > 0")
+    _add(f"embeddings_{_name}", lambda g, p=_p: matching.embeddings(g, p), f"SELECT {_cols}, {_born} AS born {_from}")
+    _add(f"delta_embeddings_{_name}", lambda g, p=_p: matching.delta(g, p).drop("ei"), f"SELECT {_cols}, {_born} AS born {_from} AND {_born} > 0")
 _from, _born, _at = _match(TRIANGLE)
-_add("closed_form_triangle", lambda g: matching.closed_counts(_dealt(g), TRIANGLE), f"SELECT {_born} AS batch_id, count(*) AS num_matches {_from} AND {_born} > 0 GROUP BY 1", batched=True)
-_add("reduced_delta_triangle", lambda g: matching.delta_counts(g.edges, TRIANGLE, reduce_first=True), f"SELECT {_born} AS batch_id, count(*) AS num_matches {_from} AND {_born} > 0 GROUP BY 1")
-_add("planned_count_4cycle", lambda g: matching.embeddings(g.edges, FOUR_CYCLE, relations.gather_stats(g.edges, FOUR_CYCLE), "score").agg(F.count("*").alias("num_matches")), f"SELECT count(*) AS num_matches {_match(FOUR_CYCLE)[0]}")
-_add("local_candidates_triangle", lambda g: matching.local_candidates(g.edges, TRIANGLE, 0)[2].select("x"), "SELECT DISTINCT x.b AS x FROM s x JOIN (SELECT DISTINCT a FROM s WHERE la = 5 AND lb = 4 AND t = 1) d0 ON x.a = d0.a AND x.la = 5 AND x.lb = 3 WHERE x.b IN (SELECT y.b FROM s y JOIN (SELECT DISTINCT b FROM s WHERE la = 5 AND lb = 4 AND t = 1) d1 ON y.a = d1.b AND y.la = 4 AND y.lb = 3)")
-_add("local_candidates_all", lambda g: matching.local_candidates_all(g.edges, TRIANGLE), " UNION ALL ".join(
+_add("closed_form_triangle", lambda g: matching.closed_counts(g, TRIANGLE), f"SELECT {_born} AS batch_id, count(*) AS num_matches {_from} AND {_born} > 0 GROUP BY 1", batched=True)
+_add("reduced_delta_triangle", lambda g: matching.delta_counts(g, TRIANGLE, reduce_first=True), f"SELECT {_born} AS batch_id, count(*) AS num_matches {_from} AND {_born} > 0 GROUP BY 1")
+_add("planned_count_4cycle", lambda g: matching.embeddings(g, FOUR_CYCLE, relations.gather_stats(g, FOUR_CYCLE), "score").agg(F.count("*").alias("num_matches")), f"SELECT count(*) AS num_matches {_match(FOUR_CYCLE)[0]}")
+_add("local_candidates_triangle", lambda g: matching.local_candidates(g, TRIANGLE, 0)[2].select("x"), "SELECT DISTINCT x.b AS x FROM s x JOIN (SELECT DISTINCT a FROM s WHERE la = 5 AND lb = 4 AND t = 1) d0 ON x.a = d0.a AND x.la = 5 AND x.lb = 3 WHERE x.b IN (SELECT y.b FROM s y JOIN (SELECT DISTINCT b FROM s WHERE la = 5 AND lb = 4 AND t = 1) d1 ON y.a = d1.b AND y.la = 4 AND y.lb = 3)")
+_add("local_candidates_all", lambda g: matching.local_candidates_all(g, TRIANGLE), " UNION ALL ".join(
     f"SELECT {i} AS ei, {u} AS u, count(DISTINCT {c}) AS n FROM s WHERE la = {TRIANGLE.labels[e[0]]} AND lb = {TRIANGLE.labels[e[1]]} AND t = 1" for i, e in enumerate(TRIANGLE.edges) for u, c in ((e[0], "a"), (e[1], "b"))) + " UNION ALL " + " UNION ALL ".join(
     f"SELECT {i}, {w}, count(DISTINCT x.b) FROM s x WHERE x.la = {TRIANGLE.labels[e[0]]} AND x.lb = {TRIANGLE.labels[w]} AND x.a IN (SELECT a FROM s WHERE la = {TRIANGLE.labels[e[0]]} AND lb = {TRIANGLE.labels[e[1]]} AND t = 1) AND x.b IN (SELECT y.b FROM s y WHERE y.la = {TRIANGLE.labels[e[1]]} AND y.lb = {TRIANGLE.labels[w]} AND y.a IN (SELECT b FROM s WHERE la = {TRIANGLE.labels[e[0]]} AND lb = {TRIANGLE.labels[e[1]]} AND t = 1))" for i, e in enumerate(TRIANGLE.edges) for w in {0, 1, 2} - set(e)))
-_add("triangles", lambda g: nucleus.triangles(g.edges).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM e x, e y, e z WHERE x.src = y.src AND x.dst < y.dst AND z.src = x.dst AND z.dst = y.dst")
-_add("core_numbers", lambda g: nucleus.core_numbers(g.edges.where("dst_label < 5")))
-_add("truss_numbers", lambda g: nucleus.truss_numbers(g.edges.where("src_label >= 3")))
+_add("triangles", lambda g: nucleus.triangles(g.edges), "SELECT x.src AS a, x.dst AS b, y.dst AS c FROM e x, e y, e z WHERE x.src = y.src AND x.dst < y.dst AND z.src = x.dst AND z.dst = y.dst")
+
+
+def _hindex_sql(items: str, mates: str, rounds: int) -> str:
+    """Rounds of the h-index iteration written out: items(item), mates(grp, item, mate)."""
+    ctes = [f"items AS MATERIALIZED ({items})", f"mates AS MATERIALIZED ({mates})", "h0 AS MATERIALIZED (SELECT i.item, CAST(count(DISTINCT m.grp) AS BIGINT) AS k FROM items i LEFT JOIN mates m ON i.item = m.item GROUP BY i.item)"]
+    for r in range(1, rounds + 1):
+        seen = f"SELECT m.item, m.grp, min(h.k) AS v FROM mates m JOIN h{r - 1} h ON h.item = m.mate GROUP BY m.item, m.grp"
+        ranked = f"SELECT item, least(v, row_number() OVER (PARTITION BY item ORDER BY v DESC)) AS h FROM ({seen})"
+        ctes.append(f"h{r} AS MATERIALIZED (SELECT h.item, CAST(coalesce(least(h.k, n.h), 0) AS BIGINT) AS k FROM h{r - 1} h LEFT JOIN (SELECT item, max(h) AS h FROM ({ranked}) GROUP BY item) n ON n.item = h.item)")
+    return ", " + ", ".join(ctes)
+
+
+#: Rounds of the h-index iteration that the SQL is written out for; the tables at sf0.01 settle before.
+_H_ROUNDS = 40
+_add("core_numbers", lambda g: nucleus.core_numbers(g.edges), _hindex_sql("SELECT DISTINCT a AS item FROM s", "SELECT a AS item, b AS mate, least(a, b) * 4294967296 + greatest(a, b) AS grp FROM s", _H_ROUNDS) + f" SELECT item AS id, k AS core FROM h{_H_ROUNDS}")
+_EDGE = "{0} * 4294967296 + {1}"
+_TRI = "tri AS MATERIALIZED (SELECT x.src AS a, x.dst AS b, y.dst AS c, row_number() OVER () AS grp FROM e x, e y, e z WHERE x.src = y.src AND x.dst < y.dst AND z.src = x.dst AND z.dst = y.dst), side AS MATERIALIZED (SELECT grp, a * 4294967296 + b AS item FROM tri UNION ALL SELECT grp, a * 4294967296 + c FROM tri UNION ALL SELECT grp, b * 4294967296 + c FROM tri)"
+_add("truss_numbers", lambda g: nucleus.truss_numbers(g.edges), f", {_TRI}" + _hindex_sql("SELECT src * 4294967296 + dst AS item FROM e", "SELECT x.grp, x.item, y.item AS mate FROM side x JOIN side y ON x.grp = y.grp AND x.item <> y.item", _H_ROUNDS) + f" SELECT CAST(item // 4294967296 AS BIGINT) AS src, CAST(item % 4294967296 AS BIGINT) AS dst, k AS truss FROM h{_H_ROUNDS}")
+
+
+def bought_together(spark: SparkSession, d: str) -> DataFrame:
+    """(src, dst): parts of one order, each pair once; an order has a few lines."""
+    x = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", F.col("l_partkey").cast("long").alias("src"))
+    return x.join(x.withColumnRenamed("src", "dst"), "l_orderkey").where("src < dst").select("src", "dst").distinct()
+
+
+_TOGETHER = "WITH e AS MATERIALIZED (SELECT DISTINCT CAST(x.l_partkey AS BIGINT) AS src, CAST(y.l_partkey AS BIGINT) AS dst FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey WHERE x.l_partkey < y.l_partkey), tri AS MATERIALIZED (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM e x, e y, e z WHERE x.src = y.src AND x.dst < y.dst AND z.src = x.dst AND z.dst = y.dst), cl AS MATERIALIZED (SELECT t.a, t.b, t.c, u.c AS d FROM tri t, tri u, e z WHERE u.a = t.a AND u.b = t.b AND t.c < u.c AND z.src = t.c AND z.dst = u.c)"
+_FACE = "CAST({0} AS HUGEINT) * 281474976710656 + {1} * 16777216 + {2}"
+_FACES = "nc AS MATERIALIZED (SELECT *, row_number() OVER () AS grp FROM cl), side AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT grp, {_FACE.format(*x)} AS item FROM nc" for x in ("abc", "abd", "acd", "bcd")) + ")"
+QUERIES["four_cliques"] = lambda spark, d: nucleus.four_cliques(bought_together(spark, d))
+SQL["four_cliques"] = f"{_TOGETHER} SELECT a, b, c, d FROM cl"
+QUERIES["nucleus34_numbers"] = lambda spark, d: nucleus.nucleus34_numbers(bought_together(spark, d))
+SQL["nucleus34_numbers"] = f"{_TOGETHER}, {_FACES}" + _hindex_sql(f"SELECT {_FACE.format(*'abc')} AS item FROM tri", "SELECT x.grp, x.item, y.item AS mate FROM side x JOIN side y ON x.grp = y.grp AND x.item <> y.item", _H_ROUNDS) + f" SELECT CAST(item // 281474976710656 AS BIGINT) AS a, CAST(item // 16777216 % 16777216 AS BIGINT) AS b, CAST(item % 16777216 AS BIGINT) AS c, k FROM h{_H_ROUNDS}"
+
+
+# --- sources: the star graph written in a format and read back -------------------------------------------
+
+
+def read_text_graph(spark: SparkSession, d: str) -> DataFrame:
+    g, path = star_graph(spark, d), shared_path(spark, "text")
+    v = g.vertices.select(F.concat_ws(" ", F.lit("v"), "id", "label").alias("value"))
+    e = g.edges.select(F.concat_ws(" ", F.lit("e"), "dst", "src", "edge_label").alias("value"))
+    v.union(e).write.text(path)
+    return read_labelled(spark, path).edges.select("src", "dst", "src_label", "dst_label", "edge_label")
+
+
+def read_update_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The later edges as an update file in the order of their ends, dealt into batches by its lines."""
+    path = shared_path(spark, "updates")
+    g = indexed_star(spark, d)
+    g.edges.where("batch_id = 1").repartitionByRange(4, "src", "dst").sortWithinPartitions("src", "dst").select(F.concat_ws(" ", F.lit("e"), "src", "dst", F.lit(0)).alias("value")).write.text(path)
+    return relations.by_arrival(read_updates(spark, path), PER_BATCH)
+
+
+QUERIES["read_text_graph"] = read_text_graph
+SQL["read_text_graph"] = _sql("SELECT src, dst, src_label, dst_label, el AS edge_label FROM e")
+QUERIES["read_update_stream"] = read_update_stream
+SQL["read_update_stream"] = _sql("SELECT src, dst, batch_id FROM eb WHERE batch_id > 0", batched=True)
 
 
 def _sample(kind: str, size: int):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return sampling.pattern_table(spark, sampling.sample_patterns(star_graph(spark, d), kind, size, 5))
+        return sampling.pattern_table(spark, sampling.sample_patterns(indexed_star(spark, d), kind, size, 5))
     return run
 
 
@@ -129,16 +216,16 @@ for _kind in ("tree", "sparse", "dense"):
 
 def stream_delta_triangle(spark: SparkSession, d: str) -> DataFrame:
     """The batches as files of a stream, one micro-batch each."""
-    g = star_graph(spark, d)
+    g = indexed_star(spark, d, PER_BATCH)
     root = shared_path(spark, "stream")
-    dealt = _dealt(g).where("batch_id > 0")
-    last = dealt.agg(F.max("batch_id")).first()[0] or 0
+    later = g.edges.where("batch_id > 0")
+    last = later.agg(F.max("batch_id")).first()[0] or 0
     for b in range(1, last + 1):  # files arrive in order
-        dealt.where(F.col("batch_id") == b).select("src", "dst").coalesce(1).write.mode("append").parquet(f"{root}-in")
-    matcher = ContinuousMatcher(spark, root, Graph(g.vertices, g.edges.where("batch_id = 0")), TRIANGLE)
+        later.where(F.col("batch_id") == b).select("src", "dst").coalesce(1).write.mode("append").parquet(f"{root}-in")
+    matcher = ContinuousMatcher(spark, root, Graph(g.vertices, g.edges.where("batch_id = 0"), stats=g.stats), TRIANGLE)
     updates = spark.readStream.schema("src long, dst long").option("maxFilesPerTrigger", 1).parquet(f"{root}-in")
     matcher.start(updates, availableNow=True).awaitTermination()
-    return matcher.counts().where("num_matches > 0")
+    return matcher.counts().where("num_matches > 0").select("batch_id", "num_matches")
 
 
 QUERIES["stream_delta_triangle"] = stream_delta_triangle

@@ -1,53 +1,161 @@
-"""Continuous matching with Structured Streaming: each micro-batch is a batch of edge insertions.
+"""Continuous matching with Structured Streaming: each micro-batch is a batch of edge insertions and deletions.
 
-State is Parquet under `<root>/edges/batch=<n>`; results are under `<root>/counts/batch=<n>`. A batch reads only
-the folders of earlier batches and overwrites its own, so a replay after a failure gives the same table: matches
-are counted exactly once.
+State is a log of Parquet folders: `<root>/edges/batch=<n>` has the edges that batch n made or took, both ways, by a hash
+bucket of the first end, sorted by label pair; `<root>/base/upto=<n>` has all that lived after batch n, written anew every COMPACT
+batches. A batch reads the last base before it and the folders since, of these only the buckets of vertices that it
+has reached, so its cost follows what it touches. Results are under `<root>/counts/batch=<n>`. A batch overwrites its own
+folders only, so a replay after a failure gives the same tables: matches are counted exactly once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from functools import cache, reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from strandweave.operators.matching import delta
-from strandweave.operators.relations import distinct_edges
+from strandweave.functions.staging import Scope, staged
+from strandweave.operators.matching import _advance, _operations
+from strandweave.operators.relations import label_pairs, of_pairs
 from strandweave.plans.pattern import Pattern
-from strandweave.plans.planner import Stats
-from strandweave.sources.graphs import Graph
+from strandweave.plans.planner import Stats, plan
+from strandweave.sources.graphs import Graph, both_ways
 
-_EDGE = "src long, dst long, src_label int, dst_label int, batch int"
+#: Batches after which the state is written as one.
+COMPACT = 16
+_ROW = "a long, b long, edge_label int, live int, la int, lb int, k int"
 
 
 class ContinuousMatcher:
-    def __init__(self, spark: SparkSession, root: str, graph: Graph, pattern: Pattern, stats: Stats | None = None):
-        self.spark, self.root, self.pattern, self.stats = spark, root.rstrip("/"), pattern, stats
-        self.vertices = graph.vertices
-        graph.edges.select("src", "dst", F.col("src_label").cast("int"), F.col("dst_label").cast("int")).write.mode("overwrite").parquet(f"{self.root}/edges/batch=0")
+    def __init__(self, spark: SparkSession, root: str, graph: Graph, pattern: Pattern, stats: Stats | None = None, buckets: int | None = None, compact: int = COMPACT):
+        """buckets: of vertices; as many as shuffle partitions if not given."""
+        self.spark, self.root, self.pattern, self.every = spark, root.rstrip("/"), pattern, compact
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self._buckets_of = cache(self._listed)
+        self.stats = stats or graph.stats
+        self.read: dict[int, int] = {}  # buckets of the state that a batch has read, by batch
+        self._write(self._bucketed(both_ways(graph.edges).withColumn("live", F.lit(1))), "base/upto=0")
+        graph.vertices.select("id", F.col("label").cast("int"), self._bucket(F.col("id")).alias("k")).repartition(self.buckets, "k").write.mode("overwrite").partitionBy("k").parquet(f"{self.root}/vertices")
+
+    # --- state -------------------------------------------------------------------------------------
+
+    def _bucket(self, c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int")
+
+    def _bucketed(self, rows: DataFrame) -> DataFrame:
+        return rows.select("a", "b", F.col("edge_label").cast("int"), F.col("live").cast("int"), F.col("la").cast("int"), F.col("lb").cast("int"), self._bucket(F.col("a")).alias("k"))
+
+    def _write(self, rows: DataFrame, folder: str) -> None:
+        rows.repartition(self.buckets, "k").sortWithinPartitions("k", "la", "lb").write.mode("overwrite").partitionBy("k").parquet(f"{self.root}/{folder}")
+
+    def _listed(self, folder: str) -> frozenset[int]:
+        """The buckets that a folder has rows of."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}")
+        names = [f.getPath().getName() for f in p.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(p)]
+        return frozenset(int(n[2:]) for n in names if n.startswith("k="))
 
-    def state(self, before: int) -> DataFrame:
-        """(src, dst, batch_id, src_label, dst_label) of the batches before one; partition pruning reads no others."""
-        e = self.spark.read.schema(_EDGE).parquet(f"{self.root}/edges")
-        return e.where(F.col("batch") < before).select("src", "dst", F.lit(0).alias("batch_id"), "src_label", "dst_label")
+    def _folders(self, kind: str) -> list[int]:
+        """Numbers of the complete folders `kind`=<n>."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{kind.split('/')[0]}")
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = fs.listStatus(p) if fs.exists(p) else []
+        return sorted(int(s.getPath().getName().split("=")[1]) for s in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+
+    def state(self, before: int, buckets: set[int] | None = None, pairs: list[tuple[int, int]] | None = None) -> DataFrame:
+        """(a, b, edge_label, la, lb) both ways, of the edges that live before a batch; of some buckets and label pairs only, if
+        given. The log's last word on an edge holds."""
+        base = max(n for n in self._folders("base") if n < before)
+        log = [n for n in self._folders("edges") if base < n < before]
+        parts = [(base, f"base/upto={base}"), *((n, f"edges/batch={n}") for n in log)]
+        rows = []
+        for n, folder in parts:
+            has = self._buckets_of(folder)
+            some = sorted(has if buckets is None else has & buckets)
+            if some:
+                at = f"{self.root}/{folder}"
+                r = self.spark.read.schema(_ROW).option("basePath", at).parquet(*(f"{at}/k={k}" for k in some))
+                rows.append((r if pairs is None else of_pairs(r, pairs)).withColumn("n", F.lit(n)))
+        if not rows:
+            return self.spark.createDataFrame([], "a long, b long, edge_label int, la int, lb int")
+        every = reduce(DataFrame.unionByName, rows)
+        if log:  # an edge can have come, gone and come back
+            every = every.groupBy("a", "b", "la", "lb", "edge_label").agg(F.max(F.struct("n", "live")).alias("last")).withColumn("live", F.col("last.live"))
+        return every.where("live = 1").select("a", "b", "edge_label", "la", "lb")
+
+    def _reached(self, ends: Column, df: DataFrame, batch: int) -> set[int]:
+        got = {r.k for r in df.select(self._bucket(ends).alias("k")).distinct().collect()}  # a row per bucket at most
+        self.read[batch] = self.read.get(batch, 0) + len(got)
+        return got
+
+    # --- a batch -----------------------------------------------------------------------------------
 
     def process(self, arrivals: DataFrame, batch: int) -> None:
-        """One batch, numbered from 1: keep what is new, count what it adds, store both."""
-        old = self.state(batch)
-        fresh = distinct_edges(arrivals).join(old.select("src", "dst"), ["src", "dst"], "left_anti")
-        a = self.vertices.select(F.col("id").alias("src"), F.col("label").alias("src_label"))
-        b = self.vertices.select(F.col("id").alias("dst"), F.col("label").alias("dst_label"))
-        fresh = fresh.join(a, "src").join(b, "dst").select("src", "dst", F.col("src_label").cast("int"), F.col("dst_label").cast("int"))
-        mine = f"{self.root}/edges/batch={batch}"
-        fresh.write.mode("overwrite").parquet(mine)
-        new = self.spark.read.schema("src long, dst long, src_label int, dst_label int").parquet(mine).select("src", "dst", F.lit(1).alias("batch_id"), "src_label", "dst_label")
-        counts = delta(old.unionByName(new), self.pattern, self.stats).agg(F.count("*").alias("num_matches"))
-        counts.write.mode("overwrite").parquet(f"{self.root}/counts/batch={batch}")
+        """One batch of (src, dst[, op][, edge_label]), numbered from 1: of each edge the last row counts as the batch has no
+        order within (a deletion, if it has both); count what goes and what comes, store both."""
+        self.read[batch] = 0
+        with Scope(self.spark):
+            changes = staged(self._changes(arrivals, batch), "changes")
+            gone, came = changes.where("live = 0"), changes.where("live = 1")
+            n_lost = self._matches(gone, batch, None)
+            self._write(changes, f"edges/batch={batch}")
+            self._buckets_of.cache_clear()
+            n_new = self._matches(came, batch, gone)
+            self.spark.createDataFrame([(n_new, n_lost)], "num_matches long, num_lost long").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/counts/batch={batch}")
+        if batch % self.every == 0:
+            self._write(self._bucketed(self.state(batch + 1).withColumn("live", F.lit(1))), f"base/upto={batch}")
+
+    def _changes(self, arrivals: DataFrame, batch: int) -> DataFrame:
+        """State rows, both ways, of the edges that really come (live 1) or go (live 0)."""
+        op = F.col("op") if "op" in arrivals.columns else F.lit("insert")
+        label = F.col("edge_label") if "edge_label" in arrivals.columns else F.lit(0)
+        e = arrivals.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), (op != "delete").cast("int").alias("live"), label.cast("int").alias("edge_label")).where("src < dst")
+        e = staged(e.groupBy("src", "dst").agg(F.min(F.struct("live", "edge_label")).alias("x")).select("src", "dst", "x.*"), "arrivals")
+        near = {r.k for r in e.select(F.explode(F.array(self._bucket(F.col("src")), self._bucket(F.col("dst")))).alias("k")).distinct().collect()}  # a row per bucket at most
+        v = self.spark.read.schema("id long, label int, k int").parquet(f"{self.root}/vertices").where(F.col("k").isin(sorted(near))).select("id", "label")
+        e = e.join(v.select(F.col("id").alias("src"), F.col("label").alias("src_label")), "src").join(v.select(F.col("id").alias("dst"), F.col("label").alias("dst_label")), "dst")
+        has = self.state(batch, self._reached(F.col("src"), e, batch)).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("edge_label").alias("__old"), F.lit(1).alias("__has"))
+        real = e.join(has, ["src", "dst"], "left").where("live <> coalesce(__has, 0)").withColumn("edge_label", F.coalesce("__old", "edge_label"))
+        return self._bucketed(both_ways(real.withColumn("batch_id", F.col("live"))).withColumn("live", F.col("batch_id")))
+
+    def _matches(self, seeds: DataFrame, batch: int, gone: DataFrame | None) -> int:
+        """Matches with an edge of `seeds`, all other edges of the state before the batch (without `gone`, if given) or of seeds."""
+        p = self.pattern
+        names = [f"u{k}" for k in range(len(p.labels))]
+        first = []
+        for i, (u, v) in enumerate(p.edges):
+            own = {u: F.col("a"), v: F.col("b")}
+            rows = of_pairs(seeds, [(p.labels[u], p.labels[v])]).where("a <> b")
+            want = p.edge_label(u, v)
+            rows = rows if want is None else rows.where(F.col("edge_label") == want)
+            first.append(rows.select(F.lit(i).alias("ei"), *(own.get(k, F.lit(None)).cast("long").alias(n) for k, n in enumerate(names)), F.lit(1).alias("born")))
+        if seeds.isEmpty():
+            return 0
+        df = staged(reduce(DataFrame.union, first), "branches")
+        plans = {i: _operations(plan(p, self.stats, seed=e)) for i, e in enumerate(p.edges)}
+        new = of_pairs(seeds, label_pairs(p)).select("a", "b", "edge_label", "la", "lb")
+        for k in range(len(p.edges) - 1):
+            parts = []
+            for binds in (True, False):
+                ops = {i: o[k] for i, o in plans.items() if o[k][2] is binds}
+                if ops:
+                    mine = df.where(F.col("ei").isin(list(ops)))
+                    ends = reduce(lambda c, io: F.when(F.col("ei") == io[0], F.col(f"u{io[1][0]}")).otherwise(c), ops.items(), F.lit(None))
+                    pairs = [(p.labels[x], p.labels[y]) for x, y, _, _ in ops.values()]
+                    # a deletion's own edges are in the state before it: they count as later there
+                    old = self.state(batch, self._reached(ends, mine, batch), pairs)
+                    out = gone if gone is not None else seeds
+                    old = old.join(out.select("a", "b"), ["a", "b"], "left_anti")
+                    d = old.withColumn("batch_id", F.lit(0)).unionByName(of_pairs(new, pairs).withColumn("batch_id", F.lit(1)))
+                    near = Graph(d, d, d)
+                    parts.append(_advance(mine, near, p, ops, binds, None).select(df.columns))
+            df = staged(reduce(DataFrame.union, parts), "branches")
+        return df.count()
 
     def start(self, updates: DataFrame, **options) -> StreamingQuery:
-        """Run on a stream of updates(src, dst); with availableNow=True it ends when all input is read."""
+        """Run on a stream of updates(src, dst[, op]); with availableNow=True it ends when all input is read."""
         writer = updates.writeStream.foreachBatch(lambda df, n: self.process(df, n + 1)).option("checkpointLocation", f"{self.root}/checkpoint")
         return writer.trigger(**options).start() if options else writer.start()
 
     def counts(self) -> DataFrame:
-        """(batch_id, num_matches) so far."""
-        return self.spark.read.schema("num_matches long, batch int").parquet(f"{self.root}/counts").select(F.col("batch").alias("batch_id"), "num_matches")
+        """(batch_id, num_matches, num_lost) so far."""
+        return self.spark.read.schema("num_matches long, num_lost long, batch int").parquet(f"{self.root}/counts").select(F.col("batch").alias("batch_id"), "num_matches", "num_lost")

@@ -1,13 +1,15 @@
 """Matching against a backtracking counter on small random graphs, and the operators' edge cases."""
 
+import itertools
 import random
 
+import numpy as np
 import pytest
 
 from strandweave.operators import filtering, matching, nucleus, relations, sampling
 from strandweave.plans.pattern import Pattern, SHAPES
-from strandweave.plans.planner import Stats, plan
-from strandweave.sources.graphs import Graph, labelled, read_text, read_updates, star_graph
+from strandweave.plans.planner import Stats, affected_edges, affected_vertices, plan
+from strandweave.sources.graphs import Graph, index, indexed_star, labelled, read_csr, read_labelled, read_text, read_updates, shuffled, star_graph, stream_updates, write_patterns
 
 SHAPES_HERE = [Pattern((0, 1), ((0, 1),)), Pattern((0, 1, 0), ((0, 1), (1, 2))), Pattern((0, 0, 0), ((0, 1), (1, 2), (0, 2))), Pattern((0, 1, 2, 1), ((0, 1), (1, 2), (2, 3), (0, 3))), Pattern((0, 1, 2), ((0, 1), (0, 2)))]
 
@@ -33,35 +35,108 @@ def brute(labels, edges, p):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_random_graphs(spark, seed):
+def some_graph(spark, seed, kinds=1):
     rng = random.Random(seed)
     labels = {x: rng.randrange(3) for x in range(14)}
     edges = {(a, b): rng.choice([0, 0, 1, 2]) for a in labels for b in labels if a < b and rng.random() < 0.4}
-    raw = [(b, a, t) if rng.random() < 0.5 else (a, b, t) for (a, b), t in edges.items()]
-    raw += [(a, b, 3) for (a, b) in list(edges)[:4]] + [(3, 3, 1)]  # repeats and a self-loop count for nothing
-    g = labelled(spark.createDataFrame(list(labels.items()), "id long, label int"), spark.createDataFrame(raw, "src long, dst long, batch_id int"))
+    kind = {e: rng.randrange(kinds) for e in edges}
+    raw = [(b, a, t, kind[a, b]) if rng.random() < 0.5 else (a, b, t, kind[a, b]) for (a, b), t in edges.items()]
+    raw += [(a, b, 3, 9) for (a, b) in list(edges)[:4]] + [(3, 3, 1, 0)]  # repeats and a self-loop count for nothing
+    g = labelled(spark.createDataFrame(list(labels.items()), "id long, label int"), spark.createDataFrame(raw, "src long, dst long, batch_id int, edge_label int"))
+    return labels, edges, kind, g
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_graphs(spark, seed):
+    labels, edges, _, g = some_graph(spark, seed)
     g = Graph(g.vertices, g.edges.cache())
     assert g.edges.count() == len(edges)
+    indexed = index(g)
+    assert sorted(map(tuple, indexed.edges.select("src", "dst", "batch_id", "src_label", "dst_label").collect())) == sorted((a, b, t, labels[a], labels[b]) for (a, b), t in edges.items())
     for p in SHAPES_HERE:
         want = brute(labels, edges, p)
-        assert matching.count(g.edges, p).first()[0] == sum(want.values())
         new = {t: n for t, n in want.items() if t}
-        assert dict(map(tuple, matching.delta_counts(g.edges, p).collect())) == new
-        assert dict(map(tuple, matching.closed_counts(g.edges, p).collect())) == new
+        for own in (g.edges, indexed):
+            assert matching.count(own, p).first()[0] == sum(want.values())
+            assert dict(map(tuple, matching.delta_counts(own, p).collect())) == new
+        assert dict(map(tuple, matching.closed_counts(indexed, p).collect())) == new
     p = SHAPES_HERE[3]
-    assert dict(map(tuple, matching.delta_counts(g.edges, p, reduce_first=True, strategy="score").collect())) == {t: n for t, n in brute(labels, edges, p).items() if t}
+    assert dict(map(tuple, matching.delta_counts(indexed, p, reduce_first=True, strategy="score").collect())) == {t: n for t, n in brute(labels, edges, p).items() if t}
     pruned = filtering.prune(g, filtering.consistent_candidates(g, p))
     assert matching.count(pruned.edges, p).first()[0] == sum(brute(labels, edges, p).values())
     pruned = filtering.prune(g, filtering.nlf_candidates(g, p))
     assert matching.count(pruned.edges, p).first()[0] == sum(brute(labels, edges, p).values())
 
 
+MIXED = Pattern((0, 1, 0, 1, 2), ((0, 1), (1, 2), (0, 3), (2, 3), (0, 4), (3, 4)))  # branches bind and check at different steps
+
+
+def test_mixed_branches(spark):
+    labels, edges, _, g = some_graph(spark, 14)
+    want = {t: n for t, n in brute(labels, edges, MIXED).items() if t}
+    assert want and dict(map(tuple, matching.delta_counts(index(g), MIXED).collect())) == want
+
+
+def test_edge_labels(spark):
+    labels, edges, kind, g = some_graph(spark, 3, kinds=2)
+    for p in (Pattern((0, 1, 2), ((0, 1), (1, 2), (0, 2)), (1, 0, 0)), Pattern((0, 1, 0), ((0, 1), (1, 2)), (1, 0))):
+        has = {(x, y): t for (a, b), t in edges.items() for x, y in ((a, b), (b, a))}
+        want = {}
+        for m in itertools.permutations(labels, len(p.labels)):
+            if all(labels[x] == u for x, u in zip(m, p.labels)) and all((m[u], m[v]) in has and kind[min(m[u], m[v]), max(m[u], m[v])] == p.edge_label(u, v) for u, v in p.edges):
+                t = max(has[m[u], m[v]] for u, v in p.edges)
+                want[t] = want.get(t, 0) + 1
+        for own in (g.edges, index(g)):
+            assert matching.count(own, p).first()[0] == sum(want.values())
+            assert dict(map(tuple, matching.delta_counts(own, p).collect())) == {t: n for t, n in want.items() if t}
+
+
+def test_deletions(spark):
+    labels, edges, _, g = some_graph(spark, 4)
+    gone = [e for k, e in enumerate(sorted(edges)) if k % 3 == 0]
+    left = {e: t for e, t in edges.items() if e not in gone}
+    for p in SHAPES_HERE:
+        want = sum(brute(labels, edges, p).values()) - sum(brute(labels, left, p).values())
+        assert matching.lost(g.edges, spark.createDataFrame([e[::-1] for e in gone], "src long, dst long"), p).count() == want
+
+
+def consistent(labels, edges, p):
+    """The largest (u, x) in which every x has different candidates next to it for all neighbours of u."""
+    near = {x: set() for x in labels}
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    now = {(u, x) for u, label in enumerate(p.labels) for x in labels if labels[x] == label}
+    while True:
+        ok = {(u, x) for u, x in now if any(len(set(c)) == len(c) for c in itertools.product(*([y for y in near[x] if (w, y) in now] for w in sorted(p.neighbours(u)))))}
+        if ok == now:
+            return ok
+        now = ok
+
+
+@pytest.mark.parametrize("p", [Pattern((0, 1, 1, 1), ((0, 1), (0, 2), (0, 3), (1, 2))), SHAPES_HERE[3], SHAPES_HERE[2]])
+def test_candidates_as_edges_come_and_go(spark, p):
+    for seed in (6, 7):
+        labels, edges, _, g = some_graph(spark, seed)
+        old = [e for k, e in enumerate(sorted(edges)) if k % 4]
+        few, many = consistent(labels, old, p), consistent(labels, list(edges), p)
+        table = lambda some: relations.tagged_relations(g.edges.join(spark.createDataFrame(some, "src long, dst long"), ["src", "dst"]), p).select("u", "v", "a", "b")
+        rest = [e for e in edges if e not in old]
+        rows = lambda df: {tuple(r) for r in df.select("u", "x").collect()}
+        first = filtering.consistent_candidates(Graph(g.vertices, g.edges.join(spark.createDataFrame(old, "src long, dst long"), ["src", "dst"])), p)
+        assert rows(first) == few
+        every = filtering.after_insert(first, table(list(edges)), table(rest), p)
+        assert rows(every) == many
+        assert rows(filtering.after_delete(every, table(old), table(rest), p)) == few
+
+
 def test_known_counts(spark):
-    g = star_graph(spark, "/root/testdata/sf0.001")
-    assert matching.count(g.edges, SHAPES["triangle"]).first()[0] == 22649
-    assert matching.delta_counts(g.edges, SHAPES["triangle"]).first().num_matches == 5845
-    assert matching.count(g.edges, SHAPES["path"]).first()[0] == 15000
+    g = indexed_star(spark, "/root/testdata/sf0.001")
+    assert indexed_star(spark, "/root/testdata/sf0.001") is g  # loaded once
+    assert matching.count(star_graph(spark, "/root/testdata/sf0.001").edges, SHAPES["triangle"]).first()[0] == 22649
+    assert matching.count(g, SHAPES["triangle"]).first()[0] == 22649
+    assert matching.delta_counts(g, SHAPES["triangle"]).first().num_matches == 5845
+    assert matching.count(g, SHAPES["path"]).first()[0] == 15000
 
 
 def test_pattern_and_planner():
@@ -75,44 +150,133 @@ def test_pattern_and_planner():
     assert {s.vertex for s in plan(SHAPES["diamond"], strategy="score").steps} | set(plan(SHAPES["diamond"], strategy="score").seed) == {0, 1, 2, 3}
 
 
+def test_plans_prune_and_do_not_shuffle_the_index(spark):
+    g = indexed_star(spark, "/root/testdata/sf0.001")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan_text = matching.delta(g, SHAPES["triangle"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan_text.count("Scan parquet") == 5 and "lineitem" not in plan_text  # a seed for each query edge, a relation for each step
+    assert plan_text.count("Exchange hashpartitioning") <= 2  # what is bound so far; the index stays where it is
+
+
+def test_affected_edges():
+    p = Pattern((0, 1, 2, 3, 4), ((0, 1), (1, 2), (2, 3), (0, 3), (3, 4)))
+    assert affected_edges(p, (0, 1), (4,)) == {(0, 1), (3, 4), (0, 3), (2, 3), (1, 2)}
+    assert affected_edges(p, (3, 4), (3,)) == {(3, 4)}
+    assert affected_edges(p, (3, 4), (0,)) == {(3, 4), (0, 3), (0, 1), (1, 2), (2, 3)}
+    assert affected_vertices(p, (3, 4), {(3, 4)}) == {3, 4}
+
+
 def test_text_sources(spark, tmp_path):
     (tmp_path / "g.graph").write_text("v 0 5\nv 1 4\nv 3 9\ne 0 1 2\ne 1 0 2\ne 0 3 0\n")
     g = read_text(spark, str(tmp_path / "g.graph"), SHAPES["edge"])
     assert [tuple(r)[:2] for r in g.edges.collect()] == [(0, 1)] and g.vertices.count() == 2
     (tmp_path / "u.txt").write_text("e 4 2 0\ne 2 4 0\n-e 1 2 0\ne 5 6 0\n")
     u = read_updates(spark, str(tmp_path / "u.txt"))
-    assert sorted(tuple(r) for r in relations.by_arrival(u, 2).collect()) == [(2, 4, 1), (5, 6, 2)]
+    assert [tuple(r)[1:] for r in u.orderBy("seq").collect()] == [(4, 2, "insert"), (2, 4, "insert"), (1, 2, "delete"), (5, 6, "insert")]
+    assert sorted(tuple(r) for r in relations.by_arrival(u.where("op = 'insert'"), 2).collect()) == [(2, 4, 1), (5, 6, 2)]
     assert read_updates(spark, str(tmp_path / "u.txt"), 1).count() == 1
+    h = read_labelled(spark, str(tmp_path / "g.graph"))
+    assert [tuple(r) for r in h.edges.select("src", "dst", "edge_label").orderBy("src", "dst").collect()] == [(0, 1, 2), (0, 3, 0)]
+
+
+def test_updates_of_several_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, n, at in (("a.txt", 1, 0), ("b.txt", 300, 10), ("c.txt", 2, 900)):
+        (tmp_path / "in" / name).write_text("".join(f"e {at + k} {at + k + 1} 0\n" for k in range(n)) + "v 3 1\n-v 3 1\n")
+    u = read_updates(spark, str(tmp_path / "in"))
+    got = [r.src for r in u.orderBy("seq").collect()]
+    assert got == [0, *range(10, 310), 900, 901] and u.select("seq").distinct().count() == len(got)
+    one, two = ([r.src for r in shuffled(u, s).orderBy("seq").collect()] for s in (42, 43))
+    assert sorted(one) == got and one != got and one != two and one == [r.src for r in shuffled(u).orderBy("seq").collect()]
+    s = stream_updates(spark, str(tmp_path / "in"))
+    assert s.isStreaming and s.columns == ["src", "dst", "op"]
+
 
+def test_apply_updates(spark):
+    state = spark.createDataFrame([(1, 2), (3, 4)], "src long, dst long")
+    u = spark.createDataFrame([(0, 2, 1, "delete"), (1, 1, 2, "insert"), (2, 4, 3, "delete"), (3, 5, 6, "insert"), (4, 6, 5, "insert"), (5, 7, 7, "insert")], "seq long, src long, dst long, op string")
+    assert sorted(map(tuple, relations.apply_updates(state, u).collect())) == [(1, 2), (5, 6)]
 
-def test_csr(spark, tmp_path):
-    import numpy as np
 
-    from strandweave.sources.graphs import read_csr
+def test_write_patterns(tmp_path):
+    write_patterns([SHAPES["triangle"], SHAPES["star"]], str(tmp_path / "x"))
+    assert Pattern.parse((tmp_path / "x" / "Q_1").read_text()) == SHAPES["star"]
 
-    (tmp_path / "x.meta.txt").write_text("3 4 4 8 0 0 2 0 2 0")
-    np.array([0, 2, 3, 4], "<u8").tofile(tmp_path / "x.vertex.bin")
-    np.array([1, 2, 0, 0], "<u4").tofile(tmp_path / "x.edge.bin")
-    g = read_csr(spark, str(tmp_path / "x"), spark.createDataFrame([(0, 0), (1, 1), (2, 1)], "id long, label int"))
-    assert sorted(tuple(r)[:2] for r in g.edges.collect()) == [(0, 1), (0, 2)]
+
+@pytest.mark.parametrize("n", [3, 211, 400])  # 211 is a prime: no block of records divides it
+def test_csr(spark, tmp_path, n):
+    rng = random.Random(n)
+    near = {a: set() for a in range(n)}
+    for _ in range(3 * n):
+        a, b = rng.randrange(n), rng.randrange(n)
+        near[a].add(b)
+        near[b].add(a)
+    flat = [b for a in range(n) for b in sorted(near[a])]
+    (tmp_path / "x.meta.txt").write_text(f"{n} {len(flat)} 4 8 0 0 2 0 2 0")
+    np.cumsum([0, *(len(near[a]) for a in range(n))]).astype("<u8").tofile(tmp_path / "x.vertex.bin")
+    np.array(flat, "<u4").tofile(tmp_path / "x.edge.bin")
+    g = read_csr(spark, str(tmp_path / "x"), spark.createDataFrame([(a, a % 2) for a in range(n)], "id long, label int"))
+    assert sorted(tuple(r)[:2] for r in g.edges.collect()) == sorted((a, b) for a in near for b in near[a] if a < b)
+    split = lambda a, b: ((a << 32 | b) * 0x9E3779B97F4A7C15 % (1 << 64)) % 10 == 0
+    assert all(r.batch_id == split(r.src, r.dst) for r in g.edges.collect())
+
+
+def h_numbers(groups):
+    """item -> its nucleus number, by peeling: groups are sets of items."""
+    alive, k, out = {i for g in groups for i in g}, 0, {}
+    groups = [set(g) for g in groups]
+    while alive:
+        low = [i for i in alive if sum(i in g for g in groups) <= k]
+        if not low:
+            k += 1
+            continue
+        for i in low:
+            out[i] = k
+        alive -= set(low)
+        groups = [g for g in groups if g <= alive]
+    return out
 
 
 def test_nucleus(spark):
+    rng = random.Random(8)
     clique = [(a, b) for a in range(5) for b in range(a + 1, 5)]
-    e = spark.createDataFrame([*clique, (4, 5), (5, 6)], "src long, dst long")
-    assert dict(map(tuple, nucleus.core_numbers(e).collect())) == {0: 4, 1: 4, 2: 4, 3: 4, 4: 4, 5: 1, 6: 1}
-    assert {r.truss for r in nucleus.truss_numbers(e).collect() if r.dst < 5} == {3}
-    assert {r.k for r in nucleus.nucleus34_numbers(e).collect()} == {2} and nucleus.four_cliques(e).count() == 5
+    e = sorted({*clique, (4, 5), (5, 6), *((a, b) for a in range(7, 19) for b in range(a + 1, 19) if rng.random() < 0.6), (4, 7)})
+    d = spark.createDataFrame(e, "src long, dst long")
+    has = set(e)
+    tri = [t for t in itertools.combinations(range(19), 3) if all(x in has for x in itertools.combinations(t, 2))]
+    four = [t for t in itertools.combinations(range(19), 4) if all(x in has for x in itertools.combinations(t, 2))]
+    assert sorted(map(tuple, nucleus.triangles(d).collect())) == tri and sorted(map(tuple, nucleus.four_cliques(d).collect())) == four
+    assert dict(map(tuple, nucleus.core_numbers(d).collect())) == h_numbers(e)
+    want = h_numbers([set(itertools.combinations(t, 2)) for t in tri])
+    assert {(r.src, r.dst): r.truss for r in nucleus.truss_numbers(d).collect()} == {x: want.get(x, 0) for x in e}
+    want = h_numbers([set(itertools.combinations(t, 3)) for t in four])
+    assert {(r.a, r.b, r.c): r.k for r in nucleus.nucleus34_numbers(d).collect()} == {x: want.get(x, 0) for x in tri}
 
 
-def test_sampler(spark):
-    g = star_graph(spark, "/root/testdata/sf0.001")
-    g = Graph(g.vertices, g.edges.cache())
-    for kind in ("tree", "dense", "sparse"):
-        some = sampling.sample_patterns(g, kind, 5, 3)
+def test_core_of_a_long_path(spark):
+    path = spark.createDataFrame([(k, k + 1) for k in range(24)], "src long, dst long")
+    assert {r.core for r in nucleus.core_numbers(path).collect()} == {1}
+
+
+def test_sampler(spark, tmp_path):
+    g = indexed_star(spark, "/root/testdata/sf0.001")
+    has = {tuple(r) for r in g.edges.select("src", "dst").collect()}
+    got = sampling.sample_to(g, str(tmp_path), 5, 3)
+    for kind, some in got.items():
         assert some and all(len(p.labels) == 5 for p in some)
         assert all((len(p.edges) == 4) == (kind == "tree") for p in some)
-        assert all(matching.count(g.edges, p, factorise=False).first()[0] > 0 for p in some[:1])
+        assert all(2 * len(p.edges) >= 15 for p in some if kind == "dense") and all(4 < len(p.edges) <= 6 for p in some if kind == "sparse")
+        assert [Pattern.parse((tmp_path / "5_self" / kind / f"Q_{k}").read_text()) for k in range(len(some))] == some
+        assert all(matching.count(g, p, factorise=False).first()[0] > 0 for p in some[:1])
+    assert sampling.sample_patterns(g, "sparse", 5, 2) == got["sparse"][:2]  # the seed decides
+    starts = spark.createDataFrame([(1, 0), (2, 10000001)], "walk int, x long")  # a region, next to its nations only, and an order
+    for deep in (True, False):
+        for r in sampling.grown(g, starts, 6, 42, deep).collect():
+            assert len(set(r.seen)) == 6 and len(r.tree) == 5
+            assert all((min(x.a, x.b), max(x.a, x.b)) in has for x in r.tree)
 
 
 def test_stream(spark, tmp_path):
@@ -120,12 +284,46 @@ def test_stream(spark, tmp_path):
 
     v = spark.createDataFrame([(0, 0), (1, 1), (2, 2)], "id long, label int")
     g = labelled(v, spark.createDataFrame([(0, 1)], "src long, dst long"))
-    m = ContinuousMatcher(spark, str(tmp_path / "s"), g, Pattern((0, 1, 2), ((0, 1), (1, 2), (0, 2))))
+    m = ContinuousMatcher(spark, str(tmp_path / "s"), g, Pattern((0, 1, 2), ((0, 1), (1, 2), (0, 2))), compact=2)
     batches = [[(1, 2), (2, 1), (0, 1)], [(0, 2)], [(0, 2), (7, 8)]]
     for k, b in enumerate(batches, 1):
         m.process(spark.createDataFrame(b, "src long, dst long"), k)
     m.process(spark.createDataFrame(batches[1], "src long, dst long"), 2)  # a replay changes nothing
-    assert dict(map(tuple, m.counts().collect())) == {1: 0, 2: 1, 3: 0}
+    m.process(spark.createDataFrame([(1, 0, "delete"), (5, 6, "delete")], "src long, dst long, op string"), 4)
+    m.process(spark.createDataFrame([(1, 0, "insert")], "src long, dst long, op string"), 5)
+    assert {r.batch_id: (r.num_matches, r.num_lost) for r in m.counts().collect()} == {1: (0, 0), 2: (1, 0), 3: (0, 0), 4: (0, 1), 5: (1, 0)}
+
+
+def test_stream_of_random_changes(spark, tmp_path):
+    from strandweave.streaming.continuous import ContinuousMatcher
+
+    labels, edges, _, g = some_graph(spark, 9)
+    rng = random.Random(9)
+    now = {e for e, t in edges.items() if t == 0}
+    for k, p in enumerate((SHAPES_HERE[2], SHAPES_HERE[3])):
+        here = set(now)
+        m = ContinuousMatcher(spark, str(tmp_path / f"s{k}"), Graph(g.vertices, g.edges.where("batch_id = 0")), p, buckets=8, compact=2)
+        for n in range(1, 4):
+            out, new = set(rng.sample(sorted(here), 5)), set(rng.sample([(a, b) for a in labels for b in labels if a < b and (a, b) not in here], 6))
+            m.process(spark.createDataFrame([(*e, "delete") for e in out] + [(b, a, "insert") for a, b in new], "src long, dst long, op string"), n)
+            size = lambda some: sum(brute(labels, dict.fromkeys(some, 0), p).values())
+            mid, after = here - out, here - out | new
+            got = m.counts().where(f"batch_id = {n}").first()
+            assert (got.num_lost, got.num_matches) == (size(here) - size(mid), size(after) - size(mid))
+            here = after
+
+
+def test_stream_reads_what_it_reaches(spark, tmp_path):
+    from strandweave.streaming.continuous import ContinuousMatcher
+
+    n = 3000  # apart from each other: triangles 3k, 3k + 1, 3k + 2 that lack an edge
+    v = spark.range(n).selectExpr("id", "int(id % 3) as label")
+    e = spark.range(n).where("id % 3 < 2").selectExpr("id as src", "id + 1 as dst")
+    m = ContinuousMatcher(spark, str(tmp_path / "s"), labelled(v, e), Pattern((0, 1, 2), ((0, 1), (1, 2), (0, 2))), buckets=64)
+    m.process(spark.createDataFrame([(0, 2)], "src long, dst long"), 1)
+    m.process(spark.range(100, 900).selectExpr("3 * id as src", "3 * id + 2 as dst"), 2)
+    assert [r.num_matches for r in m.counts().orderBy("batch_id").collect()] == [1, 800]
+    assert m.read[1] <= 6 < 64 <= m.read[2]
 
 
 def test_entry(spark):
