@@ -58,6 +58,8 @@ def index(g: Graph) -> Graph:
     spark = g.edges.sparkSession
     # a table bucketed by one of two join keys need not be shuffled by both
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    # and a side whose shuffled partitions are all small is hashed, so that the table need not be sorted
+    spark.conf.set("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name, path = f"strandweave_{uuid.uuid4().hex}", shared_path(spark, "graph")
     both_ways(g.edges).repartition(n, "a").write.partitionBy("fresh", "la", "lb").bucketBy(n, "a").option("path", path).saveAsTable(name)
