@@ -31,6 +31,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -46,6 +47,8 @@ SECRET_BITS, SECRET_LENGTH, SECRET_MIX = 72, 24, 3
 TEXT_BITS = 26
 #: Distinct terms that a worker counts before it hands its partial counts on.
 FLUSH_WORDS = 200_000
+#: Words that a worker remembers the terms of.
+MEMO = 400_000
 #: Disclosing terms that are broadcast at once.
 CHUNK_TERMS = 200_000
 KINDS = ("email", "ip", "card", "phone")
@@ -125,7 +128,7 @@ _EDGE = re.compile(r"^\W*(.*?)\W*$", re.S)
 
 def normal(word: str) -> str:
     """Lower case without the punctuation around it; empty if under three characters are left."""
-    t = _EDGE.match(word)[1].lower()
+    t = (word if word.isalnum() else _EDGE.match(word)[1]).lower()
     return t if len(t) >= 3 else ""
 
 
@@ -133,7 +136,7 @@ class _Terms(dict):
     """word -> its term, if any; forgets everything when it has grown large."""
 
     def __missing__(self, word: bytes) -> str:
-        if len(self) >= FLUSH_WORDS:
+        if len(self) >= MEMO:
             self.clear()
         t = self[word] = normal(word.decode())
         return t
@@ -179,9 +182,31 @@ def mentions_of(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[
         yield entities_of(kind, text[a:b]), sorted({t for m in left + right if (t := normal(m[0])) and not any(s < m.end() and m.start() < e for s, e in taken)})
 
 
-def term_spans(text: str, spans: list[tuple[str, int, int]], terms: frozenset[str]) -> list[dict]:
+class Terms:
+    """Disclosing terms, and a quick test whether a text can hold any: they are searched for in it all at once."""
+
+    def __init__(self, terms: frozenset[str]):
+        self.terms, self.machine = terms, ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for t in terms:
+            self.machine.add_word(_folded(t))
+        if terms:
+            self.machine.make_automaton()
+
+    def __contains__(self, term: str) -> bool:
+        return term in self.terms
+
+    def any_in(self, text: str) -> bool:
+        return bool(self.terms) and next(self.machine.iter(_folded(text)), None) is not None
+
+
+def _folded(text: str) -> str:
+    """Lower case; both small sigmas are one, as which of them a capital becomes depends on what is next to it."""
+    return text.lower().replace("ς", "σ")
+
+
+def term_spans(text: str, spans: list[tuple[str, int, int]], terms: Terms) -> list[dict]:
     """Every occurrence of one of the terms outside the base spans."""
-    if _terms.of(text).isdisjoint(terms):
+    if not terms.any_in(text):
         return []
     out = []
     taken = sorted((a, b) for _, a, b in spans)
@@ -273,11 +298,12 @@ def _located(docs: DataFrame, finish, schema) -> DataFrame:
         more = len(df.columns) > len(names)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = Terms(held.value)
             for b in slices(batches):
                 texts = texts_of(b.column(at))
                 spans = [protected(t) for t in texts]
                 before = b.column(len(names)).to_pylist() if more else [[]] * len(texts)
-                found = [x + (term_spans(t, s, held.value) if held.value else []) for t, s, x in zip(texts, spans, before)]
+                found = [x + term_spans(t, s, known) for t, s, x in zip(texts, spans, before)]
                 own = b.select(range(len(names)))
                 if last:
                     yield finish(own, texts, spans, [[("term", y["start"], y["end"]) for y in sorted(x, key=lambda y: y["start"])] for x in found])
