@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from strandweave.functions.staging import staged
 from strandweave.operators.relations import directed, later, of_pairs, relation
 from strandweave.plans.pattern import Pattern
-from strandweave.plans.planner import Order, Stats, plan, reach_order
+from strandweave.plans.planner import Order, Stats, delta_pays, plan, reach_order
 from strandweave.sources.graphs import Graph
 
 
@@ -194,7 +194,11 @@ def delta(edges: DataFrame | Graph, p: Pattern, stats: Stats | None = None, stra
 
 
 def delta_counts(edges: DataFrame | Graph, p: Pattern, stats: Stats | None = None, **options) -> DataFrame:
-    """(batch_id, num_matches) for the batches that add any."""
+    """(batch_id, num_matches) for the batches that add any. With statistics that count later edges, by the closed form where
+    the planner expects it to be cheaper than the delta branches; `options` go to delta and ask for these."""
+    known = _known(edges, stats)
+    if not options and known is not None and known.fresh is not None and not delta_pays(p, known):
+        return closed_counts(edges, p, stats)
     return delta(edges, p, stats, **options).groupBy(F.col("born").alias("batch_id")).agg(F.count("*").alias("num_matches"))
 
 

@@ -8,7 +8,7 @@ import pytest
 
 from strandweave.operators import filtering, matching, nucleus, relations, sampling
 from strandweave.plans.pattern import Pattern, SHAPES
-from strandweave.plans.planner import Stats, affected_edges, affected_vertices, plan
+from strandweave.plans.planner import Stats, affected_edges, affected_vertices, delta_pays, plan
 from strandweave.sources.graphs import Graph, index, indexed_star, labelled, read_csr, read_labelled, read_text, read_updates, shuffled, star_graph, stream_updates, write_patterns
 
 SHAPES_HERE = [Pattern((0, 1), ((0, 1),)), Pattern((0, 1, 0), ((0, 1), (1, 2))), Pattern((0, 0, 0), ((0, 1), (1, 2), (0, 2))), Pattern((0, 1, 2, 1), ((0, 1), (1, 2), (2, 3), (0, 3))), Pattern((0, 1, 2), ((0, 1), (0, 2)))]
@@ -58,7 +58,8 @@ def test_random_graphs(spark, seed):
         new = {t: n for t, n in want.items() if t}
         for own in (g.edges, indexed):
             assert matching.count(own, p).first()[0] == sum(want.values())
-            assert dict(map(tuple, matching.delta_counts(own, p).collect())) == new
+            assert dict(map(tuple, matching.delta_counts(own, p, strategy="greedy").collect())) == new
+        assert dict(map(tuple, matching.delta_counts(indexed, p).collect())) == new  # by delta or closed form, as the planner says
         assert dict(map(tuple, matching.closed_counts(indexed, p).collect())) == new
     p = SHAPES_HERE[3]
     assert dict(map(tuple, matching.delta_counts(indexed, p, reduce_first=True, strategy="score").collect())) == {t: n for t, n in brute(labels, edges, p).items() if t}
@@ -74,7 +75,7 @@ MIXED = Pattern((0, 1, 0, 1, 2), ((0, 1), (1, 2), (0, 3), (2, 3), (0, 4), (3, 4)
 def test_mixed_branches(spark):
     labels, edges, _, g = some_graph(spark, 14)
     want = {t: n for t, n in brute(labels, edges, MIXED).items() if t}
-    assert want and dict(map(tuple, matching.delta_counts(index(g), MIXED).collect())) == want
+    assert want and dict(map(tuple, matching.delta_counts(index(g), MIXED, strategy="greedy").collect())) == want
 
 
 def test_edge_labels(spark):
@@ -161,6 +162,18 @@ def test_plans_prune_and_do_not_shuffle_the_index(spark):
     assert plan_text.count("Exchange hashpartitioning") <= 2  # what is bound so far; the index stays where it is
 
 
+def test_choice_of_delta_or_closed_form():
+    p = SHAPES["triangle"]
+    pairs = {(a, b): 1_000_000 for a in (5, 4, 3) for b in (5, 4, 3)}
+    few, many = (Stats(pairs, dict.fromkeys(pairs, 10_000), dict.fromkeys(pairs, n)) for n in (100, 1_000_000))
+    assert delta_pays(p, few) and not delta_pays(p, many)
+
+
+def test_hash_split(spark):
+    old, new = relations.hash_split(star_graph(spark, "/root/testdata/sf0.001").edges)
+    assert (old.count(), new.count()) == (14483 - 1455, 1455)
+
+
 def test_affected_edges():
     p = Pattern((0, 1, 2, 3, 4), ((0, 1), (1, 2), (2, 3), (0, 3), (3, 4)))
     assert affected_edges(p, (0, 1), (4,)) == {(0, 1), (3, 4), (0, 3), (2, 3), (1, 2)}
