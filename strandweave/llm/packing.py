@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strandweave.llm.common import map_arrow, slices, staged
+from strandweave.llm.common import BATCH_BYTES, map_arrow, slices, staged
 from strandweave.llm.tokens import BYTE_BPE, encoder, tokenizer_path
 
 SIZE, END = 2048, 1
@@ -33,7 +33,7 @@ def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
         from pyspark import TaskContext
 
         enc, part, before = encoder(path), TaskContext.get().partitionId(), 0
-        for b in slices(batches, 1 << 20):
+        for b in slices(batches, 1 << 20, BATCH_BYTES):
             ids, n = enc.encode(b.column(1), end)
             sums = before + np.cumsum(n)
             at = np.concatenate(([0], 2 * (sums - before))).astype(np.int32)

@@ -1,6 +1,6 @@
 """Token-id files: static range asymmetric numeral system (rANS) in independent, interleaved blocks.
 
-Documents are dealt out by range of doc_id and sorted (nulls first, ties by text hash), encoded with an end id
+Documents are dealt out by range of doc_id and sorted (nulls first, ties within a range by text hash), encoded with an end id
 and staged. Id counts over all documents give one frequency table (2**SCALE slots, shared by every block). Each
 block holds whole documents, BLOCK_IDS ids or one longer document, as LANES interleaved rANS streams with
 32-bit renormalisation; a block names its first id and document lengths (checkpoint) and the crc32 of its ids
@@ -27,7 +27,7 @@ from strandweave.llm.packing import crc_of, tokenised, with_start
 from strandweave.llm.tokens import WORD_BPE, tokenizer_path
 
 END, VOCABULARY = 2, 1 << 16
-SCALE, LANES, BLOCK_IDS = 20, 1024, 1 << 17
+SCALE, LANES, BLOCK_IDS = 20, 4096, 1 << 19
 LOW = 1 << 31  # states stay in [2**31, 2**63)
 
 BLOCK_DDL = "first_id long, doc_ids array<long>, lengths array<long>, n_ids long, crc32 long, states binary, words binary"
@@ -118,8 +118,8 @@ def write(docs: DataFrame, out: str, path: str | None = None, end: int = END) ->
     spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.asc_nulls_first("doc_id"), F.xxhash64("text"), F.rand(7)]  # rows of one id, even equal ones, can be split
-    dealt = keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order[:2])
+    # rows of one id can be split, and the sample that the ranges come from reads no texts
+    dealt = keyed.repartitionByRange(ranges, F.asc_nulls_first("doc_id"), F.rand(7)).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
     tokens = tokenised(dealt, path or tokenizer_path(WORD_BPE), end)
     table = Table(count_ids(tokens))
     held = spark.sparkContext.broadcast(table)
