@@ -1,7 +1,13 @@
 """The corpus pipeline: quality rules, near-dedup, decontamination, PII, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet in the
-shared folder and reads it back for the next stage. All but the last return the columns of documents.
+shared folder and reads it back for the next stage. All but the last return the columns of documents, extra ones
+included, whatever their names.
+
+Null and empty texts, and all of under 50 words, fail the quality rules and go. Of repeated rows, and of documents that
+differ in id alone, one is left: that with the least id, one without an id only if all are. Labels and items that are
+null or disagree are treated as the stages' docstrings say. Without labels the base rules alone decide, without a benchmark
+nothing leaks, and an empty documents table gives an empty result.
 """
 
 from __future__ import annotations
