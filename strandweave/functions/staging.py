@@ -12,27 +12,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of a file of a staged table of numbers, and of one of texts.
 ROWS_PER_FILE, TEXTS_PER_FILE = 1 << 18, 1 << 13
+# By application: the folder of tests, and what has been staged.
+_local: dict[str, str] = {}
+_paths: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where that is unset and the master is local (tests), a folder of this session's own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = getattr(spark, "_strandweave_dir", None)
+        base = _local.get(spark.sparkContext.applicationId)
         if not base:
             if not re.match(r"local(\[|$)", spark.sparkContext.master):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="strandweave-")
             atexit.register(shutil.rmtree, folder, True)
-            base = spark._strandweave_dir = f"file://{folder}"
+            base = _local[spark.sparkContext.applicationId] = f"file://{folder}"
     return f"{base.rstrip('/')}/strandweave"
 
 
 def _made(spark: SparkSession) -> list[str]:
-    """Paths that this session has staged and not dropped."""
-    if not hasattr(spark, "_strandweave_made"):
-        spark._strandweave_made = []
-    return spark._strandweave_made
+    """Paths that this application has staged and not dropped; a stream's batches run in sessions of their own."""
+    return _paths.setdefault(spark.sparkContext.applicationId, [])
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
@@ -87,6 +88,9 @@ class Scope:
 
 
 def clean_up(spark: SparkSession) -> None:
-    """Delete all that this session has staged; results that still read it are lost."""
+    """Delete all that this application has staged, indexed graphs included; results that still read it are lost."""
+    spark.__dict__.pop("_strandweave_graphs", None)
+    for t in spark.catalog.listTables(pattern="strandweave_*"):
+        spark.sql(f"DROP TABLE IF EXISTS {t.name}")
     for path in list(_made(spark)):
         drop_path(spark, path)

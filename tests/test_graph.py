@@ -339,6 +339,21 @@ def test_stream_reads_what_it_reaches(spark, tmp_path):
     assert m.read[1] <= 6 < 64 <= m.read[2]
 
 
+def test_staged_tables_are_deleted(spark, tmp_path):
+    from pathlib import Path
+
+    from strandweave.functions import staging
+
+    with staging.Scope(spark) as scope:
+        one = staging.staged(spark.range(10), "one")
+        two = scope.keep(spark.range(20), "two")
+    at = lambda df: Path(df.inputFiles()[0].removeprefix("file:").replace("//", "/")).parent
+    assert two.count() == 20 and not at(one).exists() and staging.packed(spark.range(0, 100, 1, 50), 100, 10).rdd.getNumPartitions() == 10
+    before = indexed_star(spark, "/root/testdata/sf0.001")
+    staging.clean_up(spark)
+    assert not at(two).exists() and indexed_star(spark, "/root/testdata/sf0.001") is not before
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
