@@ -46,7 +46,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, most: int
     for b in batches:
         size = np.zeros(b.num_rows, np.int64)
         for c in b.columns:
-            if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+            if any(kind(c.type) for kind in (pa.types.is_string, pa.types.is_binary, pa.types.is_large_string, pa.types.is_large_binary)):
                 size += pc.binary_length(c).fill_null(0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(size)
         i = 0

@@ -141,8 +141,8 @@ class Index:
         lo = max(0, int(hits[0]) - m + 1)
         first = np.arange(lo, min(last, int(hits[-1])) + 1)
         first = first[upto[first + m] - upto[first] >= least]
-        for i in range(0, len(first), _LOOK):
-            chunk = first[i : i + _LOOK]
+        near = np.split(first, np.flatnonzero(np.diff(first) > _LOOK) + 1)  # windows far apart share no sums
+        for chunk in (part[i : i + _LOOK] for part in near for i in range(0, len(part), _LOOK)):
             lo = chunk[0]
             sums = np.concatenate((np.zeros((1, BITS), np.int32), np.cumsum(bits_of(s[lo : chunk[-1] + m]), axis=0, dtype=np.int32)))
             prints = np.packbits(2 * (sums[chunk - lo + m] - sums[chunk - lo]) > m, axis=1, bitorder="little")
