@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strandweave.llm.common import BATCH_BYTES, map_arrow, slices, staged
+from strandweave.llm.common import SLICE_BYTES, map_arrow, slices, staged
 from strandweave.llm.tokens import BYTE_BPE, encoder, tokenizer_path
 
 SIZE, END = 2048, 1
@@ -26,14 +26,15 @@ SIZE, END = 2048, 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """Staged (doc_id, ids, n, part, before): ids with `end` appended, and what the same task wrote before them."""
+def tokenised(docs: DataFrame, path: str, end: int, most: int = SLICE_BYTES) -> DataFrame:
+    """Staged (doc_id, ids, n, part, before): ids with `end` appended, and what the same task wrote before them.
+    `most` bytes of text are tokenised at a time: more need fewer look-ups and more memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         enc, part, before = encoder(path), TaskContext.get().partitionId(), 0
-        for b in slices(batches, 1 << 20, BATCH_BYTES):
+        for b in slices(batches, 1 << 20, most):
             ids, n = enc.encode(b.column(1), end)
             sums = before + np.cumsum(n)
             at = np.concatenate(([0], 2 * (sums - before))).astype(np.int32)

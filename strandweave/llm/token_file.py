@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from strandweave.llm.common import map_arrow, shared_path, slices
+from strandweave.llm.common import BATCH_BYTES, map_arrow, shared_path, slices
 from strandweave.llm.packing import crc_of, tokenised, with_start
 from strandweave.llm.tokens import WORD_BPE, tokenizer_path
 
@@ -120,7 +120,7 @@ def write(docs: DataFrame, out: str, path: str | None = None, end: int = END) ->
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # rows of one id can be split, and the sample that the ranges come from reads no texts
     dealt = keyed.repartitionByRange(ranges, F.asc_nulls_first("doc_id"), F.rand(7)).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
-    tokens = tokenised(dealt, path or tokenizer_path(WORD_BPE), end)
+    tokens = tokenised(dealt, path or tokenizer_path(WORD_BPE), end, BATCH_BYTES)
     table = Table(count_ids(tokens))
     held = spark.sparkContext.broadcast(table)
 

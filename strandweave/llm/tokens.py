@@ -19,7 +19,7 @@ from strandweave.llm.common import memo, use
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Pieces that a worker remembers, and misses after which it forgets them.
-MEMO, MISSES = 400_000, 20_000_000
+MEMO, MISSES = 250_000, 20_000_000
 # White space of any kind but single spaces and line feeds as described: 0x09, 0x0B-0x0D, 0x1C-0x1F and beyond ASCII.
 _WIDE_SPACE = tuple("\x1c\x1d\x1e\x1f\x85\xa0                　")
 _ODD_SPACE = (*"\t\x0b\x0c\r", *_WIDE_SPACE)
