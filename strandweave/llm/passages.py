@@ -160,7 +160,7 @@ def _shards(texts: Iterable[tuple]) -> Iterator[list[tuple]]:
     """Texts in shards whose passages take SHARD_WORDS words, or a single text."""
     held, size = [], 0
     for x in texts:
-        n = sum(p.count(" ") + 1 for p in x[2])
+        n = sum(p.count(_space(p)) + 1 for p in x[2])
         if held and size + n > SHARD_WORDS:
             yield held
             held, size = [], 0
@@ -170,14 +170,18 @@ def _shards(texts: Iterable[tuple]) -> Iterator[list[tuple]]:
         yield held
 
 
-def locate(texts: Iterable[tuple[object, list[str], list[str]]]) -> Iterator[tuple[object, list[str], np.ndarray]]:
-    """(key, words, removed mask) for texts given with the passages that they may hold: each shard's passages become one
-    automaton, through which all its texts are streamed."""
+def _space(passage):
+    return b" " if isinstance(passage, bytes) else " "
+
+
+def locate(texts: Iterable[tuple]) -> Iterator[tuple[object, list, np.ndarray]]:
+    """(key, words, removed mask) for texts given as (key, words, passages that they may hold, words joined by spaces), all
+    strings or all bytes: each shard's passages become one automaton, through which all its texts are streamed."""
     for shard in _shards(texts):
         machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-        number: dict[str, int] = {}
+        number: dict = {}
         for p in dict.fromkeys(p for _, _, passages in shard for p in passages):
-            machine.add_word(tuple(number.setdefault(w, len(number) + 1) for w in p.split(" ")))
+            machine.add_word(tuple(number.setdefault(w, len(number) + 1) for w in p.split(_space(p))))
         if len(machine):
             machine.make_automaton()
         for key, words, _ in shard:
@@ -189,10 +193,6 @@ def locate(texts: Iterable[tuple[object, list[str], list[str]]]) -> Iterator[tup
             yield key, words, np.cumsum(step[:-1]) > 0
 
 
-def words_of(text: str) -> list[str]:
-    return [w.decode() for w in text.encode().split()]
-
-
 def _judged(docs: DataFrame, result) -> DataFrame:
     """(doc_id, n_words, n_removed, result): result(words kept) of every row."""
     runs = repeated_runs(docs)
@@ -202,7 +202,7 @@ def _judged(docs: DataFrame, result) -> DataFrame:
         for b in slices(batches):
             maybe = has_bit(held.value, bits_at(b.column(1).to_numpy().view(np.uint64), DOC_BITS)).tolist()
             texts = texts_of(b.column(2))
-            done = [(None, None) if m else (len(w := words_of(t)), result(w)) for t, m in zip(texts, maybe)]
+            done = [(None, None) if m else (len(w := t.encode().split()), result(w)) for t, m in zip(texts, maybe)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t if m else None for t, m in zip(texts, maybe)], pa.string()), pa.array([n for n, _ in done], pa.int64()), pa.array([x for _, x in done], pa.string())], names=["doc_id", "th", "text", "n_words", "result"])
 
     rows = staged(map_arrow(_keyed(docs), sieve, "doc_id long, th long, text string, n_words long, result string"), "sieved")
@@ -212,7 +212,7 @@ def _judged(docs: DataFrame, result) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            given = zip(b.column(0).to_pylist(), map(words_of, texts_of(b.column(1))), (p or [] for p in b.column(2).to_pylist()))
+            given = ((th, t.encode().split(), [x.encode() for x in p or ()]) for th, t, p in zip(b.column(0).to_pylist(), texts_of(b.column(1)), b.column(2).to_pylist()))
             out = [(th, len(words), int(gone.sum()), result([w for w, g in zip(words, gone.tolist()) if not g])) for th, words, gone in locate(given)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 3 else pa.int64()) for k, c in enumerate(zip(*out))], names=["th", "n_words", "n_removed", "result"])
 
@@ -223,9 +223,9 @@ def _judged(docs: DataFrame, result) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space): a row per document."""
-    return _judged(docs, lambda words: hashlib.sha256(" ".join(words).encode()).hexdigest()).withColumnRenamed("result", "kept_sha256")
+    return _judged(docs, lambda words: hashlib.sha256(b" ".join(words)).hexdigest()).withColumnRenamed("result", "kept_sha256")
 
 
 def strip(docs: DataFrame) -> DataFrame:
     """(doc_id, text): every document without its repeated words; the others joined by one space."""
-    return _judged(docs, " ".join).select("doc_id", F.col("result").alias("text"))
+    return _judged(docs, lambda words: b" ".join(words).decode()).select("doc_id", F.col("result").alias("text"))
