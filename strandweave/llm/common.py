@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandweave.functions.staging import TEXTS_PER_FILE, Scope, drop_path, packed, shared_path, staged  # noqa: F401  used by the operators
@@ -66,10 +65,6 @@ def texts_of(column: pa.Array) -> list[str]:
 # bytes.split() without arguments splits at exactly 0x20 and 0x09-0x0D, which is the word rule used here.
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode().split()
-
-
 _memos: dict[str, list[dict]] = {}
 _using = ""
 
@@ -89,29 +84,6 @@ def use(group: str) -> None:
         _using = group
 
 
-class WordHash(dict):
-    """word -> seeded 64-bit hash; forgets everything when it has grown to `most` words."""
-
-    def __init__(self, seed: int = 0, most: int = 400_000):
-        super().__init__()
-        self.seed, self.most = seed, most
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word, self.seed)
-        if len(self) < self.most:
-            self[word] = h
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        use("words")
-        if len(self) >= self.most:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-#: The one that all operators share.
-word_hashes = memo(WordHash(), "words")
-
 _ODD = 0x9E3779B97F4A7C15
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -136,6 +108,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Bytes of a text whose running sums are held at once (one word at least).
+SEGMENT = 1 << 17
+_SPACE = np.isin(np.arange(256), (0x20, *range(0x09, 0x0E)))
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))  # a value for each byte
+
+
+def hashes_of(text: str) -> np.ndarray:
+    """A 64-bit hash of each word of a text, the same wherever the word stands: a polynomial of its bytes, taken from running
+    sums over the text, so that no word is cut out."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    edges = np.flatnonzero(np.diff(_SPACE[raw], prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        lo = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, lo + SEGMENT, "right")))
+        hi = int(ends[j - 1])
+        up, down = _powers_of(hi - lo + 1)
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(_BYTE[raw[lo:hi]] * up[: hi - lo], out=sums[1:])
+        a, b = starts[i:j] - lo, ends[i:j] - lo
+        out[i:j] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+        i = j
+    return out
+
+
 class SpanHash:
     """Hash of any span of words in constant time, the same wherever the span's words stand."""
 

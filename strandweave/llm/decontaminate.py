@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from strandweave.llm.common import SpanHash, map_arrow, mix, slices, texts_of, word_hashes
+from strandweave.llm.common import SpanHash, hashes_of, map_arrow, mix, slices, texts_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, BLOCKS, NEAR = 128, 8, 4
@@ -61,7 +61,7 @@ class Index:
     def __init__(self, items: list[tuple[int | None, str]]):
         self.ids, sizes, own, counts, prints, pairs = [], [], [], [], [], []
         for item_id, text in items:
-            h = word_hashes.of((text or "").encode().split())
+            h = hashes_of(text or "")
             if not len(h):
                 continue
             s = shingles(h)
@@ -103,7 +103,7 @@ class Index:
 
     def leaks(self, text: str) -> list[tuple]:
         """(item_id, start_word, n_words, n_windows, distance, similarity): the best window of each leaked item."""
-        h = word_hashes.of(text.encode().split())
+        h = hashes_of(text)
         best: dict[int, list] = {}
         for width in self.widths:
             if len(h) < width:

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from strandweave.llm.common import SpanHash, bitmap, bits_at, has_bit, map_arrow, slices, staged, texts_of, word_hashes
+from strandweave.llm.common import SpanHash, bitmap, bits_at, has_bit, hashes_of, map_arrow, slices, staged, texts_of
 
 WINDOW, GRAM = 35, 8
 #: log2 of the bits of a bitmap: 16 MB each, whatever the data.
@@ -67,7 +67,7 @@ def _anchor_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            some = [runs_of(word_hashes.of(t.encode().split()))[:2] for t in texts_of(b.column(0))]
+            some = [runs_of(hashes_of(t))[:2] for t in texts_of(b.column(0))]
             h, v = (np.concatenate([x[k] for x in some]).view(np.int64) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(v)], names=["h", "v"])
 
@@ -86,7 +86,7 @@ def repeated_runs(docs: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
         for b in slices(batches):
             ths, cols, wins, sizes, lone = [], [[], [], [], [], []], [], [], []
             for th, text in zip(b.column(0).to_pylist(), texts_of(b.column(1))):
-                h, v, first, last, spans = runs_of(word_hashes.of(text.encode().split()))
+                h, v, first, last, spans = runs_of(hashes_of(text))
                 keep = np.flatnonzero(has_bit(several, bits_at(h, bits)))
                 if not len(keep):
                     continue
@@ -115,8 +115,9 @@ def repeated_runs(docs: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
     twice = windows.groupBy("h", "w").agg(F.sum("n").alias("s")).where("s > 1").select("h", "w")
     lone = windows.where("n = 1").join(twice, ["h", "w"]).groupBy("h", "v").agg(F.collect_list("k").alias("at"))
     marks = staged(settled.unionByName(lone), "marks")  # the join below then deals both sides itself and can split a hot run
-    own = staged(seen.groupBy("th", "h", "v").agg(F.min("start").alias("start"), F.min("end").alias("end")), "own-runs")
-    return staged(own.join(marks, ["h", "v"]).select("th", "h", "v", "start", "end", "at"), "confirmed")
+    own = seen.select("th", "h", "v", "start", "end").join(marks, ["h", "v"])
+    # copies of a text have the same runs: dealt by (h, v) already, each is kept once
+    return staged(own.dropDuplicates(["th", "h", "v"]).select("th", "h", "v", "start", "end", "at"), "confirmed")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -124,7 +125,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def passages_of(texts: DataFrame, runs: DataFrame) -> DataFrame:
-    """Staged (h, v, passages): the words of each confirmed run, or of its confirmed stretches, joined by spaces; taken
+    """(h, v, passages): the words of each confirmed run, or of its confirmed stretches, joined by spaces; taken
     from the text of the least hash that holds it. texts(th, text) are distinct."""
     holder = staged(runs.groupBy("h", "v").agg(F.min("th").alias("th")), "holders")
     taken = runs.join(holder, ["h", "v", "th"]).groupBy("th").agg(F.collect_list(F.struct("h", "v", "start", "end", "at")).alias("runs"))
@@ -140,7 +141,7 @@ def passages_of(texts: DataFrame, runs: DataFrame) -> DataFrame:
                     out[2].append([b" ".join(words[i:j]).decode() for i, j in stretches(r["start"], r["end"], r["at"])])
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.string()))], names=["h", "v", "passages"])
 
-    return staged(map_arrow(texts.join(taken, "th").select("text", "runs"), run, "h long, v long, passages array<string>"), "passages")
+    return map_arrow(texts.join(taken, "th").select("text", "runs"), run, "h long, v long, passages array<string>")
 
 
 def stretches(start: int, end: int, at: list[int] | None) -> list[tuple[int, int]]:

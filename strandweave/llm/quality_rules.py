@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from strandweave.llm.common import BROADCAST_ROWS, SpanHash, map_arrow, slices, sliding_cover, staged, texts_of, word_hashes
+from strandweave.llm.common import BROADCAST_ROWS, SpanHash, hashes_of, map_arrow, slices, sliding_cover, staged, texts_of
 
 #: Buckets for hashed n-grams; the model is FOLDS vectors of this length, so what is broadcast is bounded.
 BUCKETS = 1 << 18
@@ -49,9 +49,9 @@ def ngram_buckets(h: np.ndarray, buckets: int) -> np.ndarray:
     return (np.concatenate((h, two)) % np.uint64(buckets)).astype(np.int64)
 
 
-def base_counts(text: str, h: np.ndarray, words: list[bytes]) -> tuple[int, int, int, int, int]:
+def base_counts(text: str, h: np.ndarray) -> tuple[int, int, int, int, int]:
     raw = text.encode()
-    n = len(words)
+    n = len(h)
     word_chars = len(text) - (len(raw) - len(raw.translate(None, _SPACES)))
     symbols = len(raw) - len(raw.translate(None, _SYMBOLS))
     dup = 0
@@ -99,9 +99,9 @@ def counted(rows: DataFrame, buckets: int) -> np.ndarray:
         for b in slices(batches):
             found: list[list[np.ndarray]] = [[] for _ in range(1 + FOLDS)]
             for kind, text in zip(b.column(0).to_pylist(), texts_of(b.column(1))):
-                words = text.encode().split()
-                if words:
-                    own = ngram_buckets(word_hashes.of(words), buckets)
+                h = hashes_of(text)
+                if len(h):
+                    own = ngram_buckets(h, buckets)
                     found[0].append(own)
                     if kind == TRUSTED:
                         found[1 + fold_of(text)].append(own)
@@ -168,9 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> tuple[np.
 
 
 def judge_text(text: str, ratios: np.ndarray, threshold: float) -> tuple:
-    words = text.encode().split()
-    h = word_hashes.of(words)
-    n, chars, symbols, dup, repeat = base_counts(text, h, words)
+    h = hashes_of(text)
+    n, chars, symbols, dup, repeat = base_counts(text, h)
     failed = n < 50 or 100 * repeat > 50 * n
     own = ratios[fold_of(text)]
     llr = float(own[ngram_buckets(h, len(own))].sum(dtype=float) / (2 * n - 1)) if n else 0.0
