@@ -79,6 +79,22 @@ def test_url_with_many_tokens(spark):
     assert all(got[k] == "block" and got[100 + k] == "allow" for k in range(60))
 
 
+def test_url_rule_of_weak_tokens(spark):
+    # bad if both: each of the two tells nothing alone, and ten others of the same url tell more
+    r = random.Random(4)
+    rows = []
+    for k in range(2000):
+        one, two = r.random() < 0.5, r.random() < 0.5
+        bad = one == two
+        path = "/".join([*(["red"] if one else []), *(["blue"] if two else []), *(f"w{chr(97 + j)}x" for j in range(10) if r.random() < (0.96 if bad else 0.9))])
+        rows.append((f"http://site.org/{path}", int(bad and (one or r.random() < 0.3))))
+    pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, 1 - b, 0) for k, (_, b) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    got = {tuple(x.tokens): (x.confidence, round(x.support * len(rows) / x.confidence)) for x in url_rules.mine(pages, labels, min_pages=300).collect()}
+    want = plain_rules(rows, 300, None)
+    assert ("p:blue", "p:red") in want and got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
+
+
 # --- personal data -------------------------------------------------------------------------------------
 
 
