@@ -377,6 +377,28 @@ def test_stream_of_random_changes(spark, tmp_path):
             here = after
 
 
+def test_stream_of_many_batches_at_once(spark, tmp_path):
+    from strandweave.streaming.continuous import ContinuousMatcher
+
+    labels, edges, _, g = some_graph(spark, 9)
+    p = SHAPES_HERE[2]
+    fresh = [(b, a, t) for (a, b), t in edges.items() if t]
+    again = [(a, b, t + 1) for b, a, t in fresh] + [(a, b, 2) for (a, b), t in list(edges.items())[::5] if t == 0]  # not new again
+    one = spark.createDataFrame([*fresh, *again, (3, 3, 4)], "src long, dst long, batch_id int")
+    m = ContinuousMatcher(spark, str(tmp_path / "s"), Graph(g.vertices, g.edges.where("batch_id = 0")), p, buckets=4, compact=2)
+    want = {1: 0, 2: 0, 3: 0, 4: 0} | {t: n for t, n in brute(labels, edges, p).items() if t}
+    for _ in range(2):  # a replay changes nothing
+        m.process_many(one)
+        assert {r.batch_id: r.num_matches for r in m.counts().collect()} == want
+    with pytest.raises(ValueError):
+        m.process_many(one.where("batch_id = 2"))
+    x, y = list(edges)[0]
+    m.process_many(spark.createDataFrame([(y, x, 5, "delete"), (x, y, 6, "insert")], "src long, dst long, batch_id int, op string"))
+    size = lambda some: sum(brute(labels, dict.fromkeys(some, 0), p).values())
+    n = size(edges) - size(set(edges) - {(x, y)})
+    assert {r.batch_id: (r.num_matches, r.num_lost) for r in m.counts().where("batch_id > 4").collect()} == {5: (0, n), 6: (n, 0)}
+
+
 def test_stream_reads_what_it_reaches(spark, tmp_path):
     from strandweave.streaming.continuous import ContinuousMatcher
 
