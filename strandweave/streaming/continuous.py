@@ -27,6 +27,8 @@ from strandweave.sources.graphs import Graph, both_ways
 
 #: Batches after which the state is written as one.
 COMPACT = 16
+#: Rows at most that go to all tasks, so that the state they meet is not shuffled.
+SMALL = 1 << 19
 _ROW = "a long, b long, edge_label int, live int, la int, lb int, k int"
 
 
@@ -71,18 +73,20 @@ class ContinuousMatcher:
         base = max(n for n in self._folders("base") if n < before)
         log = [n for n in self._folders("edges") if base < n < before]
         parts = [(base, f"base/upto={base}"), *((n, f"edges/batch={n}") for n in log)]
-        rows = []
+        rows, held = [], []
         for n, folder in parts:
             has = self._buckets_of(folder)
             some = sorted(has if buckets is None else has & buckets)
             if some:
                 at = f"{self.root}/{folder}"
+                held.append(n)
                 r = self.spark.read.schema(_ROW).option("basePath", at).parquet(*(f"{at}/k={k}" for k in some))
                 rows.append((r if pairs is None else of_pairs(r, pairs)).withColumn("n", F.lit(n)))
         if not rows:
             return self.spark.createDataFrame([], "a long, b long, edge_label int, la int, lb int")
         every = reduce(DataFrame.unionByName, rows)
-        if log:  # an edge can have come, gone and come back
+        # an edge can have come, gone and come back; without deletions it is in one folder only
+        if any(not r.where("live = 0").isEmpty() for n, r in zip(held, rows) if n != base):
             every = every.groupBy("a", "b", "la", "lb", "edge_label").agg(F.max(F.struct("n", "live")).alias("last")).withColumn("live", F.col("last.live"))
         return every.where("live = 1").select("a", "b", "edge_label", "la", "lb")
 
@@ -152,7 +156,10 @@ class ContinuousMatcher:
         near = {r.k for r in e.select(F.explode(F.array(self._bucket(F.col("src")), self._bucket(F.col("dst")))).alias("k")).distinct().collect()}  # a row per bucket at most
         v = self.spark.read.schema("id long, label int, k int").parquet(f"{self.root}/vertices").where(F.col("k").isin(sorted(near))).select("id", "label")
         e = e.join(v.select(F.col("id").alias("src"), F.col("label").alias("src_label")), "src").join(v.select(F.col("id").alias("dst"), F.col("label").alias("dst_label")), "dst")
-        has = self.state(batch, self._reached(F.col("src"), e, batch)).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("edge_label").alias("__old"), F.lit(1).alias("__has"))
+        has = self.state(batch, self._reached(F.col("src"), e, batch)).where("a < b")
+        if e.count() <= SMALL:  # the state need not be shuffled
+            has = has.join(F.broadcast(e.select(F.col("src").alias("a"), F.col("dst").alias("b"))), ["a", "b"], "left_semi")
+        has = has.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("edge_label").alias("__old"), F.lit(1).alias("__has"))
         real = e.join(has, ["src", "dst"], "left").where("live <> coalesce(__has, 0)").withColumn("edge_label", F.coalesce("__old", "edge_label"))
         both = both_ways(real.withColumn("batch_id", F.col("born") * 2 + F.col("live")))  # both in one number
         return self._bucketed(both.withColumn("live", F.col("batch_id") % 2), F.shiftright("batch_id", 1).alias("born"))
@@ -175,11 +182,12 @@ class ContinuousMatcher:
         plans = {i: _operations(plan(p, self.stats, seed=e)) for i, e in enumerate(p.edges)}
         new = of_pairs(seeds, label_pairs(p)).select("a", "b", "edge_label", "la", "lb", F.col("born").alias("batch_id"))
         for k in range(len(p.edges) - 1):
-            parts = []
+            parts, small = [], df.count() <= SMALL
             for binds in (True, False):
                 ops = {i: o[k] for i, o in plans.items() if o[k][2] is binds}
                 if ops:
                     mine = df.where(F.col("ei").isin(list(ops)))
+                    mine = F.broadcast(mine) if small else mine
                     ends = reduce(lambda c, io: F.when(F.col("ei") == io[0], F.col(f"u{io[1][0]}")).otherwise(c), ops.items(), F.lit(None))
                     pairs = [(p.labels[x], p.labels[y]) for x, y, _, _ in ops.values()]
                     # a deletion's own edges are in the state before it: they count as later there
