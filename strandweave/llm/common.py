@@ -9,26 +9,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandweave.functions.staging import TEXTS_PER_FILE, Scope, drop_path, packed, shared_path, staged  # noqa: F401  used by the operators
+from strandweave.functions.staging import BATCH_BYTES, TEXTS_PER_FILE, Scope, bounded, drop_path, packed, shared_path, staged  # noqa: F401  used by the operators
 
 #: Rows and bytes of text of the pieces of an Arrow batch that are handled together in Python (one row at least).
 SLICE_ROWS, SLICE_BYTES = 128, 4 << 20
 #: Rows of two or three numbers that may go to all workers: some 100 MB. Beyond that the other way is taken.
 BROADCAST_ROWS = 2_000_000
-#: Bytes of the batches that Spark hands to a worker, whatever the length of the texts.
-BATCH_BYTES = 8 << 20
 
 
 # --- Arrow -------------------------------------------------------------------------------------------
 
 
-def bounded(spark: SparkSession) -> None:
-    """Have Spark cut Arrow batches by bytes too, so that very long texts don't fill a worker."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
-        spark.conf.set(key, f"{BATCH_BYTES}b")
-
-
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """df.mapInArrow with bounded batches; a worker gives unused Arrow memory back before each task."""
     bounded(df.sparkSession)
