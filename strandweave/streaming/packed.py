@@ -44,15 +44,20 @@ def _row(edge: np.ndarray, born: np.ndarray | None) -> tuple:
 
 
 def _lists(n: int, m: int, ids: bytes, deg: bytes, adj: bytes, born: bytes):
-    return _from_planes(ids, n, "<u4").astype(np.int64), _from_planes(deg, n, "<u4").astype(np.int64), _from_planes(adj, m, "<u4"), _from_planes(born, m, "<u4").astype(np.int64) if born else None
+    return _from_planes(ids, n, "<u4"), _from_planes(deg, n, "<u4").astype(np.int64), _from_planes(adj, m, "<u4"), _from_planes(born, m, "<u4").astype(np.int64) if born else None
+
+
+def _edge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a.astype(np.int64) << _BITS | b
 
 
 def _alike(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in x and in ids of equal values; both ascend, ids are distinct. The shorter one is looked up in the longer."""
+    """Positions in x and in ids of equal values; both ascend and are of one type, ids are distinct. The shorter one is looked up in the
+    longer."""
     if not len(ids) or not len(x):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(ids) < len(x):
-        lo, n = np.searchsorted(x, ids), 0
+        lo = np.searchsorted(x, ids)
         some = np.flatnonzero(x[np.minimum(lo, len(x) - 1)] == ids)
         lo = lo[some]
         n = np.searchsorted(x, ids[some], "right") - lo
@@ -64,13 +69,13 @@ def _alike(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _checked(ask: dict, ids, deg, adj, born) -> np.ndarray:
     """Positions of the asked edges (ask["edge"], ascending) that the lists have, old enough."""
-    pos, at = _alike(ask["edge"] >> _BITS, ids)
+    pos, at = _alike(ask["from"], ids)
     if not len(pos):
         return pos
     near = np.zeros(len(ids), bool)
     near[at] = True
     entry = np.flatnonzero(np.repeat(near, deg))
-    key = np.repeat(ids, deg)[entry] << _BITS | adj[entry]
+    key = _edge(np.repeat(ids, deg)[entry], adj[entry])
     want = ask["edge"][pos]
     hit = np.minimum(np.searchsorted(key, want), len(key) - 1)
     ok = key[hit] == want
@@ -105,6 +110,9 @@ def _answers(held, most: int):
 
     def run(batches):
         asks, told = held.value, 0
+        for ask in asks.values():
+            if ask["check"] and "from" not in ask:  # a worker's tasks share what was sent
+                ask["from"] = (ask["edge"] >> _BITS).astype("<u4")
         counts: dict[int, np.ndarray] = {}
         for batch in batches:
             for pair, *row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -156,9 +164,7 @@ class PackedMatcher:
     def _pack_vertices(self, vertices: DataFrame) -> None:
         def run(batches):
             for ids, label in _gathered(batches, 1 << 20):
-                order = np.argsort(ids, kind="stable")
-                ids, label = ids[order], label[order]
-                yield _rows([(int(x), int((label == x).sum()), _pack(ids[label == x])) for x in np.unique(label)], label=pa.int32(), n=pa.int64(), raw=pa.binary())
+                yield _rows([(int(x), len(own), _pack(own)) for x in np.unique(label) for own in [_distinct(ids[label == x])]], label=pa.int32(), n=pa.int64(), raw=pa.binary())
 
         v = vertices.where(F.col("label").isin(sorted(set(self.pattern.labels)))).select(F.col("id").cast("long"), F.col("label").cast("int"))
         v.coalesce(self.tasks).mapInArrow(run, "label int, n long, raw binary").write.option("compression", "none").mode("overwrite").parquet(f"{self.root}/vertices")
@@ -232,13 +238,13 @@ class PackedMatcher:
             return []
         held = self.spark.sparkContext.broadcast(asks)
         few = all(len(a["born"] if a["born"] is not None else a["edge"]) <= 1 for a in asks.values())
-        most = (1 << 62) if few or all(a["count"] or a["check"] for a in asks.values()) else max(1, self.partial // self.tasks)
+        most = (1 << 62) if few or all(a["count"] or a["check"] for a in asks.values()) else max(1, 2 * self.partial // self.tasks)  # label pairs are not dealt out evenly
         try:
             got = state.mapInArrow(_answers(held, most), "ei int, n long, raw binary").toArrow().to_pydict()
         finally:
             held.destroy()
         rows = list(zip(got["ei"], got["n"], got["raw"]))
-        return None if any(r[0] < 0 for r in rows) else rows
+        return None if any(r[0] < 0 for r in rows) or most < 1 << 62 and sum(got["n"]) > self.partial else rows
 
     # --- a micro-batch -----------------------------------------------------------------------------
 
@@ -280,7 +286,7 @@ class PackedMatcher:
         def run(batches):
             for batch in batches:
                 for x, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                    pos = _alike(held.value, _distinct(_unpack(raw, n, 1)[0]))[0]
+                    pos = _alike(held.value, _unpack(raw, n, 1)[0])[0]
                     if len(pos):
                         yield _rows([(x, len(pos), _planes(pos.astype("<u4")))], label=pa.int32(), n=pa.int64(), raw=pa.binary())
 
@@ -328,7 +334,7 @@ class PackedMatcher:
         for i, (u, v) in enumerate(p.edges):
             edge, born = new.get((p.labels[u], p.labels[v]), (np.zeros(0, np.int64), np.zeros(0, np.int64)))
             if len(edge):
-                branches[i] = {"born": born, u: edge >> _BITS, v: edge & _LOW}
+                branches[i] = {"born": born.astype("<i4"), u: (edge >> _BITS).astype("<u4"), v: (edge & _LOW).astype("<u4")}
         self._step(branches, 0, first, last, out)
         return out
 
@@ -342,22 +348,24 @@ class PackedMatcher:
                 n = np.bincount(b["born"] - first, minlength=len(out))
                 out += n
             return
-        asks = {}
+        asks, orders = {}, {}
         for i, b in branches.items():
             x, y, binds, differ = self.plans[i][k]
             # an edge numbered before the branch's own may be of the same batch, one after it is older
             ask = {"lower": int(p.edge_no(x, y) < i), "check": not binds, "count": k == len(p.edges) - 2, "first": first}
             if not binds and (p.labels[x], p.labels[y]) not in self.ways:
                 x, y = y, x
-            key = b[x] if binds else b[x] << _BITS | b[y]
-            order = np.argsort(key, kind="stable")
-            b = branches[i] = {c: v[order] for c, v in b.items()}
-            ask |= {"pair": self.ways[p.labels[x], p.labels[y]], "born": b["born"], "from" if binds else "edge": key[order], "differ": [b[w] for w in differ]}
+            key = b[x] if binds else _edge(b[x], b[y])
+            order = orders[i] = np.argsort(key, kind="stable").astype("<u4")
+            ask |= {"pair": self.ways[p.labels[x], p.labels[y]], "born": b["born"][order], "from" if binds else "edge": key[order], "differ": [b[w][order] for w in differ]}
             asks[i] = ask
+            del key
+        # what is counted at once does not come back
         expected = sum(len(b["born"]) * self.stats.fan_out(p.labels[self.plans[i][k][0]], p.labels[self.plans[i][k][1]]) for i, b in branches.items() if not asks[i]["check"] and not asks[i]["count"])
         most = max(len(b["born"]) for b in branches.values())
         rows = self._ask(asks, last) if expected <= self.partial * 2 // 3 or most == 1 else None
         if rows is None:
+            del asks, orders
             for half in (slice(None, None, 2), slice(1, None, 2)):
                 self._step({i: {c: v[half] for c, v in b.items()} for i, b in branches.items() if len(b["born"][half])}, k, first, last, out)
             return
@@ -373,11 +381,14 @@ class PackedMatcher:
                 continue
             y, binds = self.plans[i][k][1:3]
             both = [_from_planes(raw, n * (2 if binds else 1), "<u4") for n, raw in mine]
-            pos = np.concatenate([x[:n] for x, (n, _) in zip(both, mine)])
-            after[i] = {c: v[pos] for c, v in b.items()}
+            pos = orders[i][np.concatenate([x[:n] for x, (n, _) in zip(both, mine)])]
+            # what no later operation reads is not carried on
+            needed = {"born", *(c for x, z, _, differ in self.plans[i][k + 1 :] for c in (x, z, *differ))}
+            after[i] = {c: v[pos] for c, v in b.items() if c in needed}
             if binds:
-                after[i][y] = np.concatenate([x[n:] for x, (n, _) in zip(both, mine)]).astype(np.int64)
-        del rows
+                after[i][y] = np.concatenate([x[n:] for x, (n, _) in zip(both, mine)])
+        del rows, orders, b, mine
+        pa.default_memory_pool().release_unused()
         self._step(after, k + 1, first, last, out)
 
     def _merge(self, last: int) -> None:
@@ -397,11 +408,11 @@ class PackedMatcher:
                     for k in range(parts):
                         mine = np.flatnonzero(a % parts == k)
                         if len(mine):
-                            yield _rows([(way, k, *_row(a[mine] << _BITS | adj[mine], born[mine]))], way=pa.int32(), k=pa.int32(), **_KINDS)
+                            yield _rows([(way, k, *_row(_edge(a[mine], adj[mine]), born[mine]))], way=pa.int32(), k=pa.int32(), **_KINDS)
 
         def whole(key, table):
             some = [_lists(*r) for r in zip(*(table.column(c).to_pylist() for c in _KINDS))]
-            edge = np.concatenate([np.repeat(ids, deg) << _BITS | adj for ids, deg, adj, _ in some])
+            edge = np.concatenate([_edge(np.repeat(ids, deg), adj) for ids, deg, adj, _ in some])
             order = np.argsort(edge, kind="stable")
             return pa.Table.from_batches([_rows([(key[0].as_py(), *_row(edge[order], np.concatenate([x[3] for x in some])[order]))], way=pa.int32(), **_KINDS)])
 
